@@ -35,7 +35,7 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Plain spaces, no page furniture, at most one blank line in a row."""
-    out = F.translate(text, F.lit(ODD_SPACES), F.lit(" " * len(ODD_SPACES)))
+    out = F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))
     for pattern in (PAGE_HEADER, CONTENTS_LINE, PAGE_NUMBER_LINE, LEADING_PAGE_NUMBER):
         out = F.regexp_replace(out, pattern, "")
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))

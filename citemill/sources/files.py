@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citemill.config import SECTION_LABELS
 from citemill.functions.hashing import path_safe, text_sha256
@@ -148,7 +149,7 @@ class _TextNodes(HTMLParser):
         self._close_node()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """Text of HTML pages, one text node per line."""
 
