@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +13,16 @@ from citemill.functions.citations import is_abstention, marker_numbers
 from citemill.functions.text import sentences
 from citemill.operators.chunking import chunk_sections
 from citemill.operators.citing import conclude, out_of_range, resolve_citations
-from citemill.operators.evaluation import exact_overlap, lexical_judge, score_responses
+from citemill.operators.evaluation import exact_overlap
 from citemill.operators.evaluation import scorecard as card
 from citemill.operators.generation import extractive_answer, generation_cost
 from citemill.operators.keyword import keyword_search
 from citemill.operators.prompting import collect_sources, prompt
 from citemill.operators.rerank import lexical_scorer, rerank
 from citemill.plans.ask import ask_many, valid_question, with_payload
-from citemill.plans.evaluate import evaluate, with_context
+from citemill.plans.evaluate import evaluate
 from citemill.plans.index import embed_chunks
+from citemill.session import spread, stage
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -32,7 +31,7 @@ def candidates(t: Tables) -> DataFrame:
         "fiscal_year": F.lit(2024), "source_url": F.lit("https://example.com"),
     })
     found = keyword_search(keyword_index(t), t.questions, SETTINGS)
-    return with_payload(found, store, SETTINGS).join(t.questions, "question_id")
+    return with_payload(found, store, t.questions, SETTINGS)
 
 
 _CANDIDATES = "candidates AS (SELECT question_id, chunk_id, rank FROM keyword)"
@@ -112,8 +111,6 @@ _MARKERS = q.with_(_MARKED_SQL, q.marker_numbers("k", "said", "answer"))
 
 
 def _said(t: Tables) -> DataFrame:
-    from citemill.session import spread
-
     return spread(t.conversations).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "conv_id", "turn", F.expr(MARKED.format(str="string")).alias("answer")
     )
@@ -185,8 +182,8 @@ def question_valid(t: Tables) -> DataFrame:
 
 
 def chunk_store(t: Tables) -> DataFrame:
-    """The chunks of all documents, embedded."""
-    return embed_chunks(chunk_sections(t.sections, SETTINGS), SETTINGS)
+    """The chunks of all documents, embedded and written, as a store holds them."""
+    return stage(embed_chunks(chunk_sections(t.sections, SETTINGS), SETTINGS), "chunks")
 
 
 _FUSED_CANDIDATES = "candidates AS (SELECT question_id, chunk_id, rank FROM fused)"

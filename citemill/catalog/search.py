@@ -13,7 +13,7 @@ from citemill.config import Settings
 from citemill.operators.dense import dense_topk as topk_one
 from citemill.operators.dense import dense_topk_batch as topk_many
 from citemill.operators.dense import filtered
-from citemill.operators.keyword import KeywordIndex, keyword_search
+from citemill.operators.keyword import KeywordIndex, document_terms, keyword_search
 from citemill.operators.retrieval import retrieve
 from citemill.plans.ask import embedder_for
 
@@ -41,16 +41,16 @@ def one_question(t: Tables) -> DataFrame:
 
 
 ONE_QUESTION = f"questions AS (SELECT 0 AS question_id, '{QUESTION}' AS question)"
-RANKED = "SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM {}"
+RANKED = "SELECT question_id, chunk_id, rank, score FROM {}"
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    return df.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return df.select("question_id", "chunk_id", "rank", "score")
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.POSTINGS) + "SELECT chunk_id, term, tf, dl FROM posting JOIN length USING (chunk_id)")
 def postings(t: Tables) -> DataFrame:
-    return keyword_index(t).postings.select("chunk_id", "term", "tf", "dl")
+    return document_terms(document_store(t, embed=False)).select("chunk_id", "term", "tf", "dl")
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.POSTINGS) + "SELECT n AS n_docs, round(avg_dl, 6) AS avg_dl FROM corpus")
@@ -103,7 +103,7 @@ _EXAMPLE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]"
 
 def _by_example(where: str) -> str:
     return f"""
-    SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank
+    SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank
     FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_EXAMPLE}), 9) AS score
           FROM embeddings WHERE {where}) ORDER BY score DESC, vec_id LIMIT 20"""
 
@@ -115,13 +115,13 @@ def _example(t: Tables) -> list[float]:
 @query(_by_example("true"))
 def dense_topk(t: Tables) -> DataFrame:
     best = topk_one(t.embeddings, _example(t), SETTINGS.top_k_dense, key="vec_id")
-    return best.select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return best.select("vec_id", "score", "rank")
 
 
 @query(_by_example("label IN (1, 3, 5)"))
 def dense_topk_filtered(t: Tables) -> DataFrame:
     best = topk_one(t.embeddings, _example(t), SETTINGS.top_k_dense, {"label": {"$in": [1, 3, 5]}}, "vec_id")
-    return best.select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return best.select("vec_id", "score", "rank")
 
 
 @query("""
@@ -130,7 +130,7 @@ centre AS (SELECT label, list(m ORDER BY s) AS c FROM (SELECT label, s, avg(v) A
 scored AS (
   SELECT c.label AS question_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS score
   FROM centre c, embeddings e)
-SELECT question_id, vec_id, rank, round(score, 6) AS score FROM (
+SELECT question_id, vec_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """)
@@ -142,7 +142,7 @@ def dense_topk_batch(t: Tables) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s.v).alias("embedding")
     ).withColumnRenamed("label", "question_id")
     best = topk_many(t.embeddings, centres, SETTINGS, key="vec_id")
-    return best.select("question_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return best.select("question_id", "vec_id", "rank", "score")
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.DENSE) + RANKED.format("dense"))

@@ -15,22 +15,15 @@ def fuse(dense: DataFrame, keyword: DataFrame, settings: Settings, key: str = "c
     Each leg has question_id, key, rank and score. Equal sums keep the dense
     order, then the keyword order. A candidate of the keyword leg shows score 0.
     """
-    share = 1.0 / (F.lit(settings.rrf_k) + F.col("rank"))
-    legs = dense.select(
-        "question_id", key, share.alias("share"), F.col("rank").alias("dense_rank"),
-        F.lit(None).cast("int").alias("keyword_rank"), "score",
-    ).unionByName(keyword.select(
-        "question_id", key, share.alias("share"), F.lit(None).cast("int").alias("dense_rank"),
-        F.col("rank").alias("keyword_rank"), F.lit(None).cast("double").alias("score"),
-    ))
-    fused = legs.groupBy("question_id", key).agg(
-        F.sum("share").alias("rrf"),
-        F.max("dense_rank").alias("dense_rank"),
-        F.max("keyword_rank").alias("keyword_rank"),
-        F.max("score").alias("dense_score"),
-    ).withColumn(
-        "score", F.when(F.col("keyword_rank").isNotNull(), 0.0).otherwise(F.col("dense_score"))
+    leg = lambda df, name: df.select(
+        "question_id", key, F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score")
     )
+    share = lambda rank: F.coalesce(1.0 / (F.lit(settings.rrf_k) + F.col(rank)), F.lit(0.0))
+    both = leg(dense, "dense").join(leg(keyword, "keyword"), ["question_id", key], "full_outer")
+    fused = both.withColumns({
+        "rrf": share("dense_rank") + share("keyword_rank"),
+        "score": F.when(F.col("keyword_rank").isNotNull(), 0.0).otherwise(F.col("dense_score")),
+    })
     order = [
         F.col("rrf").desc(), F.col("dense_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(),
     ]

@@ -11,7 +11,7 @@ from citemill.config import Settings
 from citemill.functions.text import is_keyword, keywords, words
 from citemill.functions.vectors import SCORE_DECIMALS
 from citemill.operators.ranking import rank_per_question
-from citemill.session import fits
+from citemill.session import fits, stage
 
 SALTS = 32
 
@@ -49,29 +49,36 @@ class KeywordIndex:
     key: str = "chunk_id"
 
     @classmethod
-    def build(
-        cls, docs: DataFrame, settings: Settings, key: str = "chunk_id", text: str = "text"
-    ) -> KeywordIndex:
-        postings = document_terms(docs, key, text)
+    def of(cls, postings: DataFrame, docs: DataFrame, settings: Settings, key: str) -> KeywordIndex:
+        """Index of given postings; ``docs`` is only counted."""
         n_docs = docs.agg(F.count("*")).scalar()
         stats = postings.agg(
             n_docs.alias("n_docs"), F.try_divide(F.sum("tf"), n_docs).alias("avg_dl")
         )
         return cls(postings, term_idf(postings, n_docs, settings.bm25_epsilon), stats, key)
 
-    def write(self, path: str) -> KeywordIndex:
-        """Store the index; postings are clustered by term, so that a search
-        reads the row groups of its own terms."""
-        spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", self.key).sortWithinPartitions("term").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/postings")
-        stored = KeywordIndex(
-            spark.read.parquet(f"{path}/postings"), self.terms, self.stats, self.key
-        )
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return KeywordIndex.read(spark, path, stored.key)
+    @classmethod
+    def build(
+        cls, docs: DataFrame, settings: Settings, key: str = "chunk_id", text: str = "text"
+    ) -> KeywordIndex:
+        """Index for a few searches: texts are split once and the postings staged."""
+        return cls.of(stage(document_terms(docs, key, text), "postings"), docs, settings, key)
+
+    @classmethod
+    def write(
+        cls, docs: DataFrame, path: str, settings: Settings, key: str = "chunk_id", text: str = "text"
+    ) -> KeywordIndex:
+        """Index kept at ``path``. Postings are clustered by term, so that a
+        search reads the row groups of its own terms; a frequent term spans
+        several files."""
+        spark = docs.sparkSession
+        document_terms(docs, key, text).repartitionByRange("term", key).sortWithinPartitions(
+            "term"
+        ).write.mode("overwrite").parquet(f"{path}/postings")
+        index = cls.of(spark.read.parquet(f"{path}/postings"), docs, settings, key)
+        index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return cls.read(spark, path, key)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, key: str = "chunk_id") -> KeywordIndex:

@@ -29,15 +29,18 @@ def valid_question(question: Column) -> Column:
     return F.coalesce(F.length(question).between(MIN_QUESTION, MAX_QUESTION), F.lit(False))
 
 
-def with_payload(candidates: DataFrame, store: DataFrame, settings: Settings) -> DataFrame:
-    """Candidates joined to the text and metadata of their chunks.
+def with_payload(
+    candidates: DataFrame, store: DataFrame, questions: DataFrame, settings: Settings
+) -> DataFrame:
+    """Candidates with their question and the text and metadata of their chunks.
 
-    Ranking reads keys and vectors only; texts are read for the winners. The
-    winners are broadcast while few, so the store is not shuffled.
+    Ranking reads keys and vectors only; texts are read for the winners. There
+    are at most ``fused_top_k`` winners per question: while the questions are
+    few enough, the winners are broadcast and the store is not shuffled.
     """
-    payload = store.drop("embedding")
-    small = fits(candidates, settings.broadcast_rows)
-    return payload.join(F.broadcast(candidates) if small else candidates, "chunk_id")
+    asked = candidates.join(questions, "question_id")
+    small = fits(questions, settings.broadcast_rows // settings.fused_top_k)
+    return store.drop("embedding").join(F.broadcast(asked) if small else asked, "chunk_id")
 
 
 def embedder_for(settings: Settings) -> HashingEmbedder:
@@ -65,7 +68,7 @@ def ask_many(
     generator = generator or choose_generator(settings)
     valid = questions.where(valid_question(F.col("question")))
     found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
-    candidates = with_payload(found, store, settings).join(valid, "question_id")
+    candidates = with_payload(found, store, valid, settings)
     sourced = collect_sources(rerank(candidates, settings, scorer)).withColumn(
         "sources", F.col("sources").cast(_SOURCES)
     ).join(valid, "question_id")

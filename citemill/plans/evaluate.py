@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citemill.config import Settings
 from citemill.operators.evaluation import lexical_judge, score_responses, scorecard
 from citemill.plans.ask import ask_many
-from citemill.session import fits
+from citemill.session import fits, stage
 
 CONTEXT_CHARS = 200
 
@@ -18,7 +18,7 @@ def with_context(responses: DataFrame, store: DataFrame, settings: Settings) ->
     cited = responses.select("question_id", F.posexplode(
         F.transform("citations", lambda c: c.chunk_id)
     ).alias("place", "chunk_id"))
-    few = fits(cited, settings.broadcast_rows)
+    few = fits(responses, settings.broadcast_rows // settings.rerank_top_n)
     heads = store.select("chunk_id", F.substring("text", 1, CONTEXT_CHARS).alias("head")).join(
         F.broadcast(cited) if few else cited, "chunk_id"
     )
@@ -34,7 +34,9 @@ def evaluate(
     store: DataFrame, golden: DataFrame, settings: Settings, judge=lexical_judge, **parts
 ) -> tuple[DataFrame, DataFrame]:
     """Per-question scores and the one-row scorecard. Questions are asked
-    without filters."""
-    responses = ask_many(store, golden.select("question_id", "question"), settings, **parts)
+    without filters. The responses are staged: they are read twice, and asking a
+    generator again costs money and may answer differently."""
+    asked = ask_many(store, golden.select("question_id", "question"), settings, **parts)
+    responses = stage(asked, "responses")
     scored = score_responses(golden, with_context(responses, store, settings), judge)
     return scored, scorecard(scored, settings)

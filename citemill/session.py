@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +43,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it
+    is unset, as in local tests, a temporary one that ends with the process."""
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="citemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set(key, folder)
+    return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back.
+
+    For a result that several later steps read: it is computed once, survives
+    the loss of executors, and its columns and row groups can still be skipped.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -37,12 +37,10 @@ def stale_ids(stored: DataFrame, produced: DataFrame, key: str = "chunk_id") ->
 
 def id_difference(left: DataFrame, right: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Keys on one side only, with the side they are on."""
-    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
-    )
-    held = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return held.where(F.col("l") != F.col("r")).select(
-        key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side")
+    side = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    both = side(left, "l").join(side(right, "r"), key, "full_outer")
+    return both.where(F.col("l").isNull() | F.col("r").isNull()).select(
+        key, F.when(F.col("l"), "left").otherwise("right").alias("side")
     )
 
 
