@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.catalog import sqltext as q
-from citemill.catalog.registry import Tables, query
+from citemill.catalog.registry import Tables, built_once, query
 from citemill.catalog.search import HYBRID, SETTINGS, document_store, keyword_index
 from citemill.config import ABSTENTION
 from citemill.functions.citations import is_abstention, marker_numbers
@@ -16,7 +16,7 @@ from citemill.operators.citing import conclude, out_of_range, resolve_citations
 from citemill.operators.evaluation import exact_overlap
 from citemill.operators.evaluation import scorecard as card
 from citemill.operators.generation import extractive_answer, generation_cost
-from citemill.operators.keyword import keyword_search
+from citemill.operators.keyword import KeywordIndex, keyword_search
 from citemill.operators.prompting import collect_sources, prompt
 from citemill.operators.rerank import lexical_scorer, rerank
 from citemill.plans.ask import ask_many, valid_question, with_payload
@@ -183,7 +183,13 @@ def question_valid(t: Tables) -> DataFrame:
 
 def chunk_store(t: Tables) -> DataFrame:
     """The chunks of all documents, embedded and written, as a store holds them."""
-    return stage(embed_chunks(chunk_sections(t.sections, SETTINGS), SETTINGS), "chunks")
+    return built_once(
+        "chunks", t, lambda: stage(embed_chunks(chunk_sections(t.sections, SETTINGS), SETTINGS), "chunks")
+    )
+
+
+def chunk_index(t: Tables) -> KeywordIndex:
+    return built_once("chunk postings", t, lambda: KeywordIndex.build(chunk_store(t), SETTINGS))
 
 
 _FUSED_CANDIDATES = "candidates AS (SELECT question_id, chunk_id, rank FROM fused)"
@@ -211,7 +217,7 @@ _ASK = (
 @query(q.with_(*_ASK) + "SELECT question_id, md5(answer) AS answer_md5, abstained, ids AS cited_ids FROM final")
 def ask_batch(t: Tables) -> DataFrame:
     """Cited answers to all benchmark questions over the chunks of all documents."""
-    responses = ask_many(chunk_store(t), t.questions, HYBRID)
+    responses = ask_many(chunk_store(t), t.questions, HYBRID, index=chunk_index(t))
     return responses.select(
         "question_id", F.md5(F.encode("answer", "UTF-8")).alias("answer_md5"), "abstained",
         F.array_join(F.transform("citations", lambda c: c.chunk_id), ",").alias("cited_ids"),
@@ -265,7 +271,7 @@ SELECT question_id, hit AS hit_10, round(grounded, 6) AS groundedness, round(rel
        CASE WHEN refuse THEN abstained END AS refused FROM scored
 """)
 def evaluation_scores(t: Tables) -> DataFrame:
-    scored, _ = evaluate(chunk_store(t), golden(t), HYBRID)
+    scored, _ = evaluate(chunk_store(t), golden(t), HYBRID, index=chunk_index(t))
     return scored.select(
         "question_id", "hit_10", F.round("judge.groundedness", 6).alias("groundedness"),
         F.round("judge.relevance", 6).alias("relevance"), "refused",
@@ -280,7 +286,7 @@ SELECT count(*) AS n_questions, round(coalesce(avg(hit), 0), 4) AS recall_10,
   coalesce(avg(hit), 0) >= 0.85 AND coalesce(avg(grounded), 0) >= 0.9 AS phase1_pass FROM scored
 """)
 def scorecard(t: Tables) -> DataFrame:
-    _, row = evaluate(chunk_store(t), golden(t), HYBRID)
+    _, row = evaluate(chunk_store(t), golden(t), HYBRID, index=chunk_index(t))
     return row.select(
         "n_questions", "recall_10", "groundedness", "relevance", "abstain_correct", "abstain_total",
         "abstain_accuracy", "phase1_pass",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from citemill.session import spread
 
+_BUILT: dict[tuple[str, str, str], object] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,6 +49,14 @@ class Tables:
         )
 
 
+def built_once(name: str, t: Tables, build: Callable[[], object]):
+    """An index over the tables, built at first use and kept for the session."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of :class:`Tables` under its own name, with the SQL
     that gives the same rows."""

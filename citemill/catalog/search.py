@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.catalog import sqltext as q
-from citemill.catalog.registry import Tables, query
+from citemill.catalog.registry import Tables, built_once, query
 from citemill.config import Settings
 from citemill.operators.dense import dense_topk as topk_one
 from citemill.operators.dense import dense_topk_batch as topk_many
@@ -33,7 +33,7 @@ def document_store(t: Tables, embed: bool = True) -> DataFrame:
 
 
 def keyword_index(t: Tables) -> KeywordIndex:
-    return KeywordIndex.build(document_store(t, embed=False), SETTINGS)
+    return built_once("document postings", t, lambda: KeywordIndex.build(document_store(t, embed=False), SETTINGS))
 
 
 def one_question(t: Tables) -> DataFrame:
@@ -87,7 +87,7 @@ def keyword_topk_filtered(t: Tables) -> DataFrame:
 
 @query(q.with_(q.DOCUMENT_STORE, q.STORE_VECTORS) + "SELECT chunk_id, slot, round(v, 6) AS v FROM sv WHERE v <> 0")
 def embed_documents(t: Tables) -> DataFrame:
-    vectors = document_store(t).select("chunk_id", F.posexplode("embedding").alias("slot", "v"))
+    vectors = document_store(t).select("chunk_id", F.posexplode_outer("embedding").alias("slot", "v"))
     return vectors.where(F.col("v") != 0).select("chunk_id", "slot", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
@@ -150,29 +150,33 @@ def retrieve_dense(t: Tables) -> DataFrame:
     return _ranked(retrieve(document_store(t), t.questions, SETTINGS, embedder_for(SETTINGS)))
 
 
+def _hybrid(t: Tables, where: dict | None = None, **options) -> DataFrame:
+    return retrieve(
+        document_store(t), t.questions, HYBRID, embedder_for(SETTINGS), where, keyword_index(t), **options
+    )
+
+
 _HYBRID_SQL = q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD, q.DENSE, q.FUSED)
 
 
 @query(_HYBRID_SQL + RANKED.format("fused"))
 def rrf_hybrid(t: Tables) -> DataFrame:
-    return _ranked(retrieve(document_store(t), t.questions, HYBRID, embedder_for(SETTINGS)))
+    return _ranked(_hybrid(t))
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, _ENGLISH_KEYWORD, _ENGLISH_DENSE, q.FUSED) + RANKED.format("fused"))
 def hybrid_filtered(t: Tables) -> DataFrame:
-    return _ranked(retrieve(document_store(t), t.questions, HYBRID, embedder_for(SETTINGS), ENGLISH))
+    return _ranked(_hybrid(t, ENGLISH))
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD, _ENGLISH_DENSE, q.FUSED) + RANKED.format("fused"))
 def hybrid_unfiltered_keywords(t: Tables) -> DataFrame:
     """A filter on the dense leg only."""
-    return _ranked(retrieve(
-        document_store(t), t.questions, HYBRID, embedder_for(SETTINGS), ENGLISH, unfiltered_keywords=True
-    ))
+    return _ranked(_hybrid(t, ENGLISH, unfiltered_keywords=True))
 
 
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS) + "SELECT question_id, 0 AS chunk_id, 0 AS rank, 0.0 AS score FROM questions WHERE false")
 def hybrid_filter_empty(t: Tables) -> DataFrame:
     """A filter that admits nothing is not widened."""
     nothing = {"section": "no such section"}
-    return _ranked(retrieve(document_store(t), t.questions, HYBRID, embedder_for(SETTINGS), nothing))
+    return _ranked(_hybrid(t, nothing))

@@ -81,7 +81,9 @@ SELECT doc_id, ord, section, md5({q.strip('part')}) AS text_md5 FROM sec
 """)
 def sections_by_heading(t: Tables) -> DataFrame:
     found = t.texts.select("doc_id", sections.headed_sections(_spark(HEADED)).alias("s"))
-    return found.select("doc_id", F.explode("s").alias("s")).select(
+    # The outer form keeps Spark from testing the array for emptiness beforehand,
+    # which would extract the sections twice.
+    return found.select("doc_id", F.explode_outer("s").alias("s")).where("s IS NOT NULL").select(
         "doc_id", "s.ord", "s.section", F.md5(F.encode("s.text", "UTF-8")).alias("text_md5")
     )
 

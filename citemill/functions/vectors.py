@@ -1,12 +1,12 @@
 """Embedding and vector expressions.
 
-Token hashing is a JVM expression; the dense vector is then counted per Arrow
-batch. Vector arithmetic also works on Arrow batches: Spark has no vector type
-and evaluates nested array lambdas element by element.
+Words are cut in the JVM; hashing and vector arithmetic work on whole Arrow
+batches: Spark has no vector type and evaluates array lambdas element by element.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -63,29 +63,27 @@ def has_nan(embedding: Column) -> Column:
     return F.exists(embedding, lambda x: F.isnan(x))
 
 
-def signed_buckets(text: Column, dim: int) -> Column:
-    """One signed slot number, 1..dim or its negative, per word of ``text``."""
+def _word_slot(word: str, dim: int) -> int:
+    """Slot 1..dim of a word, negative for half of the words."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    slot = int(digest[:8], 16) % dim + 1
+    return -slot if digest[8] < "8" else slot
 
-    def slot(word: Column) -> Column:
-        digest = F.md5(F.encode(word, "UTF-8"))
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim + 1
-        negative = F.substring(digest, 9, 1) < "8"
-        return F.when(negative, -bucket).otherwise(bucket).cast("int")
 
-    return F.transform(F.filter(words(text), lambda w: w != ""), slot)
-
-
-def _count_slots(dim: int, normalize: bool) -> Callable[[Column], Column]:
+def _hash_words(dim: int, normalize: bool) -> Callable[[Column], Column]:
     @F.arrow_udf("array<float>")
-    def count(slots: pa.Array) -> pa.Array:
-        flat = slots.flatten().to_numpy(zero_copy_only=False)
-        lengths = slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        cell = np.repeat(np.arange(len(slots)), lengths) * dim + np.abs(flat) - 1
-        sums = np.bincount(cell, weights=np.sign(flat), minlength=len(slots) * dim)
-        matrix = sums.reshape(len(slots), dim)
+    def vectors(texts: pa.Array) -> pa.Array:
+        lengths = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        # Every distinct word of the batch is hashed once.
+        coded = texts.flatten().dictionary_encode()
+        slots = np.array([_word_slot(w, dim) for w in coded.dictionary.to_pylist()] or [1])
+        flat = slots[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        cell = np.repeat(np.arange(len(texts)), lengths) * dim + np.abs(flat) - 1
+        sums = np.bincount(cell, weights=np.sign(flat), minlength=len(texts) * dim)
+        matrix = sums.reshape(len(texts), dim)
         return float_lists(unit_rows(matrix) if normalize else matrix)
 
-    return count
+    return vectors
 
 
 class HashingEmbedder:
@@ -101,7 +99,7 @@ class HashingEmbedder:
         self.dim = dim
         self.document_prefix = document_prefix
         self.query_prefix = query_prefix
-        self._count = _count_slots(dim, normalize)
+        self._vectors = _hash_words(dim, normalize)
 
     def documents(self, text: Column) -> Column:
         return self._embed(self.document_prefix, text)
@@ -111,7 +109,7 @@ class HashingEmbedder:
 
     def _embed(self, prefix: str, text: Column) -> Column:
         # The prefix is part of the model input only; the stored text stays as is.
-        return self._count(signed_buckets(F.concat(F.lit(prefix), text), self.dim))
+        return self._vectors(F.filter(words(F.concat(F.lit(prefix), text)), lambda w: w != ""))
 
 
 def pick_device(setting: str = "auto", available: Iterator[str] | list[str] = ()) -> str:

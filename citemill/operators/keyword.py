@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
+from citemill.functions.binding import let
 from citemill.functions.text import is_keyword, keywords, words
 from citemill.functions.vectors import SCORE_DECIMALS
 from citemill.operators.ranking import rank_per_question
@@ -20,9 +21,11 @@ def document_terms(docs: DataFrame, key: str = "chunk_id", text: str = "text") -
     """Postings: one row per document and term, with ``tf`` and the document
     length ``dl``. The length rides along as a grouping key, so one shuffle on
     (document, term) gives both."""
-    counted = docs.select(F.col(key), keywords(F.col(text)).alias("_terms"))
-    exploded = counted.select(
-        key, F.size("_terms").alias("dl"), F.explode("_terms").alias("term")
+    sized = lambda k: F.transform(
+        k, lambda w: F.struct(F.size(k).alias("dl"), w.alias("term"))
+    )
+    exploded = docs.select(key, F.explode(let(keywords(F.col(text)), sized)).alias("k")).select(
+        key, "k.dl", "k.term"
     )
     return exploded.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 

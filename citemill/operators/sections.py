@@ -52,24 +52,26 @@ def headed_sections(text: Column) -> Column:
     later match of the next heading in the list, else at the end of the text.
     """
 
-    def found(i: int) -> Column:
+    def found(whole: Column, i: int) -> Column:
         label, pattern = SECTION_HEADINGS[i]
 
         def body(start: Column) -> Column:
-            rest = F.substring(text, start, F.length(text))
+            rest = F.substring(whole, start, F.length(whole))
             if i + 1 == len(SECTION_HEADINGS):
-                span = rest
-            else:
-                after = F.substring(text, start + 1, F.length(text))
-                stop = F.regexp_instr(after, F.lit(SECTION_HEADINGS[i + 1][1]))
-                span = let(
-                    stop, lambda n: F.when(n > 0, F.substring(text, start, n)).otherwise(rest)
-                )
+                return F.when(start > 0, _section(i, label, strip(rest)))
+            # Searched from the second character on, so that the section's own
+            # first character cannot open the next one.
+            span = let(rest, lambda r: let(
+                F.regexp_instr(F.substring(r, F.lit(2), F.length(r)), F.lit(SECTION_HEADINGS[i + 1][1])),
+                lambda stop: F.when(stop > 0, F.substring(r, F.lit(1), stop)).otherwise(r),
+            ))
             return F.when(start > 0, _section(i, label, strip(span)))
 
-        return let(F.regexp_instr(text, F.lit(pattern)), body)
+        return let(F.regexp_instr(whole, F.lit(pattern)), body)
 
-    return F.array_compact(F.array(*[found(i) for i in range(len(SECTION_HEADINGS))]))
+    return let(text, lambda whole: F.array_compact(
+        F.array(*[found(whole, i) for i in range(len(SECTION_HEADINGS))])
+    ))
 
 
 def extract_sections(df: DataFrame, items: str, text: str, failed: str) -> DataFrame:
