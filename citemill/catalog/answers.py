@@ -251,6 +251,7 @@ held AS (
   SELECT DISTINCT source AS company, lang AS section, unnest({q.sentence_list('text')}) AS sentence FROM documents),
 expected AS (SELECT question_id, company, section FROM item JOIN held USING (sentence)),
 golden AS (SELECT question_id, text, question_id NOT IN (SELECT question_id FROM expected) AS refuse FROM item)"""
+_SAID = f"regexp_replace(f.answer, '{q.MARKER}', ' ', 'g')"
 _SCORED = f"""
 scored AS (
   SELECT g.question_id, g.refuse, f.abstained,
@@ -258,23 +259,25 @@ scored AS (
       ON c.question_id = e.question_id AND c.company = e.company AND c.section = e.section
       WHERE c.question_id = g.question_id)::INT::DOUBLE END AS hit,
     CASE WHEN NOT refuse AND NOT f.abstained THEN
-      len(list_intersect({q.keyword_list('f.answer')}, {q.keyword_list('f.context')}))::DOUBLE
-        / nullif(len(list_distinct({q.keyword_list('f.answer')})), 0) END AS grounded,
+      len(list_intersect({q.keyword_list(_SAID)}, {q.keyword_list('f.context')}))::DOUBLE
+        / nullif(len(list_distinct({q.keyword_list(_SAID)})), 0) END AS grounded,
     CASE WHEN NOT refuse AND NOT f.abstained THEN
-      len(list_intersect({q.keyword_list('f.question')}, {q.keyword_list('f.answer')}))::DOUBLE
+      len(list_intersect({q.keyword_list('f.question')}, {q.keyword_list(_SAID)}))::DOUBLE
         / nullif(len(list_distinct({q.keyword_list('f.question')})), 0) END AS relevant
   FROM golden g JOIN final f USING (question_id))"""
 
 
 @query(q.with_(*_ASK, _GOLDEN, _SCORED) + """
-SELECT question_id, hit AS hit_10, round(grounded, 6) AS groundedness, round(relevant, 6) AS relevance,
-       CASE WHEN refuse THEN abstained END AS refused FROM scored
+SELECT question_id, coalesce(hit, -1) AS hit_10, coalesce(round(grounded, 6), -1) AS groundedness,
+       coalesce(round(relevant, 6), -1) AS relevance, refuse AS should_abstain, abstained FROM scored
 """)
 def evaluation_scores(t: Tables) -> DataFrame:
+    """Scores per question; -1 where a score does not apply."""
     scored, _ = evaluate(chunk_store(t), golden(t), HYBRID, index=chunk_index(t))
+    known = lambda c, name: F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(name)
     return scored.select(
-        "question_id", "hit_10", F.round("judge.groundedness", 6).alias("groundedness"),
-        F.round("judge.relevance", 6).alias("relevance"), "refused",
+        "question_id", known("hit_10", "hit_10"), known("judge.groundedness", "groundedness"),
+        known("judge.relevance", "relevance"), F.col("refuse").alias("should_abstain"), "abstained",
     )
 
 

@@ -175,7 +175,7 @@ def hybrid_unfiltered_keywords(t: Tables) -> DataFrame:
     return _ranked(_hybrid(t, ENGLISH, unfiltered_keywords=True))
 
 
-@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS) + "SELECT question_id, 0 AS chunk_id, 0 AS rank, 0.0 AS score FROM questions WHERE false")
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS) + "SELECT question_id, 0 AS chunk_id, 0 AS rank, 0.0::DOUBLE AS score FROM questions WHERE false")
 def hybrid_filter_empty(t: Tables) -> DataFrame:
     """A filter that admits nothing is not widened."""
     nothing = {"section": "no such section"}

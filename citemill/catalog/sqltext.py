@@ -11,6 +11,7 @@ from citemill.functions.text import ODD_SPACES, SPACES
 S = f"[{SPACES}]"
 PIECE = rf"(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]){S}*"
 STOP = ", ".join(f"'{w}'" for w in EFFECTIVE_STOPWORDS)
+MARKER = rf"\[(\d+(?:{S}*[,\-]{S}*\d+)*)\]"
 PHRASE = ABSTENTION.replace("'", "''")
 
 
@@ -142,7 +143,7 @@ POSTINGS = f"""
 posting AS (
   SELECT chunk_id, term, count(*) AS tf
   FROM (SELECT chunk_id, unnest({keyword_list('text')}) AS term FROM store) GROUP BY ALL),
-length AS (SELECT chunk_id, sum(tf) AS dl FROM posting GROUP BY chunk_id),
+length AS (SELECT chunk_id, sum(tf)::BIGINT AS dl FROM posting GROUP BY chunk_id),
 corpus AS (
   SELECT (SELECT count(*) FROM store) AS n, (SELECT sum(tf) FROM posting) / (SELECT count(*) FROM store) AS avg_dl),
 df AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
@@ -245,11 +246,10 @@ reply AS (
 
 def marker_numbers(key: str, source: str, text: str) -> str:
     """marker(key, n, place): numbers cited in a text, at their first place."""
-    group = rf"\[(\d+(?:{S}*[,\-]{S}*\d+)*)\]"
     return f"""
 grp AS (
   SELECT {key}, unnest(grps) AS grp, unnest(range(len(grps))) AS g
-  FROM (SELECT {key}, regexp_extract_all({text}, '{group}', 1) AS grps FROM {source})),
+  FROM (SELECT {key}, regexp_extract_all({text}, '{MARKER}', 1) AS grps FROM {source})),
 part AS (
   SELECT {key}, unnest(ps) AS part, g * 1000 + unnest(range(len(ps))) AS o
   FROM (SELECT {key}, g, string_split(grp, ',') AS ps FROM grp)),

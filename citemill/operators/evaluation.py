@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
+from citemill.functions.citations import MARKER
 from citemill.functions.text import keywords
 from citemill.operators.generation import post_json
 
@@ -53,11 +54,13 @@ def _share(of: Column, within: Column) -> Column:
 
 
 def lexical_judge(question: Column, context: Column, reference: Column, answer: Column) -> Column:
-    """Judge that needs no model: scores are shares of keywords, 0 to 1."""
+    """Judge that needs no model: scores are shares of keywords, 0 to 1. Citation
+    markers are no part of what an answer says."""
+    said = F.regexp_replace(answer, MARKER, " ")
     return F.struct(
-        _share(answer, context).alias("groundedness"),
-        _share(question, answer).alias("relevance"),
-        _share(reference, answer).alias("correctness"),
+        _share(said, context).alias("groundedness"),
+        _share(question, said).alias("relevance"),
+        _share(reference, said).alias("correctness"),
     )
 
 
