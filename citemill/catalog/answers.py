@@ -22,7 +22,7 @@ from citemill.operators.rerank import lexical_scorer, rerank
 from citemill.plans.ask import ask_many, valid_question, with_payload
 from citemill.plans.evaluate import evaluate
 from citemill.plans.index import embed_chunks
-from citemill.session import spread, stage
+from citemill.session import spread, spread_by_key, stage
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -31,7 +31,7 @@ def candidates(t: Tables) -> DataFrame:
         "fiscal_year": F.lit(2024), "source_url": F.lit("https://example.com"),
     })
     found = keyword_search(keyword_index(t), t.questions, SETTINGS)
-    return with_payload(found, store, t.questions, SETTINGS)
+    return spread_by_key(with_payload(found, store, t.questions, SETTINGS), "question_id")
 
 
 _CANDIDATES = "candidates AS (SELECT question_id, chunk_id, rank FROM keyword)"
@@ -235,8 +235,11 @@ def golden(t: Tables) -> DataFrame:
     )
     held = t.texts.select(
         F.col("source").alias("company"), F.col("lang").alias("section"), F.explode(sentences(F.col("text"))).alias("sentence")
+    )
+    found = held.join(items.select("question_id", "sentence"), "sentence").select(
+        "question_id", "company", "section"
     ).distinct()
-    sources = items.join(held, "sentence").groupBy("question_id").agg(F.collect_set(F.struct(
+    sources = found.groupBy("question_id").agg(F.collect_list(F.struct(
         "company", F.lit(2024).alias("year"), "section", F.lit(None).cast("string").alias("chunk_id")
     )).alias("expected_sources"))
     return items.drop("sentence").join(sources, "question_id", "left").withColumn(

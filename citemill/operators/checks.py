@@ -171,8 +171,10 @@ def check_store(stored: DataFrame, produced: DataFrame) -> DataFrame:
 def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
     """Every ``n``-th row in the order of a column, the first included. Row
     numbers come from per-partition counts after a range sort, so no task sees
-    more than its own partition."""
-    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
+    more than its own partition. The number of partitions is given, which keeps
+    adaptive execution from merging them differently for the two uses."""
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n_parts, order).sortWithinPartitions(order)
     numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

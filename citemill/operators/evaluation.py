@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
+from citemill.functions.binding import let
 from citemill.functions.citations import MARKER
 from citemill.functions.text import keywords
 from citemill.operators.generation import post_json
@@ -46,11 +47,11 @@ def source_recall_at(citations: Column, expected: Column, k: int) -> Column:
 
 def _share(of: Column, within: Column) -> Column:
     """Share of the distinct keywords of one text that another has."""
-    mine = F.array_distinct(keywords(of))
-    return F.coalesce(
-        F.try_divide(F.size(F.array_intersect(mine, keywords(within))).cast("double"), F.size(mine).cast("double")),
-        F.lit(0.0),
-    )
+    def share(mine: Column) -> Column:
+        shared = F.size(F.array_intersect(mine, keywords(within))).cast("double")
+        return F.coalesce(F.try_divide(shared, F.size(mine).cast("double")), F.lit(0.0))
+
+    return let(F.array_distinct(keywords(of)), share)
 
 
 def lexical_judge(question: Column, context: Column, reference: Column, answer: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citemill.config import ABSTENTION, Settings
+from citemill.functions.binding import let
 from citemill.functions.text import keywords, sentences
 from citemill.operators.prompting import SYSTEM_PROMPT
 from citemill.schemas import GENERATION
@@ -63,17 +64,19 @@ def best_sentence(question_words: Column, text: Column) -> Column:
 def extractive_answer(question: Column, sources: Column) -> Column:
     """The best sentence of every source that shares a keyword with the question,
     each followed by its marker; the abstention phrase when there is none."""
-    lines = F.transform(
-        sources,
-        lambda c: F.struct(
-            best_sentence(F.array_distinct(keywords(question)), c.text).alias("best"), c.rank.alias("rank")
-        ),
-    )
-    useful = F.filter(lines, lambda x: x.best.shared > 0)
-    cited = F.transform(
-        useful, lambda x: F.concat(x.best.sentence, F.lit(" ["), x.rank.cast("string"), F.lit("]"))
-    )
-    return F.when(F.size(useful) > 0, F.array_join(cited, " ")).otherwise(ABSTENTION)
+    def answer(asked: Column) -> Column:
+        lines = F.transform(
+            sources,
+            lambda c: F.struct(best_sentence(asked, c.text).alias("best"), c.rank.alias("rank")),
+        )
+        useful = F.filter(lines, lambda x: x.best.shared > 0)
+        cited = F.transform(
+            useful,
+            lambda x: F.concat(x.best.sentence, F.lit(" ["), x.rank.cast("string"), F.lit("]")),
+        )
+        return let(cited, lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).otherwise(ABSTENTION))
+
+    return let(F.array_distinct(keywords(question)), answer)
 
 
 def extractive_generator(question: Column, sources: Column, prompt: Column) -> Column:

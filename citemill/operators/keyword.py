@@ -64,8 +64,9 @@ class KeywordIndex:
     def build(
         cls, docs: DataFrame, settings: Settings, key: str = "chunk_id", text: str = "text"
     ) -> KeywordIndex:
-        """Index for a few searches: texts are split once and the postings staged."""
-        return cls.of(stage(document_terms(docs, key, text), "postings"), docs, settings, key)
+        """Index for a few searches: every table is computed once and staged."""
+        index = cls.of(stage(document_terms(docs, key, text), "postings"), docs, settings, key)
+        return cls(index.postings, stage(index.terms, "terms"), stage(index.stats, "stats"), key)
 
     @classmethod
     def write(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
+from citemill.functions.binding import let
 from citemill.functions.text import keywords
 from citemill.operators.ranking import rank_per_question
 
@@ -19,10 +20,11 @@ Scorer = Callable[[Column, Column], Column]
 def lexical_scorer(question: Column, text: Column) -> Column:
     """Share of the question's distinct keywords that the text has, scaled to
     -4 (none) .. 4 (all). Needs no model."""
-    asked = F.array_distinct(keywords(question))
-    shared = F.size(F.array_intersect(asked, keywords(text)))
-    share = F.try_divide(shared.cast("double"), F.size(asked).cast("double"))
-    return F.coalesce(share, F.lit(0.0)) * 8.0 - 4.0
+    def share(asked: Column) -> Column:
+        shared = F.size(F.array_intersect(asked, keywords(text))).cast("double")
+        return F.coalesce(F.try_divide(shared, F.size(asked).cast("double")), F.lit(0.0))
+
+    return let(F.array_distinct(keywords(question)), share) * 8.0 - 4.0
 
 
 def model_scorer(

@@ -15,7 +15,7 @@ from citemill.operators.keyword import KeywordIndex
 from citemill.operators.prompting import collect_sources, prompt
 from citemill.operators.rerank import Scorer, lexical_scorer, rerank
 from citemill.operators.retrieval import retrieve
-from citemill.session import fits
+from citemill.session import fits, spread_by_key
 from citemill.sources.store import snapshot_hash
 
 MIN_QUESTION, MAX_QUESTION = 3, 2000
@@ -68,7 +68,7 @@ def ask_many(
     generator = generator or choose_generator(settings)
     valid = questions.where(valid_question(F.col("question")))
     found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
-    candidates = with_payload(found, store, valid, settings)
+    candidates = spread_by_key(with_payload(found, store, valid, settings), "question_id")
     sourced = collect_sources(rerank(candidates, settings, scorer)).withColumn(
         "sources", F.col("sources").cast(_SOURCES)
     ).join(valid, "question_id")
@@ -97,9 +97,14 @@ def ask_many(
 
 
 def ask(
-    store: DataFrame, question: str, settings: Settings, where: dict | None = None, **parts
+    store: DataFrame, question: str, settings: Settings, where: dict | None = None,
+    snapshot: str | None = None, **parts
 ) -> dict:
-    """Answer one question now, as a plain dict with a wall-clock ``total_ms``."""
+    """Answer one question now, as a plain dict with a wall-clock ``total_ms``.
+
+    ``snapshot`` is the store's hash where the caller keeps it between questions;
+    otherwise all stored keys are read for it.
+    """
     if not MIN_QUESTION <= len(question) <= MAX_QUESTION:
         raise ValueError(f"a question has {MIN_QUESTION} to {MAX_QUESTION} characters")
     started = time.monotonic()
@@ -107,6 +112,6 @@ def ask(
     response = ask_many(store, asked, settings, where, **parts).drop("question_id").first()
     return {
         **response.asDict(recursive=True),
-        "corpus_snapshot_hash": snapshot_hash(store).first()[0],
+        "corpus_snapshot_hash": snapshot or snapshot_hash(store).first()[0],
         "total_ms": int((time.monotonic() - started) * 1000),
     }

@@ -49,7 +49,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it
     is unset, as in local tests, a temporary one that ends with the process."""
     key = "spark.checkpoint.dir"
-    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    folder = spark.conf.get(key, None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="citemill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -57,13 +57,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Partition by ``key`` for costly work per row. The fixed number of
+    partitions keeps adaptive execution from merging them because they are few
+    bytes; later steps on the same key need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
     For a result that several later steps read: it is computed once, survives
     the loss of executors, and its columns and row groups can still be skipped.
+    The table goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from citemill.config import Settings
 from citemill.schemas import STORED_CHUNK
+from citemill.session import stage
 
 NO_INDEX = "no-index"
 
@@ -105,14 +106,15 @@ class ChunkStore:
         self._merge(chunks, merge_replace)
 
     def _merge(self, chunks: DataFrame, merge) -> None:
-        double = repeated(chunks).take(1)
+        new = stage(chunks.select(*STORED_CHUNK.names), "new-chunks")
+        double = repeated(new).take(1)
         if double:
             raise ValueError(f"chunk id {double[0]['chunk_id']} occurs more than once in one write")
-        merged = chunks.select(*STORED_CHUNK.names)
+        merged = new
         if self.exists():
-            touched = [r[0] for r in chunks.select(self._bucket().alias("b")).distinct().collect()]
+            touched = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]
             existing = self.spark.read.parquet(self.path).where(F.col("bucket").isin(touched))
-            merged = merge(existing.select(*STORED_CHUNK.names), merged)
+            merged = merge(existing.select(*STORED_CHUNK.names), new)
         # Rebalancing writes few files per bucket and splits a bucket that is large.
         (
             merged.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
