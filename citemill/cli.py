@@ -57,6 +57,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--store", default="store")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("check")
+    ingest_args = commands.add_parser("ingest")
+    ingest_args.add_argument("raw", help="parquet table of raw filings")
+    ingest_args.add_argument("--processed", default="processed")
+    ingest_args.add_argument("--cache", default="raw")
+    ingest_args.add_argument("--as-of", type=int, help="fiscal year where a period names none")
     index = commands.add_parser("index")
     index.add_argument("filings")
     index.add_argument("--verify", action="store_true")
@@ -79,6 +84,8 @@ def main(argv: list[str] | None = None) -> int:
 
     from citemill.plans.ask import ask
     from citemill.plans.evaluate import evaluate
+    from citemill.operators.ingest import ingest_counts
+    from citemill.plans.ingest import ingest
     from citemill.plans.index import build_index, verify_index
     from citemill.session import build_session
     from citemill.sources.files import read_filings, read_golden, write_scorecard
@@ -87,7 +94,12 @@ def main(argv: list[str] | None = None) -> int:
     settings = load_settings(args.config)
     spark = build_session()
     store = ChunkStore(spark, args.store, settings)
-    if args.command == "index":
+    if args.command == "ingest":
+        raw = spark.read.parquet(args.raw)
+        results = ingest(raw, args.processed, args.cache, settings, args.as_of)
+        counts = ingest_counts(results).first()
+        print(f"{counts['ok']} ok, {counts['failed']} failed")
+    elif args.command == "index":
         filings = read_filings(spark, args.filings)
         build_index(filings, store, settings)
         print(f"{store.count()} chunks stored")

@@ -125,7 +125,7 @@ def keyword_search(
     if allowed is not None:
         postings = postings.join(allowed.select(key), key, "left_semi")
     weighted = terms.join(index.terms.select("term", "idf"), "term")
-    if fits(questions, settings.broadcast_questions):
+    if fits(terms, settings.broadcast_rows):
         hits = postings.join(F.broadcast(weighted), "term")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

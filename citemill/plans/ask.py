@@ -32,15 +32,16 @@ def valid_question(question: Column) -> Column:
 def with_payload(
     candidates: DataFrame, store: DataFrame, questions: DataFrame, settings: Settings
 ) -> DataFrame:
-    """Candidates with their question and the text and metadata of their chunks.
+    """Candidates with their question and the text and metadata of their chunks,
+    partitioned by question.
 
     Ranking reads keys and vectors only; texts are read for the winners. There
     are at most ``fused_top_k`` winners per question: while the questions are
-    few enough, the winners are broadcast and the store is not shuffled.
+    few enough, the winners' keys are broadcast and the store is not shuffled.
     """
-    asked = candidates.join(questions, "question_id")
     small = fits(questions, settings.broadcast_rows // settings.fused_top_k)
-    return store.drop("embedding").join(F.broadcast(asked) if small else asked, "chunk_id")
+    found = store.drop("embedding").join(F.broadcast(candidates) if small else candidates, "chunk_id")
+    return spread_by_key(found, "question_id").join(questions, "question_id")
 
 
 def embedder_for(settings: Settings) -> HashingEmbedder:
@@ -68,7 +69,7 @@ def ask_many(
     generator = generator or choose_generator(settings)
     valid = questions.where(valid_question(F.col("question")))
     found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
-    candidates = spread_by_key(with_payload(found, store, valid, settings), "question_id")
+    candidates = with_payload(found, store, valid, settings)
     sourced = collect_sources(rerank(candidates, settings, scorer)).withColumn(
         "sources", F.col("sources").cast(_SOURCES)
     ).join(valid, "question_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citemill.config import SECTION_LABELS
-from citemill.functions.hashing import path_safe, text_sha256
+from citemill.functions.hashing import path_safe
 from citemill.schemas import FILING, FILING_JSON, GOLDEN
+from citemill.session import path_exists, stage
 
 _SECTIONS = FILING["parsed_sections"].dataType
 
@@ -44,13 +46,27 @@ def _ordered(sections: Column) -> Column:
 
 
 def write_filings(filings: DataFrame, path: str) -> None:
-    """Processed filings as JSON, one folder per ticker."""
+    """Processed filings as JSON in a folder per ticker. A filing already there
+    is replaced; other filings and tickers stay."""
+    merged = _merged(filings, path, read_filings)
     as_map = F.map_from_entries(
         F.transform("parsed_sections", lambda s: F.struct(s.section, s.text))
     )
-    filings.withColumn("parsed_sections", as_map).withColumn("_ticker", F.col("ticker")).write.mode(
+    merged.withColumn("parsed_sections", as_map).withColumn("_ticker", F.col("ticker")).write.mode(
         "overwrite"
-    ).partitionBy("_ticker").option("ignoreNullFields", False).json(path)
+    ).option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy(
+        "_ticker"
+    ).json(path)
+
+
+def _merged(new: DataFrame, path: str, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """New rows with the present rows of the same tickers that they do not replace."""
+    spark, key = new.sparkSession, ["ticker", "accession_number"]
+    if not path_exists(spark, path):
+        return new
+    staged = stage(new, "new-filings")
+    present = read(spark, path).join(staged.select("ticker").distinct(), "ticker", "left_semi")
+    return staged.unionByName(present.join(staged.select(*key), key, "left_anti").select(*new.columns))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,21 +75,26 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_raw(filings: DataFrame, path: str) -> None:
-    """Raw filing texts as UTF-8 bytes, in a folder per ticker. Filings of one
-    ticker in the written data replace that ticker's folder only."""
-    filings.select(
+    """Raw filing texts as UTF-8 bytes with their checksum, in a folder per
+    ticker. A filing already there is replaced; others stay."""
+    rows = filings.select(
         "ticker", "accession_number", path_safe(F.col("accession_number")).alias("file_key"),
         F.encode("raw_text", "UTF-8").alias("content"),
-        text_sha256(F.col("raw_text")).alias("file_sha256"),
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+    )
+    _merged(rows, path, _read_content).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("ticker").parquet(path)
+
+
+def _read_content(spark: SparkSession, path: str) -> DataFrame:
+    schema = "accession_number string, file_key string, content binary, ticker string"
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Cached raw filings with the checksum of their bytes as they are now."""
-    cached = spark.read.parquet(path)
-    return cached.select(
-        F.col("ticker").cast("string").alias("ticker"), "accession_number",
-        F.sha2("content", 256).alias("file_sha256"),
+    return _read_content(spark, path).select(
+        "ticker", "accession_number", F.sha2("content", 256).alias("file_sha256")
     )
 
 

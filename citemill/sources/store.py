@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from citemill.config import Settings
 from citemill.schemas import STORED_CHUNK
-from citemill.session import stage
+from citemill.session import path_exists, stage
 
 NO_INDEX = "no-index"
 
@@ -76,9 +76,7 @@ class ChunkStore:
         return F.pmod(F.xxhash64("accession_number"), F.lit(self.settings.store_buckets)).cast("int")
 
     def exists(self) -> bool:
-        jvm = self.spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return path_exists(self.spark, self.path)
 
     def scan(self) -> DataFrame:
         """All stored chunks. Select few columns; the rest is not read."""

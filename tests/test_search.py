@@ -106,10 +106,10 @@ def test_device(monkeypatch):
 DOCS = [(1, "alpha beta beta"), (2, "alpha gamma"), (3, "alpha delta delta delta epsilon"), (4, "the of"), (5, "beta")]
 
 
-@pytest.mark.parametrize("limit", [2048, 0], ids=["broadcast", "salted"])
+@pytest.mark.parametrize("limit", [1000, 0], ids=["broadcast", "salted"])
 def test_keyword_search(spark, limit):
     docs = spark.createDataFrame(DOCS, "chunk_id int, text string")
-    settings = replace(SETTINGS, broadcast_questions=limit)
+    settings = replace(SETTINGS, broadcast_rows=limit)
     asked = spark.createDataFrame([(0, "beta Beta gamma"), (1, "alpha"), (2, "zeta the")], "question_id int, question string")
     got = keyword_search(KeywordIndex.build(docs, settings), asked, settings).collect()
     bags = {k: [w for w in t.split() if w not in ("the", "of")] for k, t in DOCS}

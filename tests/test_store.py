@@ -165,6 +165,43 @@ def test_settings(tmp_path):
     assert load_settings(str(path), {}).rrf_k == 5 and load_settings(None, {}) == Settings()
 
 
+RAW = (
+    "ticker string, company string, cik string, form string, accession_number string, accession_no string, period_of_report string, "
+    "filing_date string, filing_url string, homepage_url string, url string, raw_text string, html string, items map<string,string>"
+)
+
+
+def raw_filing(ticker, acc, items, html="", form="10-K", filed="2025-02-01", text="raw"):
+    return (ticker, ticker + " Inc", "1", form, acc, "", "2024-12-31", filed, "https://sec.gov/" + acc, "", "", text, html, items)
+
+
+def test_ingest_run(spark, tmp_path):
+    from citemill.plans.ingest import ingest
+
+    full = {"Item 1": "business " * 100, "Item 1A": "risk " * 150, "Item 7": "results " * 100}
+    page = "<p>Item 1. Business " + "b " * 300 + "<p>Item 1A. Risk Factors " + "r " * 300 + "<p>Item 7. Management " + "m " * 300
+    rows = [
+        raw_filing("PFE", "p/1", full), raw_filing("PFE", "p/0", full, filed="2024-02-01"),
+        raw_filing("MRK", "m/1", None, page), raw_filing("JNJ", "j/1", {**full, "Item 7": "short " * 20}),
+        raw_filing("LLY", "l/1", full), raw_filing("LLY", "l/2", full, form="10-K/A", filed="2025-03-01"),
+        raw_filing("XXX", "x/1", full),
+    ]
+    paths = str(tmp_path / "processed"), str(tmp_path / "raw")
+    run = lambda r: {(x.ticker, x.accession_number): x for x in ingest(spark.createDataFrame(r, RAW), *paths, SETTINGS, 2026).collect()}
+    first = run(rows)
+    assert {k: r.status for k, r in first.items()} == {
+        ("PFE", "p/1"): "ok", ("MRK", "m/1"): "ok", ("JNJ", "j/1"): "failed", ("LLY", "l/2"): "ok",
+    }
+    assert first["JNJ", "j/1"].truncated == ["Item 7"]
+    held = {r.accession_number: r for r in files.read_filings(spark, paths[0]).collect()}
+    assert set(held) == {"p/1", "m/1", "l/2"} and held["m/1"].fiscal_year == 2024 and held["l/2"].form_type == "10-K/A"
+    assert files.checksum_mismatch(files.read_filings(spark, paths[0]), files.read_raw(spark, paths[1])).count() == 0
+    # Again: what is there and intact is skipped; a newer filing joins the older.
+    second = run(rows + [raw_filing("PFE", "p/2", full, filed="2025-04-01")])
+    assert set(second) == {("JNJ", "j/1"), ("PFE", "p/2")}
+    assert {r.accession_number for r in files.read_filings(spark, paths[0]).collect()} == {"p/1", "p/2", "m/1", "l/2"}
+
+
 def test_command_line(spark, tmp_path, capsys):
     from citemill.cli import answer_text, environment_problems, main
 
