@@ -14,7 +14,6 @@ from citemill.functions.text import sentences
 from citemill.operators.chunking import chunk_sections
 from citemill.operators.citing import conclude, out_of_range, resolve_citations
 from citemill.operators.evaluation import exact_overlap
-from citemill.operators.evaluation import scorecard as card
 from citemill.operators.generation import extractive_answer, generation_cost
 from citemill.operators.keyword import KeywordIndex, keyword_search
 from citemill.operators.prompting import collect_sources, prompt

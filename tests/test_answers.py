@@ -179,7 +179,6 @@ def test_evaluation(spark, store):
     from citemill.operators.evaluation import chat_judge, scorecard
     from citemill.plans.evaluate import evaluate
     from citemill.schemas import GOLDEN
-    from pyspark.sql import types as T
 
     source = lambda **k: Row(company=k.get("company"), year=k.get("year"), section=k.get("section"), chunk_id=k.get("id"))
     rows = [
@@ -203,4 +202,4 @@ def test_evaluation(spark, store):
         raise OSError("down")
 
     _, judged = evaluate(store, golden, SETTINGS, judge=chat_judge(SETTINGS, down))
-    assert judged.first().groundedness == 0.0 and isinstance(GOLDEN, T.StructType)
+    assert judged.first().groundedness == 0.0

@@ -10,7 +10,7 @@ from citemill.functions.vectors import HashingEmbedder, ModelEmbedder, pick_devi
 from citemill.operators.dense import dense_topk, dense_topk_batch
 from citemill.operators.fusion import fuse
 from citemill.operators.keyword import KeywordIndex, keyword_search
-from citemill.operators.rerank import lexical_scorer, model_scorer, rerank
+from citemill.operators.rerank import model_scorer, rerank
 from citemill.operators.retrieval import retrieve
 
 SETTINGS = Settings()
@@ -193,7 +193,6 @@ def test_rerank_model_scores(spark):
     scorer = model_scorer(lambda: lambda pairs: [float("nan") if "n" in t else -3.0 if "low" in t else len(t) for _, t in pairs], 5)
     got = rerank(candidates(spark, ["nan", "low", "a", "bbb"]), SETTINGS, scorer).orderBy("rank").collect()
     assert [(r.chunk_id, r.rerank_score) for r in got] == [("id3", 3.0), ("id2", 1.0)]
-    assert lexical_scorer is not None
 
 
 def test_retrieve_filters_both_legs(spark):
