@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import near_dedup
+from citemill.llm import near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,21 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN found f ON f
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near copies by 4-word shingles at a similarity of 0.8."""
     return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle_words=4)
+
+
+@query(rf"""
+WITH split AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+firsts AS (SELECT s, min(doc_id) AS low FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+removed AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (s) WHERE doc_id > low),
+listed AS (SELECT doc_id, list(i) AS gone FROM removed GROUP BY 1),
+cut AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w
+  ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM split LEFT JOIN listed USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut
+""")
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words in passages of 50 words that an earlier document has."""
+    return substring_dedup.shared_passages(table(spark, folder, "documents"))
