@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import near_dedup, substring_dedup
+from citemill.llm import bpe, language, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,16 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words in passages of 50 words that an earlier document has."""
     return substring_dedup.shared_passages(table(spark, folder, "documents"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from four fifths of them."""
+    return language.held_out_languages(table(spark, folder, "documents"))
+
+
+@query()
+def op10_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents and the text they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_texts(table(spark, folder, "documents"), path).drop("ids")
