@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, language, near_dedup, substring_dedup
+from citemill.llm import bpe, language, near_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op10_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents and the text they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_texts(table(spark, folder, "documents"), path).drop("ids")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of all documents."""
+    return toxicity.toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
