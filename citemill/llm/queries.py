@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, language, near_dedup, substring_dedup, toxicity
+from citemill.llm import bpe, language, near_dedup, repetition, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,33 @@ def op10_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of all documents."""
     return toxicity.toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _windows(k: int) -> str:
+    """Places of the words inside windows of k words that are in their text twice or more."""
+    return rf"""
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {k})) AS p FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {k - 1}], ' ')) AS times
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM split WHERE len(w) >= {k}))
+    WHERE times > 1) GROUP BY 1"""
+
+
+@query(rf"""
+WITH split AS (SELECT doc_id, text, {WORDS.format("coalesce(text, '')")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+thirds AS ({_windows(3)}), eights AS ({_windows(8)}), long AS ({_windows(101)}),
+counted AS (
+  SELECT s.doc_id, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(t.n, 0) AS n_repeat_words,
+    coalesce(e.n, 0) AS n_covered_words, l.n IS NOT NULL AS too_long
+  FROM split s LEFT JOIN thirds t USING (doc_id) LEFT JOIN eights e USING (doc_id) LEFT JOIN long l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 45 * n_words AND NOT too_long AS kept
+FROM counted
+""")
+def op1_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Repetition inside each document."""
+    return repetition.repetition(table(spark, folder, "documents")).drop("longest_repeat", "spans")
