@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, language, near_dedup, repetition, substring_dedup, toxicity
+from citemill.llm import bpe, language, near_dedup, pii, repetition, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def _windows(k: int) -> str:
     return rf"""
   SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + {k})) AS p FROM (
-      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {k - 1}], ' ')) AS times
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {k - 1}], ' '))) AS times
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM split WHERE len(w) >= {k}))
     WHERE times > 1) GROUP BY 1"""
 
@@ -120,3 +120,9 @@ FROM counted
 def op1_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition inside each document."""
     return repetition.repetition(table(spark, folder, "documents")).drop("longest_repeat", "spans")
+
+
+@query()
+def op4_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.personal_data(table(spark, folder, "documents"))
