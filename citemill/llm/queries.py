@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, language, near_dedup, pii, repetition, substring_dedup, toxicity
+from citemill.llm import bpe, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ def op1_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
 def op4_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query()
+def op2_html_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_main.main_texts(table(spark, folder, "pages"))
