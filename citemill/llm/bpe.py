@@ -31,7 +31,7 @@ from citemill.llm.batches import text_column
 
 # White space as Unicode has it; Python's own class also holds U+001C to U+001F.
 SPACES = r"\t-\r\x20\x85\xa0  -     　"
-CACHED_WORDS = 100_000
+CACHED_WORDS = 150_000
 
 
 NEWER = regex.compile(r"[\p{L}\p{N}]")
@@ -80,14 +80,12 @@ class Vocabulary:
             self.rank[ids[left], ids[right]] = (n, made)
             self.parts.setdefault(made, (ids[left], ids[right]))
         self.order = {made: self.rank[pair][0] for made, pair in self.parts.items()}
-        self.length: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
         basic = {t for t in letters} | {t + suffix for t in letters}
         for token, i in ids.items():
             if i in self.parts or token in basic:
                 symbols = self.symbols(token.removesuffix(suffix)) if token.endswith(suffix) and token != suffix else token
-                self.length[i] = len(symbols)
-                self.automaton.add_word(symbols, i)
+                self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
         splitter = [
             p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"]
@@ -99,6 +97,7 @@ class Vocabulary:
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def symbols(self, letters: str) -> str:
         return letters[:-1] + self.last[letters[-1]]
@@ -113,7 +112,7 @@ class Vocabulary:
         known = self.fits.get(key)
         if known is None:
             known = self._compatible(left, right)
-            if len(self.fits) >= 10 * CACHED_WORDS:
+            if len(self.fits) >= 4 * CACHED_WORDS:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -137,42 +136,52 @@ class Vocabulary:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word as the pattern cuts it, lower-cased already."""
-        text = self.symbols(word.encode().decode("latin-1").translate(self.inner))
+        # Printable ASCII stands for itself.
+        plain = word.isascii() and word.isprintable()
+        text = self.symbols(word if plain else word.encode().decode("latin-1").translate(self.inner))
         n = len(text)
-        # At each place the tokens that start there, the longest last.
-        starting: list[list[int]] = [[] for _ in range(n)]
+        # At each place the tokens that start there with their lengths, the longest last.
+        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, token in self.automaton.iter(text):
-            starting[end + 1 - self.length[token]].append(token)
+            starting[end + 1 - token[1]].append(token)
+        fits, compatible = self.fits, self.compatible
         dead = bytearray(n + 1)
         path: list[int] = []
-        choices: list[list[int]] = []
-        at = 0
-        open_ = list(starting[0])
+        steps: list[tuple[int, list]] = []
+        at, previous, open_ = 0, -1, starting[0]
         while at < n:
-            token = 0
             while open_:
-                token = open_.pop()
-                if not dead[at + self.length[token]] and (not path or self.compatible(path[-1], token)):
+                token, size = open_.pop()
+                if not dead[at + size] and (previous < 0 or fits.get((previous, token)) or compatible(previous, token)):
                     break
             else:
-                # Nothing fits here: no encoding of the first ``at`` symbols goes on from this place.
+                # Nothing fits here: no encoding of what lies before goes on from this place, and none comes back.
                 dead[at] = 1
-                at -= self.length[path.pop()]
-                open_ = choices.pop()
+                size, open_ = steps.pop()
+                path.pop()
+                at -= size
+                previous = path[-1] if path else -1
                 continue
             path.append(token)
-            choices.append(open_)
-            at += self.length[token]
-            open_ = list(starting[at]) if at < n else []
+            steps.append((size, open_))
+            previous = token
+            at += size
+            # A copy, as another path may come to this place again.
+            open_ = starting[at][:] if at < n else open_
         return path
 
     def word_bytes(self, word: str) -> bytes:
         ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is not None:
+                self.known[word] = ids
         if ids is None:
             if not word.isascii() and NEWER.search(word) and any(unicodedata.category(c) == "Cn" for c in word):
                 raise NewerLetter
             if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
+                # Words that were not seen again since the last time are forgotten.
+                self.known, self.older = {}, self.known
             ids = self.known[word] = array("I", self.encode_word(word)).tobytes()
         return ids
 
@@ -191,8 +200,12 @@ class Vocabulary:
     def piece(self, text: str) -> list[bytes]:
         # Letter by letter, as a capital sigma at a word's end is an ordinary one to the tokenizer.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        cut = self.pattern.findall(text)
         try:
-            return [self.word_bytes(w) for w in self.pattern.findall(text)]
+            out = list(map(self.known.get, cut))
+            if None in out:
+                out = [self.word_bytes(w) if x is None else x for w, x in zip(cut, out)]
+            return out
         except NewerLetter:
             # The tokenizer's letters are those of an older Unicode: cut the text by those, letting newer ones
             # stand as a sign that is neither letter, number nor white space.
