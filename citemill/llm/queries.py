@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity
+from citemill.llm import bpe, decontaminate, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,9 @@ def op4_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op2_html_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Main texts of all pages."""
     return html_main.main_texts(table(spark, folder, "pages"))
+
+
+@query()
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that give benchmark items away, a row for each document and item."""
+    return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
