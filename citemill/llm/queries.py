@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import bpe, decontaminate, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity
+from citemill.llm import (
+    bpe, decontaminate, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity, weak_quality,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +140,9 @@ def op2_html_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that give benchmark items away, a row for each document and item."""
     return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op5_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents from weak labels."""
+    return weak_quality.quality(table(spark, folder, "documents"))
