@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -146,3 +147,9 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op5_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents from weak labels."""
     return weak_quality.quality(table(spark, folder, "documents"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
