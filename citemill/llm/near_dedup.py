@@ -146,7 +146,8 @@ def class_links(texts: DataFrame, reps: DataFrame, width: int, percent: int, blo
 
 
 def near_duplicates(
-    docs: DataFrame, shingle_words: int = 5, percent: int = 80, keys: int = KEYS, hashes: int = HASHES
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, keys: int = KEYS, hashes: int = HASHES,
+    block: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -162,7 +163,7 @@ def near_duplicates(
         ), "classes",
     )
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    links = stage(class_links(texts, reps, shingle_words, percent), "links")
+    links = stage(class_links(texts, reps, shingle_words, percent, block), "links")
     found = components(links, "x", "y")
     classes = reps.select("set1", "set2", F.col("id").alias("first")).join(
         found.select(F.col("node").alias("first"), "component"), "first", "left"

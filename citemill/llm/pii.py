@@ -245,8 +245,11 @@ def masked_texts(docs: DataFrame, **limits) -> DataFrame:
         return pa.array(out, pa.string())
 
     run.__annotations__ = {"batch": pa.Array, "spans": pa.Array, "return": pa.Array}
-    # Only rows with spans meet the table of spans; the rest have no match in it.
-    found = detect(docs, **limits).where("size(spans) > 0").select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
-    joined = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(found, "__key", "left")
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.arrow_udf(run, StringType())("text", "__spans"))
+    key, spans = "pii_key", "pii_spans"
+    while {key, spans} & set(docs.columns):
+        key, spans = f"{key}_", f"{spans}_"
+    # Only rows with spans are in the table of spans; the others have no match in it.
+    found = detect(docs, **limits).where("size(spans) > 0").select(F.col("text_key").alias(key), F.col("spans").alias(spans))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found.dropDuplicates([key]), key, "left")
+    masked = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.arrow_udf(run, StringType())("text", spans))
     return joined.select(*[masked.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
