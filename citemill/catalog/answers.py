@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from citemill.catalog import sqltext as q
 from citemill.catalog.registry import Tables, built_once, query
 from citemill.catalog.search import HYBRID, SETTINGS, document_store, keyword_index
-from citemill.config import ABSTENTION
-from citemill.functions.citations import is_abstention, marker_numbers
+from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER
+from citemill.functions.citations import is_abstention, marker_ranges
 from citemill.functions.text import sentences
 from citemill.operators.chunking import chunk_sections
 from citemill.operators.citing import conclude, out_of_range, resolve_citations
@@ -17,7 +17,7 @@ from citemill.operators.evaluation import exact_overlap
 from citemill.operators.generation import extractive_answer, generation_cost
 from citemill.operators.keyword import KeywordIndex, keyword_search
 from citemill.operators.prompting import collect_sources, prompt
-from citemill.operators.rerank import lexical_scorer, rerank
+from citemill.operators.rerank import lexical_scorer, model_scorer, rerank
 from citemill.plans.ask import ask_many, valid_question, with_payload
 from citemill.plans.evaluate import evaluate
 from citemill.plans.index import embed_chunks
@@ -58,6 +58,30 @@ def rerank_nan(t: Tables) -> DataFrame:
     )
 
 
+def _pair_model():
+    """Scores a pair by the length of its text; fails for questions of even length."""
+
+    def predict(pairs: list[tuple[str, str]]) -> list[float]:
+        if len(pairs[0][0]) % 2 == 0:
+            raise RuntimeError("no score")
+        return [float(len(text) % 997) for _, text in pairs]
+
+    return predict
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD) + """
+SELECT question_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC NULLS LAST, rank) AS rank
+FROM (SELECT k.question_id, k.chunk_id, k.rank, CASE WHEN length(question) % 2 = 1 THEN (length(s.text) % 997)::DOUBLE END AS rerank_score
+      FROM keyword k JOIN questions USING (question_id) JOIN store s USING (chunk_id)) 
+QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC NULLS LAST, rank) <= 5
+""")
+def rerank_model(t: Tables) -> DataFrame:
+    """A pair model that fails for some questions: only those fall back to the order of the candidates."""
+    return rerank(candidates(t), SETTINGS, model_scorer(_pair_model, 30.0)).select(
+        "question_id", "chunk_id", "rank", "rerank_score"
+    )
+
+
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD) + "SELECT question_id, chunk_id, rank FROM keyword WHERE rank <= 5")
 def rerank_disabled(t: Tables) -> DataFrame:
     return rerank(candidates(t), SETTINGS, None).select("question_id", "chunk_id", "rank")
@@ -104,9 +128,17 @@ def generation_costs(t: Tables) -> DataFrame:
 # No conversation has citation markers, so they are put in by the same
 # expression here and in the SQL.
 MARKED = """concat(text, ' [', CAST(turn % 7 AS {str}), '] [', CAST(turn % 3 + 1 AS {str}), '-', CAST(conv_id % 6 AS {str}),
-  '] [2, ', CAST(conv_id % 4 AS {str}), '] [1-2-3]')"""
+  '] [2, ', CAST(conv_id % 4 AS {str}), '] [1-2-3] [', CAST(turn % 4 AS {str}), '-200000] [00', CAST(turn % 5 AS {str}),
+  '] [9223372036854775800-92233720368547758079] [12345678901234567890123]')"""
 _MARKED_SQL = "said AS (SELECT conv_id * 1000 + turn AS k, " + MARKED.format(str="varchar") + " AS answer FROM conversations)"
-_MARKERS = q.with_(_MARKED_SQL, q.marker_numbers("k", "said", "answer"))
+# ranged(k, o, first, last): ranges in the order they are written.
+_RANGED = rf"""
+grp AS (SELECT k, unnest(grps) AS grp, unnest(range(len(grps))) AS g
+  FROM (SELECT k, regexp_extract_all(answer, '{q.MARKER}', 1) AS grps FROM said)),
+part AS (SELECT k, g * 1000 + unnest(range(len(ps))) AS o, unnest(ps) AS p FROM (SELECT k, g, string_split(grp, ',') AS ps FROM grp)),
+ends AS (SELECT k, o, list_transform(string_split(p, '-'), lambda x: trim(x, '{q.SPACES}')::HUGEINT) AS e FROM part),
+ranged AS (SELECT k, o, e[1] AS first, e[-1] AS last FROM ends WHERE len(e) = 1 OR len(e) = 2 AND e[1] <= e[2])"""
+_RANGES = q.with_(_MARKED_SQL, _RANGED)
 
 
 def _said(t: Tables) -> DataFrame:
@@ -115,10 +147,10 @@ def _said(t: Tables) -> DataFrame:
     )
 
 
-@query(_MARKERS + "SELECT k, place - 1 AS place, n FROM marker")
+@query(_RANGES + "SELECT k, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS place, first::VARCHAR AS first, last::VARCHAR AS last FROM ranged")
 def citation_markers(t: Tables) -> DataFrame:
-    numbers = marker_numbers(F.col("answer"))
-    return _said(t).select("k", F.posexplode(numbers).alias("place", "n"))
+    found = _said(t).select("k", F.posexplode(marker_ranges(F.col("answer"))).alias("place", "r"))
+    return found.select("k", "place", F.col("r.first").cast("string").alias("first"), F.col("r.last").cast("string").alias("last"))
 
 
 def _numbered_sources():
@@ -132,16 +164,25 @@ def _numbered_sources():
     )
 
 
-@query(_MARKERS + "SELECT k, n, 'id' || n AS chunk_id FROM marker WHERE n BETWEEN 1 AND 3")
+@query(_RANGES + """
+SELECT k, n, 'id' || n AS chunk_id, row_number() OVER (PARTITION BY k ORDER BY min(o), n) - 1 AS place
+FROM ranged JOIN (VALUES (1), (2), (3)) source(n) ON n BETWEEN first AND last GROUP BY k, n
+""")
 def citations_resolved(t: Tables) -> DataFrame:
-    cited = resolve_citations(marker_numbers(F.col("answer")), _numbered_sources())
-    return _said(t).select("k", F.explode(cited).alias("c")).select("k", "c.n", "c.chunk_id")
+    cited = resolve_citations(marker_ranges(F.col("answer")), _numbered_sources())
+    return _said(t).select("k", F.posexplode(cited).alias("place", "c")).select("k", "c.n", "c.chunk_id", "place")
 
 
-@query(_MARKERS + "SELECT k, n FROM marker WHERE n NOT BETWEEN 1 AND 3")
+@query(_RANGES + """
+SELECT DISTINCT k, low::VARCHAR AS first, high::VARCHAR AS last FROM (
+  SELECT k, first AS low, least(last, 0) AS high FROM ranged UNION ALL SELECT k, greatest(first, 4), last FROM ranged)
+WHERE low <= high
+""")
 def citations_out_of_range(t: Tables) -> DataFrame:
-    stray = out_of_range(marker_numbers(F.col("answer")), _numbered_sources())
-    return _said(t).select("k", F.explode(stray).alias("n"))
+    stray = out_of_range(marker_ranges(F.col("answer")), _numbered_sources())
+    return _said(t).select("k", F.explode(stray).alias("r")).select(
+        "k", F.col("r.first").cast("string").alias("first"), F.col("r.last").cast("string").alias("last")
+    )
 
 
 SPOKEN = """CASE conv_id % 4 WHEN 0 THEN concat('> "{phrase}" Because ', text)
@@ -192,14 +233,19 @@ def chunk_index(t: Tables) -> KeywordIndex:
 
 
 _FUSED_CANDIDATES = "candidates AS (SELECT question_id, chunk_id, rank FROM fused)"
-_VALID = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark WHERE length(text) BETWEEN 3 AND 2000)"
+# Some questions are too short or too long to be asked.
+POSED = "CASE item_id % 10 WHEN 3 THEN substring(text, 1, 2) WHEN 7 THEN repeat(text, 40) ELSE text END"
+_POSED = f"posed AS (SELECT item_id AS question_id, {POSED} AS question FROM benchmark)"
+_VALID = "questions AS (SELECT * FROM posed WHERE length(question) BETWEEN 3 AND 2000)"
+# Golden questions are asked whatever their length.
+_ALL = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
 _DECLINED = f"starts_with(reply, '{q.PHRASE}')"
 # final(question_id, answer, ids): answers with the sources they cite. The
 # extractive answer cites every sentence it quotes; a quoted sentence may hold
 # markers of its own, so they are read off the answer.
 _FINAL = q.marker_numbers("question_id", "reply", "reply") + f""",
 cited AS (
-  SELECT m.question_id, m.place, t.chunk_id, t.company, t.section, substr(t.text, 1, 200) AS head
+  SELECT m.question_id, m.place, t.chunk_id, t.company, t.section, t.text AS head
   FROM marker m JOIN top t ON t.question_id = m.question_id AND t.rank = m.n
   JOIN reply r ON r.question_id = m.question_id WHERE NOT {_DECLINED}),
 final AS (
@@ -208,16 +254,21 @@ final AS (
   FROM questions q LEFT JOIN reply r USING (question_id) LEFT JOIN (
     SELECT question_id, string_agg(chunk_id, ',' ORDER BY place) AS ids, string_agg(head, ' | ' ORDER BY place) AS context
     FROM cited GROUP BY 1) c USING (question_id))"""
-_ASK = (
-    q.CHUNK_STORE, _VALID, q.POSTINGS, q.KEYWORD, q.DENSE, q.FUSED, _FUSED_CANDIDATES, q.RERANKED, q.ANSWERS, _FINAL,
-)
+_ANSWERED = (q.POSTINGS, q.KEYWORD, q.DENSE, q.FUSED, _FUSED_CANDIDATES, q.RERANKED, q.ANSWERS, _FINAL)
+_ASK = (q.CHUNK_STORE, _ALL, *_ANSWERED)
 
 
-@query(q.with_(*_ASK) + "SELECT question_id, md5(answer) AS answer_md5, abstained, ids AS cited_ids FROM final")
+@query(q.with_(q.CHUNK_STORE, _POSED, _VALID, *_ANSWERED) + f"""
+SELECT p.question_id, md5(coalesce(f.answer, '{GENERATION_ERROR_ANSWER}')) AS answer_md5, coalesce(abstained, false) AS abstained,
+  coalesce(ids, '') AS cited_ids, f.question_id IS NULL AS refused
+FROM posed p LEFT JOIN final f USING (question_id)
+""")
 def ask_batch(t: Tables) -> DataFrame:
-    """Cited answers to all benchmark questions over the chunks of all documents."""
-    responses = ask_many(chunk_store(t), t.questions, HYBRID, index=chunk_index(t))
+    """Cited answers to all benchmark questions over the chunks of all documents, and a response to those not asked."""
+    posed = t.benchmark.select(F.col("item_id").alias("question_id"), F.expr(POSED).alias("question"))
+    responses = ask_many(chunk_store(t), posed, HYBRID, index=chunk_index(t))
     return responses.select(
+        F.col("error").isNotNull().alias("refused"),
         "question_id", F.md5(F.encode("answer", "UTF-8")).alias("answer_md5"), "abstained",
         F.array_join(F.transform("citations", lambda c: c.chunk_id), ",").alias("cited_ids"),
     )

@@ -214,6 +214,8 @@ def store_check(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 20 = 0")
+@query("""
+SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 20 = 0
+""")
 def every_twentieth(t: Tables) -> DataFrame:
-    return checks.every_nth(t.documents.select("doc_id"), 20, "doc_id")
+    return checks.every_nth(t.documents.select("doc_id", "lang", "source", "n_chars"), 20, "doc_id")

@@ -49,9 +49,20 @@ class Tables:
         )
 
 
+def _files(table: DataFrame) -> int:
+    """A number that changes when a file of the table does."""
+    spark = table.sparkSession
+    found = []
+    for name in sorted(table.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return hash(tuple(found))
+
+
 def built_once(name: str, t: Tables, build: Callable[[], object]):
-    """An index over the tables, built at first use and kept for the session."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    """An index over the documents, built at first use and kept for the session, as long as their files stay as they are."""
+    key = (t.spark.sparkContext.applicationId, t.folder, f"{name} {_files(t.documents)}")
     if key not in _BUILT:
         _BUILT[key] = build()
     return _BUILT[key]

@@ -124,27 +124,53 @@ def dense_topk_filtered(t: Tables) -> DataFrame:
     return best.select("vec_id", "score", "rank")
 
 
-@query("""
-WITH slot AS (SELECT label, unnest(range(64)) AS s, unnest(embedding)::DOUBLE AS v FROM embeddings),
+_CENTRES = """
+WITH vectors AS ({vectors}),
+slot AS (SELECT label, unnest(range(64)) AS s, unnest(embedding)::DOUBLE AS v FROM embeddings),
 centre AS (SELECT label, list(m ORDER BY s) AS c FROM (SELECT label, s, avg(v) AS m FROM slot GROUP BY ALL) GROUP BY label),
 scored AS (
   SELECT c.label AS question_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS score
-  FROM centre c, embeddings e)
+  FROM centre c, vectors e)
 SELECT question_id, vec_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
-""")
-def dense_topk_batch(t: Tables) -> DataFrame:
+"""
+_ALL_VECTORS = "SELECT vec_id, embedding FROM embeddings"
+
+
+def _near_centres(t: Tables, vectors: DataFrame, settings: Settings) -> DataFrame:
     """Vectors nearest to the mean vector of every label."""
     slots = t.embeddings.select("label", F.posexplode("embedding").alias("slot", "v"))
     means = slots.groupBy("label", "slot").agg(F.avg(F.col("v").cast("double")).alias("v"))
     centres = means.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s.v).alias("embedding")
     ).withColumnRenamed("label", "question_id")
-    best = topk_many(t.embeddings, centres, SETTINGS, key="vec_id")
+    best = topk_many(vectors, centres, settings, key="vec_id")
     return best.select("question_id", "vec_id", "rank", "score")
 
 
+@query(_CENTRES.format(vectors=_ALL_VECTORS))
+def dense_topk_batch(t: Tables) -> DataFrame:
+    return _near_centres(t, t.embeddings, SETTINGS)
+
+
+@query(_CENTRES.format(vectors=_ALL_VECTORS))
+def dense_topk_passes(t: Tables) -> DataFrame:
+    """The same with more questions than go at once."""
+    return _near_centres(t, t.embeddings, replace(SETTINGS, broadcast_questions=0))
+
+
+@query(_CENTRES.format(vectors=_ALL_VECTORS + " WHERE vec_id % 5 NOT IN (1, 2, 3)"))
+def dense_topk_broken(t: Tables) -> DataFrame:
+    """Embeddings that are null, hold NaN or have another size take no places."""
+    embedding = (
+        F.when(F.col("vec_id") % 5 == 1, F.lit(None))
+        .when(F.col("vec_id") % 5 == 2, F.transform("embedding", lambda x, i: F.when(i == 7, F.lit(float("nan"))).otherwise(x)))
+        .when(F.col("vec_id") % 5 == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    )
+    return _near_centres(t, t.embeddings.withColumn("embedding", embedding), SETTINGS)
+
+
 @query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.DENSE) + RANKED.format("dense"))
 def retrieve_dense(t: Tables) -> DataFrame:
     return _ranked(retrieve(document_store(t), t.questions, SETTINGS, embedder_for(SETTINGS)))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citemill.catalog.registry import Tables, query
+from citemill.catalog.registry import Tables, built_once, query
+from citemill.config import Settings
 from citemill.operators import ingest
 from citemill.operators.dense import filtered
-from citemill.sources import store
+from citemill.schemas import FILING, STORED_CHUNK
+from citemill.session import checkpoint_folder, delete_at_exit
+from citemill.sources import files, store
 
 
 @query("""
@@ -60,14 +65,93 @@ def snapshot_hash(t: Tables) -> DataFrame:
     return store.snapshot_hash(t.documents, "doc_id")
 
 
-@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (0, 7, 42, 150)")
+def _chunks(t: Tables) -> DataFrame:
+    """Whole documents in the columns of stored chunks."""
+    known = {
+        "chunk_id": F.col("doc_id").cast("string"), "text": F.col("text"), "ticker": F.col("source"), "section": F.col("lang"),
+        "accession_number": (F.col("doc_id") % 97).cast("string"), "chunk_index_in_section": F.col("n_chars").cast("int"),
+    }
+    return t.texts.select(*[
+        known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED_CHUNK.fields
+    ])
+
+
+def _store(t: Tables, name: str, **settings) -> store.ChunkStore:
+    path = f"{checkpoint_folder(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(t.spark, path)
+    return store.ChunkStore(t.spark, path, Settings(**settings))
+
+
+def _written(t: Tables) -> store.ChunkStore:
+    """All documents in a store, written once in a session."""
+
+    def build() -> store.ChunkStore:
+        written = _store(t, "documents-store")
+        written.upsert(_chunks(t))
+        return written
+
+    return built_once("document store", t, build)
+
+
+def _plain() -> list:
+    columns = {"doc_id": F.col("chunk_id").cast("long"), "source": F.col("ticker"), "n_chars": F.col("chunk_index_in_section").cast("long")}
+    return [c.alias(n) for n, c in columns.items()]
+
+
+@query("SELECT doc_id, source, n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id IN (0, 7, 42, 150)")
 def get_by_ids(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("doc_id").isin(0, 7, 42, 150)).select("doc_id", "source", "n_chars")
+    found = _written(t).get(["0", "7", "42", "150"])
+    return found.select(*_plain(), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
-@query("SELECT count(*) AS n FROM documents")
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
 def store_count(t: Tables) -> DataFrame:
-    return t.documents.agg(F.count("*").alias("n"))
+    written = _written(t)
+    return written.ids().agg(F.count_distinct("chunk_id").alias("ids")).select(F.lit(written.count()).alias("n"), "ids")
+
+
+@query("SELECT doc_id, source, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE md5(text) END AS text FROM documents")
+def upsert_rebucketed(t: Tables) -> DataFrame:
+    """Two writes with other bucket settings: no id twice, none lost."""
+    rows = _chunks(t).withColumn("text", F.md5(F.encode("text", "UTF-8")))
+    first = _store(t, "rebucketed", store_buckets=8)
+    first.upsert(rows)
+    store.ChunkStore(t.spark, first.path, Settings(store_buckets=16)).upsert(
+        rows.where(F.col("chunk_id").cast("long") % 3 == 0).withColumn("text", F.lit("changed"))
+    )
+    return first.scan().select(*_plain(), "text")
+
+
+@query("""
+SELECT source AS ticker, doc_id::VARCHAR AS accession_number, lang AS section,
+  md5(CASE WHEN doc_id % 4 = 1 THEN 'second' ELSE text END) AS text_md5 FROM documents
+""")
+def filings_roundtrip(t: Tables) -> DataFrame:
+    """All documents as filings, many per ticker and task, written in two runs."""
+    text = F.when(F.col("doc_id") % 4 == 1, "second").otherwise(F.col("text"))
+
+    def filings(text) -> DataFrame:
+        known = {
+            "ticker": F.col("source"), "accession_number": F.col("doc_id").cast("string"),
+            "parsed_sections": F.array(F.struct(F.lit(0).alias("ord"), F.col("lang").alias("section"), text.alias("text"))),
+        }
+        return t.texts.select("doc_id", *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FILING.fields])
+
+    path = f"{checkpoint_folder(t.spark).rstrip('/')}/filings-{uuid.uuid4().hex}"
+    delete_at_exit(t.spark, path)
+    files.write_filings(filings(F.col("text")).where("doc_id % 4 <> 2").drop("doc_id"), path)
+    files.write_filings(filings(text).where("doc_id % 4 IN (1, 2)").drop("doc_id"), path)
+    return files.read_filings(t.spark, path).select(
+        "ticker", "accession_number", F.explode("parsed_sections").alias("s")
+    ).select("ticker", "accession_number", "s.section", F.md5(F.encode("s.text", "UTF-8")).alias("text_md5"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 9 = 4 THEN 'failed' ELSE 'ok' END AS status FROM pages")
+def ingest_isolated(t: Tables) -> DataFrame:
+    """Pages that the parser fails on have an error; the others have their text."""
+    page = F.when(F.col("page_id") % 9 == 4, F.concat("html", F.lit("<![foo[x]]>"))).otherwise(F.col("html"))
+    parsed = t.pages.select("page_id", files.parsed_html(page).alias("p"))
+    return parsed.select("page_id", F.when(F.col("p.error").isNotNull() & F.col("p.text").isNull(), "failed").otherwise("ok").alias("status"))
 
 
 FILTERS = {
@@ -139,9 +223,7 @@ FROM (SELECT * FROM ranked WHERE form_type = '10-K' AND r = 1) o
 LEFT JOIN (SELECT * FROM ranked WHERE form_type = '10-K/A' AND r = 1) a ON a.ticker = o.ticker AND a.period = o.period
 """)
 def amend_prefer(t: Tables) -> DataFrame:
-    from citemill.config import Settings
-
-    return ingest.choose_filings(_filings(t), Settings()).select("ticker", "accession_number", "form_type")
+        return ingest.choose_filings(_filings(t), Settings()).select("ticker", "accession_number", "form_type")
 
 
 @query(_FILINGS_SQL + "SELECT ticker, form_type, accession_number FROM ranked WHERE r <= 2")

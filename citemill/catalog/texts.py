@@ -27,8 +27,8 @@ FURNISHED = """concat(
   source, '  ')"""
 HEADED = """concat(
   'Contents', {nl},
-  CASE WHEN doc_id % 7 <> 1 THEN concat('Item 1. Business ', text, {nl}) ELSE '' END,
-  CASE WHEN doc_id % 7 <> 2 THEN concat('ITEM 1A. Risk  Factors ', text, {nl}) ELSE '' END,
+  CASE WHEN doc_id % 7 <> 1 THEN concat(CASE WHEN doc_id % 2 = 0 THEN 'Item\u00a01.\u00a0Business ' ELSE 'Item 1. Business ' END, text, {nl}) ELSE '' END,
+  CASE WHEN doc_id % 7 <> 2 THEN concat('ITEM 1A. Risk\u2009\u00a0Factors ', text, {nl}) ELSE '' END,
   CASE WHEN doc_id % 7 <> 3 THEN concat('Item 7. Management ', source, {nl}) ELSE '' END,
   CASE WHEN doc_id % 7 <> 4 THEN concat('Item 7A ', lang, {nl}) ELSE '' END,
   CASE WHEN doc_id % 7 <> 5 THEN concat('Item 8. Financial Statements ', text, {nl}) ELSE '' END,
@@ -54,13 +54,23 @@ def normalize_texts(t: Tables) -> DataFrame:
     )
 
 
+# White space as RE2 writes it: the ASCII ones, then the separators of Unicode.
+_GAP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
+_STOP = _GAP.replace("[", "[.", 1)
+_HEADINGS = (
+    ("Item 1", f"(?i)item{_GAP}*1{_STOP}+business"), ("Item 1A", f"(?i)item{_GAP}*1a{_STOP}+risk{_GAP}+factors"),
+    ("Item 7", f"(?i)item{_GAP}*7{_STOP}+management"), ("Item 7A", f"(?i)item{_GAP}*7a"),
+    ("Item 8", f"(?i)item{_GAP}*8{_STOP}+financial{_GAP}+statements"), ("Item 9A", f"(?i)item{_GAP}*9a"),
+)
+
+
 def _heading_sql() -> str:
     starts, ends = [], []
-    for i, (label, pattern) in enumerate(sections.SECTION_HEADINGS):
+    for i, (label, pattern) in enumerate(_HEADINGS):
         starts.append(f"len(regexp_extract(body, '(?s)^(.*?)(?:' || '{pattern}' || ')', 1)) AS s{i}, "
                       f"regexp_matches(body, '{pattern}') AS f{i}")
-        if i + 1 < len(sections.SECTION_HEADINGS):
-            nxt = sections.SECTION_HEADINGS[i + 1][1]
+        if i + 1 < len(_HEADINGS):
+            nxt = _HEADINGS[i + 1][1]
             rest = f"substr(body, s{i} + 2)"
             ends.append(
                 f"SELECT doc_id, {i} AS ord, '{label}' AS section, CASE WHEN regexp_matches({rest}, '{nxt}') "

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +30,17 @@ def list_matrix(column: pa.Array) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), -1)
 
 
+def usable_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a list column are vectors of ``dim`` numbers, and those rows
+    as a matrix. A null, a list of another length and one with null or NaN are not."""
+    lengths = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    usable = lengths == dim
+    matrix = list_matrix(column.filter(pa.array(usable))).reshape(int(usable.sum()), dim)
+    sound = np.isfinite(matrix).all(axis=1)
+    usable[usable] = sound
+    return usable, matrix[sound]
+
+
 def float_lists(matrix: np.ndarray) -> pa.Array:
     """A matrix as an Arrow list<float> column."""
     rows, dim = matrix.shape
@@ -42,12 +54,16 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def cosine_to(query: list[float]) -> Callable[[Column], Column]:
-    """Cosine similarity of an embedding column to one query vector."""
+    """Cosine similarity of an embedding column to one query vector, null for
+    what is no vector of its size."""
     vector = unit_rows(np.asarray(query, dtype=np.float64).reshape(1, -1))[0]
 
     @F.arrow_udf("double")
     def score(embedding: pa.Array) -> pa.Array:
-        return pa.array(np.round(unit_rows(list_matrix(embedding)) @ vector, SCORE_DECIMALS))
+        usable, matrix = usable_rows(embedding, len(vector))
+        scores = np.full(len(embedding), np.nan)
+        scores[usable] = np.round(unit_rows(matrix) @ vector, SCORE_DECIMALS)
+        return pa.array(scores, mask=~usable)
 
     return score
 

@@ -13,8 +13,9 @@ from citemill.functions.text import has_upper, junk_ratio, strip, token_count
 from citemill.functions.vectors import has_nan, vector_norm
 from citemill.operators.sections import required_missing
 from citemill.schemas import CHUNK_METADATA
+from citemill.session import stage
 from citemill.sources.files import checksum_mismatch
-from citemill.sources.store import id_difference, repeated, stale_ids
+from citemill.sources.store import id_difference, repeated
 
 # The replacement character and sequences of wrongly decoded text.
 MOJIBAKE = ("�", "Ã©", "Ã¨", "â€™", "â€œ", "â€\x9d", "Ã ", "Ã¢")
@@ -159,23 +160,30 @@ def check_vectors(store: DataFrame, dim: int, key: str = "chunk_id") -> DataFram
 
 def check_store(stored: DataFrame, produced: DataFrame) -> DataFrame:
     """Differences between what is stored and what a run produced: stale and
-    lost ids, and ids produced twice."""
-    stale = stale_ids(stored, produced).withColumn("problem", F.lit("stale"))
-    lost = id_difference(stored, produced).where(F.col("side") == "right").select(
-        "chunk_id", F.lit("lost").alias("problem")
-    )
+    lost ids, ids produced twice and, where both have texts, ids whose text
+    changed. An id covers only the start of its text, so the whole is compared."""
+    side = F.when(F.col("side") == "left", "stale").otherwise("lost")
+    problems = id_difference(stored, produced).select("chunk_id", side.alias("problem"))
     double = repeated(produced).select("chunk_id", F.lit("repeated").alias("problem"))
-    return stale.unionByName(lost).unionByName(double)
+    found = problems.unionByName(double)
+    if "text" not in stored.columns or "text" not in produced.columns:
+        return found
+    digest = lambda df, name: df.select("chunk_id", F.md5(F.encode("text", "UTF-8")).alias(name))
+    changed = digest(stored, "_old").join(digest(produced, "_new"), "chunk_id").where(
+        ~F.col("_old").eqNullSafe(F.col("_new"))
+    ).select("chunk_id", F.lit("changed").alias("problem")).distinct()
+    return found.unionByName(changed)
 
 
 def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
-    """Every ``n``-th row in the order of a column, the first included. Row
-    numbers come from per-partition counts after a range sort, so no task sees
-    more than its own partition. The number of partitions is given, which keeps
-    adaptive execution from merging them differently for the two uses."""
+    """Every ``n``-th row in the order of a column of distinct values, the first
+    included. Row numbers come from per-partition counts after a range sort, so
+    no task sees more than its own partition. The values alone are sorted and
+    numbered, once: the bounds of a range sort come from a sample, so a second
+    run may cut the partitions elsewhere."""
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n_parts, order).sortWithinPartitions(order)
-    numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
+    ordered = df.select(order).repartitionByRange(n_parts, order).sortWithinPartitions(order)
+    numbered = stage(ordered.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per partition, so this window is as small as the partition list.
@@ -183,4 +191,5 @@ def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     position = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     joined = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.where(position % n == 0).select(*df.columns)
+    chosen = joined.where(position % n == 0).select(order)
+    return df.join(chosen, df[order].eqNullSafe(chosen[order]), "left_semi")

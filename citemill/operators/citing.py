@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER
-from citemill.functions.citations import is_abstention, marker_numbers
+from citemill.functions.citations import RANGES, is_abstention, marker_ranges, numbers_within, ranges_beyond
 from citemill.schemas import CITATION
 
 _CITATIONS = f"array<{CITATION.simpleString()}>"
 
 
-def resolve_citations(numbers: Column, sources: Column) -> Column:
+def resolve_citations(ranges: Column, sources: Column) -> Column:
     """Citations for the numbers that name a source, in marker order."""
     blank = lambda c: F.coalesce(c, F.lit(""))
 
@@ -25,16 +25,12 @@ def resolve_citations(numbers: Column, sources: Column) -> Column:
             blank(source.source_url).alias("source_url"),
         )
 
-    return F.transform(F.filter(numbers, lambda n: _names_source(n, sources)), citation).cast(_CITATIONS)
+    return F.transform(numbers_within(ranges, F.size(sources)), citation).cast(_CITATIONS)
 
 
-def out_of_range(numbers: Column, sources: Column) -> Column:
-    """Numbers that name no source."""
-    return F.filter(numbers, lambda n: ~_names_source(n, sources))
-
-
-def _names_source(n: Column, sources: Column) -> Column:
-    return (n >= 1) & (n <= F.size(sources))
+def out_of_range(ranges: Column, sources: Column) -> Column:
+    """Ranges of numbers that name no source."""
+    return ranges_beyond(ranges, F.size(sources))
 
 
 def conclude(generated: DataFrame) -> DataFrame:
@@ -49,12 +45,12 @@ def conclude(generated: DataFrame) -> DataFrame:
     marked = generated.withColumns({
         "_failed": error.isNotNull(), "_declined": is_abstention(text),
     }).withColumn(
-        "_numbers",
-        F.when(F.col("_failed") | F.col("_declined"), F.array().cast("array<bigint>"))
-        .otherwise(marker_numbers(text)),
+        "_ranges",
+        F.when(F.col("_failed") | F.col("_declined"), F.array().cast(RANGES))
+        .otherwise(marker_ranges(text)),
     ).withColumns({
-        "citations": resolve_citations(F.col("_numbers"), F.col("sources")),
-        "out_of_range": out_of_range(F.col("_numbers"), F.col("sources")),
+        "citations": resolve_citations(F.col("_ranges"), F.col("sources")),
+        "out_of_range": out_of_range(F.col("_ranges"), F.col("sources")),
     })
     uncited = F.size("citations") == 0
     return marked.withColumns({
@@ -64,5 +60,5 @@ def conclude(generated: DataFrame) -> DataFrame:
         "ungrounded": ~F.col("_failed") & ~F.col("_declined") & uncited,
         "citations": F.when(uncited, none).otherwise(F.col("citations")),
         "truncated": ~F.col("_failed") & F.col("generation.truncated"),
-        "error": F.substring(error, 1, 200),
-    }).drop("_failed", "_declined", "_numbers")
+        "error": error,
+    }).drop("_failed", "_declined", "_ranges")

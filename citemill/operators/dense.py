@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
 from citemill.functions.filters import compile_filter
-from citemill.functions.vectors import SCORE_DECIMALS, cosine_to, list_matrix, unit_rows
+from citemill.functions.vectors import SCORE_DECIMALS, cosine_to, unit_rows, usable_rows
 from citemill.operators.ranking import rank_per_question
 from citemill.session import fits
 
-# Sizes of one block of the question by corpus grid, in rows.
+# Questions of one pass over the corpus, about.
 QUESTION_BLOCK = 2048
-CORPUS_BLOCK = 50_000
 # Scores computed at once: corpus rows times questions.
 SCORE_CELLS = 4_000_000
 
@@ -40,7 +40,7 @@ def dense_topk(
     scored = filtered(store, where).select(
         key, cosine_to(query)(F.col("embedding")).alias("score")
     )
-    best = scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
+    best = scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), F.col(key)).limit(k)
     return rank_per_question(
         best.withColumn("question_id", F.lit(0)), [F.col("score").desc(), F.col(key)], k
     ).drop("question_id")
@@ -98,9 +98,10 @@ def dense_topk_batch(
     """The best rows for every question: question_id, key, score, rank.
 
     ``questions`` has question_id and embedding. Up to ``broadcast_questions``
-    questions travel to the corpus partitions as one matrix and the corpus is
-    not shuffled. More questions meet the corpus in a grid of blocks of bounded
-    size. Either way a task scores whole blocks and passes on only its best rows.
+    questions travel to the corpus partitions as one matrix; more go in several
+    passes. The corpus is never shuffled: a task scores whole blocks and passes
+    on only its best rows. Rows and questions whose embedding is null, of another
+    size or not all numbers are left out; ``check_vectors`` lists them.
     """
     k = settings.top_k_dense
     corpus = filtered(store, where).select(key, "embedding")
@@ -110,20 +111,25 @@ def dense_topk_batch(
     if fits(questions, settings.broadcast_questions):
         best = _against_matrix(corpus, questions, k, key, schema)
     else:
-        best = _in_grid(corpus, questions, k, key, schema)
+        best = _in_passes(corpus, questions, k, key, schema)
     return rank_per_question(best, [F.col("score").desc(), F.col(key)], k)
 
 
 def _against_matrix(
     corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str
 ) -> DataFrame:
-    rows = questions.select("question_id", "embedding").toPandas()
+    rows = questions.select("question_id", "embedding").toArrow()
     spark = corpus.sparkSession
-    if rows.empty:
+    vectors = rows["embedding"].combine_chunks()
+    sizes = [n for n in pc.list_value_length(vectors).to_pylist() if n]
+    if not sizes:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((
-        rows["question_id"].to_numpy(), unit_rows(np.array(rows["embedding"].tolist(), dtype=float)),
-    ))
+    dim = max(set(sizes), key=sizes.count)
+    usable, matrix = usable_rows(vectors, dim)
+    ids = rows["question_id"].to_numpy()[usable]
+    if not len(ids):
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast((ids, unit_rows(matrix)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
@@ -132,8 +138,10 @@ def _against_matrix(
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                stored = _keys(part.column(0).to_numpy(zero_copy_only=False))
-                best.add(stored, unit_rows(list_matrix(part.column(1))))
+                usable, vectors = usable_rows(part.column(1), matrix.shape[1])
+                if usable.any():
+                    stored = _keys(part.column(0).to_numpy(zero_copy_only=False)[usable])
+                    best.add(stored, unit_rows(vectors))
         if best.parts:
             names = ["question_id", key, "score"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], names=names)
@@ -141,28 +149,10 @@ def _against_matrix(
     return corpus.mapInArrow(score, schema)
 
 
-def _in_grid(corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str) -> DataFrame:
-    question_blocks = -(-questions.count() // QUESTION_BLOCK)
-    corpus_blocks = max(-(-corpus.count() // CORPUS_BLOCK), 1)
-    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-    left = questions.select(
-        "question_id", "embedding", block("question_id", question_blocks).alias("qb"),
-        every(corpus_blocks).alias("cb"),
-    )
-    right = corpus.select(
-        key, "embedding", block(key, corpus_blocks).alias("cb"), every(question_blocks).alias("qb")
-    )
-
-    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or stored.empty:
-            return pd.DataFrame({"question_id": asked["question_id"][:0], key: stored[key][:0], "score": []})
-        matrix = lambda f: unit_rows(np.array(f["embedding"].tolist(), dtype=float))
-        best = _Best(asked["question_id"].to_numpy(), matrix(asked), k)
-        vectors, stored_keys = matrix(stored), _keys(stored[key].to_numpy())
-        rows = max(SCORE_CELLS // len(asked), 1)
-        for start in range(0, len(stored), rows):
-            best.add(stored_keys[start : start + rows], vectors[start : start + rows])
-        return pd.DataFrame(dict(zip(["question_id", key, "score"], best.rows())))
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(score, schema)
+def _in_passes(corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str) -> DataFrame:
+    """The corpus stays where it is; blocks of questions travel to it one after
+    another, and only the best rows of each pass are kept."""
+    blocks = -(-questions.count() // (QUESTION_BLOCK // 2))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    passes = [_against_matrix(corpus, questions.where(block == i), k, key, schema) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, passes) if passes else corpus.sparkSession.createDataFrame([], schema)

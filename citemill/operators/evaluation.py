@@ -14,8 +14,11 @@ from citemill.functions.binding import let
 from citemill.functions.citations import MARKER
 from citemill.functions.text import keywords
 from citemill.operators.generation import post_json
+from citemill.session import fits
 
 RECALL_AT = (5, 10, 20)
+# Lists of test texts up to this length are broadcast.
+MAX_LISTED = 100_000
 MIN_RECALL, MIN_GROUNDEDNESS = 0.85, 0.90
 _SCORES = "groundedness double, relevance double, correctness double"
 
@@ -152,5 +155,10 @@ def scorecard(scored: DataFrame, settings: Settings) -> DataFrame:
 
 
 def exact_overlap(test: DataFrame, train: DataFrame, column: str = "question") -> DataFrame:
-    """Test rows whose text also occurs in the training rows."""
-    return test.join(train.select(column).distinct(), column, "left_semi")
+    """Test rows whose text also occurs in the training rows. The training texts
+    are cut down to those of the test rows before anything is made distinct; a
+    short list of test texts goes to them and they are not shuffled."""
+    wanted = test.select(column).distinct()
+    wanted = F.broadcast(wanted) if fits(wanted, MAX_LISTED) else wanted
+    met = train.select(column).join(wanted, column, "left_semi").distinct()
+    return test.join(met, column, "left_semi")

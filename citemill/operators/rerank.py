@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citemill.config import Settings
 from citemill.functions.binding import let
 from citemill.functions.text import keywords
+from citemill.logs import get_logger
 from citemill.operators.ranking import rank_per_question
 
 Scorer = Callable[[Column, Column], Column]
@@ -32,29 +33,40 @@ def model_scorer(
 ) -> Scorer:
     """Scorer over a loaded pair model. ``load()`` runs once per Python worker.
 
-    A batch that fails or takes longer than ``timeout_sec`` scores null, which
-    sends its questions to the fallback of :func:`rerank`.
+    A question's pairs are scored together. If they fail or take longer than
+    ``timeout_sec``, they alone score null, which sends that question to the
+    fallback of :func:`rerank`; the failure is logged.
     """
 
     @F.arrow_udf("double")
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        log = get_logger(__name__)
         try:
             predict = load()
-        except Exception:
+        except Exception as failure:
+            log.warning("rerank model not loaded: %r", failure)
             predict = None
+        pool = ThreadPoolExecutor(max_workers=1)
         for question, text in batches:
             scores: list[float | None] = [None] * len(question)
-            if predict is not None:
-                pool = ThreadPoolExecutor(max_workers=1)
-                pairs = list(zip(question.to_pylist(), text.to_pylist()))
+            places: dict[str | None, list[int]] = {}
+            for i, q in enumerate(question.to_pylist()):
+                places.setdefault(q, []).append(i)
+            texts = text.to_pylist()
+            for q, own in places.items() if predict is not None else ():
                 try:
-                    found = pool.submit(predict, pairs).result(timeout=timeout_sec)
-                    scores = [float(x) for x in found]
-                except Exception:
-                    pass
-                finally:
+                    found = pool.submit(predict, [(q, texts[i]) for i in own]).result(timeout=timeout_sec)
+                    for i, x in zip(own, map(float, found), strict=True):
+                        scores[i] = x
+                except Exception as failure:
+                    for i in own:
+                        scores[i] = None
+                    log.warning("rerank of a question with %d candidates failed: %r", len(own), failure)
+                    # The late call may go on in its thread; the next question gets another one.
                     pool.shutdown(wait=False)
+                    pool = ThreadPoolExecutor(max_workers=1)
             yield pa.array(scores, type=pa.float64())
+        pool.shutdown(wait=False)
 
     return score
 

@@ -11,16 +11,19 @@ from citemill.config import (
     MIN_REQUIRED_CHARS, MIN_SECTION_CHARS, OPTIONAL_SECTIONS, REQUIRED_SECTIONS, SECTION_LABELS,
 )
 from citemill.functions.binding import let
-from citemill.functions.text import normalize_text, strip
+from citemill.functions.text import SPACES, normalize_text, strip
+
+# Pages often write the spaces of a heading as U+00A0 and its like.
+_GAP = rf"[{SPACES}]"
 
 # Headings that open a section, in filing order.
 SECTION_HEADINGS = (
-    ("Item 1", r"(?i)item\s*1[\.\s]+business"),
-    ("Item 1A", r"(?i)item\s*1a[\.\s]+risk\s+factors"),
-    ("Item 7", r"(?i)item\s*7[\.\s]+management"),
-    ("Item 7A", r"(?i)item\s*7a"),
-    ("Item 8", r"(?i)item\s*8[\.\s]+financial\s+statements"),
-    ("Item 9A", r"(?i)item\s*9a"),
+    ("Item 1", rf"(?i)item{_GAP}*1[.{SPACES}]+business"),
+    ("Item 1A", rf"(?i)item{_GAP}*1a[.{SPACES}]+risk{_GAP}+factors"),
+    ("Item 7", rf"(?i)item{_GAP}*7[.{SPACES}]+management"),
+    ("Item 7A", rf"(?i)item{_GAP}*7a"),
+    ("Item 8", rf"(?i)item{_GAP}*8[.{SPACES}]+financial{_GAP}+statements"),
+    ("Item 9A", rf"(?i)item{_GAP}*9a"),
 )
 
 _SECTIONS = "array<struct<ord:int,section:string,text:string>>"

@@ -7,7 +7,8 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citemill.config import ABSTENTION, Settings
+from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER, Settings
+from citemill.functions.citations import RANGES
 from citemill.functions.vectors import HashingEmbedder
 from citemill.operators.citing import conclude
 from citemill.operators.generation import Generator, choose_generator
@@ -19,6 +20,7 @@ from citemill.session import fits, spread_by_key
 from citemill.sources.store import snapshot_hash
 
 MIN_QUESTION, MAX_QUESTION = 3, 2000
+BAD_QUESTION = f"a question has {MIN_QUESTION} to {MAX_QUESTION} characters"
 _SOURCES = (
     "array<struct<rank:int,text:string,company:string,fiscal_year:int,section:string,"
     "chunk_id:string,source_url:string>>"
@@ -60,14 +62,17 @@ def ask_many(
     scorer: Scorer | None = lexical_scorer,
     generator: Generator | None = None,
     index: KeywordIndex | None = None,
+    any_length: bool = False,
 ) -> DataFrame:
-    """One response row per valid question (question_id, question).
+    """One response row per question (question_id, question).
 
     A question without candidates above the threshold is not sent to the
-    generator; it abstains.
+    generator; it abstains. A question of another length than is allowed is not
+    asked, and its response says so, unless it may have ``any_length``.
     """
     generator = generator or choose_generator(settings)
-    valid = questions.where(valid_question(F.col("question")))
+    allowed = F.col("question").isNotNull() if any_length else valid_question(F.col("question"))
+    valid = questions.where(allowed)
     found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
     candidates = with_payload(found, store, valid, settings)
     sourced = collect_sources(rerank(candidates, settings, scorer)).withColumn(
@@ -82,16 +87,16 @@ def ask_many(
         F.col("generation.cost_usd").alias("cost_usd"),
     )
     empty = F.array()
-    return valid.join(answered, "question_id", "left").select(
+    return questions.select("question_id", "question").join(answered, "question_id", "left").select(
         "question_id",
         "question",
-        F.coalesce("answer", F.lit(ABSTENTION)).alias("answer"),
+        F.when(~allowed, GENERATION_ERROR_ANSWER).otherwise(F.coalesce("answer", F.lit(ABSTENTION))).alias("answer"),
         F.coalesce("citations", empty.cast(answered.schema["citations"].dataType)).alias("citations"),
-        F.coalesce("out_of_range", empty.cast("array<bigint>")).alias("out_of_range"),
+        F.coalesce("out_of_range", empty.cast(RANGES)).alias("out_of_range"),
         F.coalesce("source_ids", empty.cast("array<string>")).alias("source_ids"),
-        F.coalesce("abstained", F.lit(True)).alias("abstained"),
+        F.when(~allowed, False).otherwise(F.coalesce("abstained", F.lit(True))).alias("abstained"),
         F.coalesce("truncated", F.lit(False)).alias("truncated"),
-        "error",
+        F.when(~allowed, BAD_QUESTION).otherwise(F.col("error")).alias("error"),
         F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"),
         F.lit(settings.model_version).alias("model_version"),
     )
@@ -107,7 +112,7 @@ def ask(
     otherwise all stored keys are read for it.
     """
     if not MIN_QUESTION <= len(question) <= MAX_QUESTION:
-        raise ValueError(f"a question has {MIN_QUESTION} to {MAX_QUESTION} characters")
+        raise ValueError(BAD_QUESTION)
     started = time.monotonic()
     asked = store.sparkSession.createDataFrame([(0, question)], "question_id int, question string")
     response = ask_many(store, asked, settings, where, **parts).drop("question_id").first()

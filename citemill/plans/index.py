@@ -55,7 +55,7 @@ def verify_index(
     embedder = embedder or embedder_for(settings)
     produced = embed_chunks(chunk_filings(spread(filings), settings), settings, embedder)
     before = store.count()
-    ids = check_store(store.ids(), produced.select("chunk_id")).count()
+    ids = check_store(store.scan().select("chunk_id", "text"), produced.select("chunk_id", "text")).count()
     vectors = check_vectors(store.scan(), settings.embed_dim).count()
     store.upsert(produced)
     asked = store.spark.createDataFrame([(smoke_question,)], "question string")

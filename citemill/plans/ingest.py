@@ -12,7 +12,7 @@ from citemill.operators.ingest import (
 from citemill.operators.sections import extract_sections, gate_sections
 from citemill.schemas import FILING
 from citemill.session import path_exists, spread, stage
-from citemill.sources.files import html_text, read_filings, read_raw, write_filings, write_raw
+from citemill.sources.files import parsed_html, read_filings, read_raw, write_filings, write_raw
 
 
 def ingest(
@@ -38,12 +38,14 @@ def ingest(
         chosen = to_fetch(chosen, read_filings(spark, processed_path), read_raw(spark, raw_path))
     # Pages are turned into text only where the heading search will need it.
     page = F.when(F.col("items").isNull(), F.col("html"))
-    parsed = extract_sections(
-        spread(chosen).withColumns({"text": html_text(page), "failed": F.col("items").isNull()}),
-        "items", "text", "failed",
-    )
-    tried = stage(gate_sections(parsed), "parsed")
+    read = spread(chosen).withColumn("page", parsed_html(page)).withColumns({
+        "text": F.col("page.text"), "error": F.col("page.error"), "failed": F.col("items").isNull(),
+    })
+    gated = gate_sections(extract_sections(read.drop("page"), "items", "text", "failed"))
+    # A page that cannot be parsed fails its filing, whatever was found without it.
+    status = F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
+    tried = stage(gated.withColumn("status", status), "parsed")
     sound = tried.where(F.col("status") == "ok")
     write_raw(sound.withColumn("raw_text", F.coalesce("raw_text", F.lit(""))), raw_path)
     write_filings(describe_filings(sound, as_of).select(*FILING.names), processed_path)
-    return tried.select("ticker", "accession_number", "status", "missing", "truncated", "warnings")
+    return tried.select("ticker", "accession_number", "status", "missing", "truncated", "warnings", "error")

@@ -47,10 +47,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it
-    is unset, as in local tests, a temporary one that ends with the process."""
+    is unset and all runs in one process, as in local tests, a temporary one that
+    ends with the process. Executors elsewhere could not read that, so there the
+    setting is required."""
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="citemill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(key, folder)
@@ -74,9 +78,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a path when the application ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

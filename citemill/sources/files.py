@@ -16,18 +16,36 @@ from pyspark.sql import types as T
 from citemill.config import SECTION_LABELS
 from citemill.functions.hashing import path_safe
 from citemill.schemas import FILING, FILING_JSON, GOLDEN
-from citemill.session import path_exists, stage
+from citemill.session import fits, path_exists, stage
 
+# Lists of tickers up to this length are broadcast.
+MAX_TICKERS = 100_000
+_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 _SECTIONS = FILING["parsed_sections"].dataType
 
 
+# Spark's writer names its files so; they hold a document on each line. All other
+# JSON files hold one document, on as many lines as it likes.
+_LINES = "part-*.json"
+_DOCUMENTS = "{[^p]*,p[^a]*,pa[^r]*,par[^t]*,part[^-]*,p,pa,par,part}.json"
+
+
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    """Processed filings below ``path``, one JSON document per file. A file that
-    does not fit the schema fails the read."""
+    """Processed filings below ``path``: what :func:`write_filings` wrote and
+    files of one JSON document each. A file that does not fit the schema fails
+    the read."""
+    return _read_lines(spark, path).unionByName(_read_json(spark, path, _DOCUMENTS, True))
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return _read_json(spark, path, _LINES, False)
+
+
+def _read_json(spark: SparkSession, path: str, names: str, multi_line: bool) -> DataFrame:
     raw = (
         spark.read.schema(FILING_JSON)
-        .option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").option("mode", "FAILFAST").json(path)
+        .option("multiLine", multi_line).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", names).option("mode", "FAILFAST").json(path)
     )
     return raw.withColumn("parsed_sections", _ordered(F.col("parsed_sections")))
 
@@ -46,9 +64,10 @@ def _ordered(sections: Column) -> Column:
 
 
 def write_filings(filings: DataFrame, path: str) -> None:
-    """Processed filings as JSON in a folder per ticker. A filing already there
-    is replaced; other filings and tickers stay."""
-    merged = _merged(filings, path, read_filings)
+    """Processed filings as JSON lines in a folder per ticker. A filing written
+    before is replaced; other filings and tickers stay. Files of other writers
+    are left alone, so keep those in another folder."""
+    merged = _merged(filings, path, _read_lines)
     as_map = F.map_from_entries(
         F.transform("parsed_sections", lambda s: F.struct(s.section, s.text))
     )
@@ -65,7 +84,9 @@ def _merged(new: DataFrame, path: str, read: Callable[[SparkSession, str], DataF
     if not path_exists(spark, path):
         return new
     staged = stage(new, "new-filings")
-    present = read(spark, path).join(staged.select("ticker").distinct(), "ticker", "left_semi")
+    # There are few tickers, so the present texts meet their list where they lie.
+    tickers = staged.select("ticker").distinct()
+    present = read(spark, path).join(F.broadcast(tickers) if fits(tickers, MAX_TICKERS) else tickers, "ticker", "left_semi")
     return staged.unionByName(present.join(staged.select(*key), key, "left_anti").select(*new.columns))
 
 
@@ -118,7 +139,7 @@ def checksum_mismatch(filings: DataFrame, cached: DataFrame) -> DataFrame:
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions. A missing file raises ``FileNotFoundError``."""
-    if "://" not in path and not os.path.exists(path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"golden set not found at {path}")
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
@@ -170,17 +191,26 @@ class _TextNodes(HTMLParser):
         self._close_node()
 
 
-@F.pandas_udf(T.StringType())
-def html_text(pages: pd.Series) -> pd.Series:
-    """Text of HTML pages, one text node per line."""
+@F.pandas_udf(_PARSED)
+def parsed_html(pages: pd.Series) -> pd.DataFrame:
+    """Text of HTML pages, one text node per line. A page the parser fails on
+    has no text but an error, and does not stop the others."""
 
-    def text(page: str | None) -> str:
+    def text(page: str | None) -> tuple[str | None, str | None]:
         parser = _TextNodes()
-        parser.feed(page or "")
-        parser.close()
-        return "\n".join(parser.nodes)
+        try:
+            parser.feed(page or "")
+            parser.close()
+        except Exception as failure:
+            return None, f"{type(failure).__name__}: {failure}"
+        return "\n".join(parser.nodes), None
+
+    return pd.DataFrame([text(p) for p in pages], columns=["text", "error"])
+
 
-    return pages.map(text)
+def html_text(page: Column) -> Column:
+    """The text of :func:`parsed_html`, null where the page could not be parsed."""
+    return parsed_html(page)["text"]
 
 
 def write_scorecard(scorecard: DataFrame, folder: str, stamp: str) -> Path:

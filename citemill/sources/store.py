@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,18 +72,21 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, settings: Settings):
         self.spark, self.path, self.settings = spark, path, settings
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("accession_number"), F.lit(self.settings.store_buckets)).cast("int")
+    def buckets(self) -> int:
+        """The number of buckets the store was first written with; later settings do not move its chunks."""
+        found = self.spark.read.parquet(self.path).select("buckets").first() if self.exists() else None
+        return found[0] if found else self.settings.store_buckets
 
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
 
     def scan(self) -> DataFrame:
         """All stored chunks. Select few columns; the rest is not read."""
-        schema = T.StructType(STORED_CHUNK.fields + [T.StructField("bucket", T.IntegerType())])
+        places = [T.StructField(c, T.IntegerType()) for c in ("buckets", "bucket")]
+        schema = T.StructType(STORED_CHUNK.fields + places)
         if not self.exists():
             return self.spark.createDataFrame([], STORED_CHUNK)
-        return self.spark.read.schema(schema).parquet(self.path).drop("bucket")
+        return self.spark.read.schema(schema).parquet(self.path).drop("buckets", "bucket")
 
     def get(self, ids: list[str]) -> DataFrame:
         """Chunks by id. Bloom filters on the id let row groups be skipped."""
@@ -108,16 +111,17 @@ class ChunkStore:
         double = repeated(new).take(1)
         if double:
             raise ValueError(f"chunk id {double[0]['chunk_id']} occurs more than once in one write")
-        merged = new
+        merged, buckets = new, self.buckets()
+        bucket = F.pmod(F.xxhash64("accession_number"), F.lit(buckets)).cast("int")
         if self.exists():
-            touched = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]
+            touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]
             existing = self.spark.read.parquet(self.path).where(F.col("bucket").isin(touched))
             merged = merge(existing.select(*STORED_CHUNK.names), new)
         # Rebalancing writes few files per bucket and splits a bucket that is large.
         (
-            merged.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+            merged.withColumns({"buckets": F.lit(buckets), "bucket": bucket}).hint("rebalance", "bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#chunk_id", "true")
-            .partitionBy("bucket").parquet(self.path)
+            .partitionBy("buckets", "bucket").parquet(self.path)
         )

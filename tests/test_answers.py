@@ -6,13 +6,13 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER, Settings
-from citemill.functions.citations import is_abstention, marker_numbers
+from citemill.functions.citations import is_abstention, marker_ranges, numbers_within, ranges_beyond
 from citemill.operators.citing import conclude
 from citemill.operators.generation import (
     OfflineError, chat_answer, chat_generator, choose_generator, extractive_generator, with_retry,
 )
 from citemill.operators.prompting import SYSTEM_PROMPT, prompt
-from citemill.plans.ask import ask, ask_many, embedder_for
+from citemill.plans.ask import BAD_QUESTION, ask, ask_many, embedder_for
 
 SETTINGS = Settings()
 SOURCE = "array<struct<rank:int,text:string,company:string,fiscal_year:int,section:string,chunk_id:string,source_url:string>>"
@@ -22,11 +22,24 @@ GENERATION = "struct<text:string,truncated:boolean,input_tokens:bigint,output_to
 @pytest.mark.parametrize("answer, numbers", [
     ("a [1][2] b [3]", [1, 2, 3]), ("a [1, 2] b [3,4]", [1, 2, 3, 4]), ("see [1-3] and [5]", [1, 2, 3, 5]),
     ("x [12] y [1]", [12, 1]), ("[3-1]", []), ("[1-2-3]", []), ("[0]", [0]), ("[2 - 3 , 2]", [2, 3]),
-    ("[3][1-3]", [3, 1, 2]), ("none [a] [1.5] []", []), ("[99999999999999999999]", []),
+    ("[3][1-3]", [3, 1, 2]), ("none [a] [1.5] []", []), ("[99999999999999999999]", []), ("[007]", [7]),
+    ("[1-99999999999999999999999999999999999999999]", list(range(1, 21))),
 ])
 def test_markers(spark, answer, numbers):
     df = spark.createDataFrame([(answer,)], "a string")
-    assert df.select(marker_numbers(F.col("a")).alias("n")).first().n == numbers
+    found = df.select(numbers_within(marker_ranges(F.col("a")), F.lit(20)).alias("n")).first().n
+    assert found == [n for n in numbers if n >= 1]
+
+
+@pytest.mark.parametrize("answer, beyond", [
+    ("[0]", [(0, 0)]), ("[0-7]", [(0, 0), (6, 7)]), ("[2-200000]", [(6, 200000)]), ("[6][7-9][6]", [(6, 6), (7, 9)]), ("[5]", []),
+    ("[9223372036854775800-9223372036854775807]", [(9223372036854775800, 9223372036854775807)]),
+    ("[12345678901234567890]", [(12345678901234567890, 12345678901234567890)]), ("[" + "8" * 50 + "]", [(10**38 - 1, 10**38 - 1)]),
+])
+def test_stray_markers(spark, answer, beyond):
+    df = spark.createDataFrame([(answer,)], "a string")
+    found = df.select(ranges_beyond(marker_ranges(F.col("a")), F.lit(5)).alias("r")).first().r
+    assert [(int(r["first"]), int(r["last"])) for r in found] == beyond
 
 
 @pytest.mark.parametrize("answer, abstains", [
@@ -49,14 +62,14 @@ def test_conclude(spark):
     r = outcome(spark, "claim [1, 2] and [3]")
     assert [c.n for c in r.citations] == [1, 2, 3] and r.out_of_range == [] and not r.abstained
     r = outcome(spark, "grounded [2] but hallucinated [10]", truncated=True)
-    assert [c.chunk_id for c in r.citations] == ["id2"] and r.out_of_range == [10] and r.truncated
+    assert [c.chunk_id for c in r.citations] == ["id2"] and [(r["first"], r["last"]) for r in r.out_of_range] == [(10, 10)] and r.truncated
     assert outcome(spark, "see [3]").citations[0].chunk_id == "id3"
     r = outcome(spark, "no markers at all")
     assert r.abstained and r.ungrounded and r.answer == ABSTENTION and r.citations == []
     r = outcome(spark, ABSTENTION + " See [1].")
     assert r.abstained and not r.ungrounded and r.citations == [] and r.answer.endswith("[1].")
     r = outcome(spark, ABSTENTION, error="RateLimitError: " + "x" * 400)
-    assert not r.abstained and r.answer == GENERATION_ERROR_ANSWER and len(r.error) == 200
+    assert not r.abstained and r.answer == GENERATION_ERROR_ANSWER and len(r.error) == 416
 
 
 def test_prompt(spark):
@@ -170,8 +183,9 @@ def test_ask_many_with_service(spark, store):
     settings = replace(SETTINGS, backend="ollama", model="m", rerank_enabled=False)
     asked = spark.createDataFrame([(1, "pricing?"), (2, "supply?"), (3, "no")], "question_id int, question string")
     rows = {r.question_id: r for r in ask_many(store, asked, settings, generator=chat_generator(settings, post)).collect()}
-    assert set(rows) == {1, 2}
-    assert [c.n for c in rows[1].citations] == [1] and rows[1].out_of_range == [9] and rows[1].model_version == "ollama/m"
+    assert set(rows) == {1, 2, 3}
+    assert rows[3].error == BAD_QUESTION and not rows[3].abstained and rows[3].citations == [] and rows[3].answer == GENERATION_ERROR_ANSWER
+    assert [c.n for c in rows[1].citations] == [1] and rows[1].out_of_range[0]["last"] == 9 and rows[1].model_version == "ollama/m"
     assert rows[2].error == "RuntimeError: down" and not rows[2].abstained and rows[2].answer == GENERATION_ERROR_ANSWER
 
 

@@ -63,11 +63,10 @@ def brute(rows, query, k):
     return [key for _, key in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("limit", [2048, 0], ids=["matrix", "grid"])
+@pytest.mark.parametrize("limit", [2048, 0], ids=["matrix", "passes"])
 def test_dense_batch_is_exact(spark, limit, monkeypatch):
     import citemill.operators.dense as dense
 
-    monkeypatch.setattr(dense, "CORPUS_BLOCK", 150)
     monkeypatch.setattr(dense, "QUESTION_BLOCK", 3)
     monkeypatch.setattr(dense, "SCORE_CELLS", 200)
     rows, store = vectors(spark, 400, 1, copies=300)
@@ -87,6 +86,17 @@ def test_dense_single(spark):
     assert dense_topk(store.where("false"), rows[5][1], 7).count() == 0
 
 
+def test_dense_leaves_out_what_is_no_vector(spark):
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [nan, 1.0]), ("d", [1.0]), ("e", [0.0, 1.0]), ("f", []), ("g", [1.0, None])]
+    store = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").coalesce(1)
+    assert {r.chunk_id for r in dense_topk(store, [1.0, 1.0], 3).collect()} == {"a", "e"}
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [nan, 1.0])], "question_id int, embedding array<float>")
+    for limit in (2048, 0):
+        got = dense_topk_batch(store, asked, replace(SETTINGS, broadcast_questions=limit)).collect()
+        assert [(r.question_id, r.chunk_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, "a"), (1, "e")]
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a b a",), ("",)], "t string")
     e = HashingEmbedder(16)

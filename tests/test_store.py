@@ -223,3 +223,78 @@ def test_json_logs(capsys):
     get_logger("t").info("stored", extra={"count": 3})
     entry = json.loads(capsys.readouterr().err.strip().splitlines()[-1])
     assert entry["event"] == "stored" and entry["count"] == 3 and entry["level"] == "info"
+
+
+def test_filings_of_other_writers(spark, tmp_path):
+    """A document over several lines beside lines of documents, whatever its name begins with."""
+    import json
+
+    path = tmp_path / "f"
+    files.write_filings(filings(spark, "aa"), str(path))
+    row = {"ticker": "zz", "accession_number": "", "parsed_sections": {"Item 1": "text"}}
+    for name in ("0001", "p", "par", "partly", "part"):
+        (path / f"{name}.json").write_text(json.dumps(row | {"accession_number": name}, indent=2))
+    back = [r.accession_number for r in files.read_filings(spark, str(path)).where("ticker = 'zz'").collect()]
+    assert sorted(back) == ["0001", "p", "par", "part", "partly"]
+    files.write_filings(filings(spark, "aa"), str(path))
+    assert files.read_filings(spark, str(path)).count() == 5 + filings(spark, "aa").count()
+
+
+def test_every_nth_with_other_columns(spark):
+    from citemill.operators.checks import every_nth
+
+    df = spark.range(1000).repartition(7).selectExpr("id", "id % 3 AS a", "cast(id AS string) AS b")
+    got = sorted(tuple(r) for r in every_nth(df, 20, "id").collect())
+    assert got == [(i, i % 3, str(i)) for i in range(0, 1000, 20)]
+
+
+def test_changed_texts_are_found(spark):
+    from citemill.operators.checks import check_store
+
+    stored = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "chunk_id string, text string")
+    produced = spark.createDataFrame([("a", "x"), ("b", "other"), ("d", "z"), ("d", "z")], "chunk_id string, text string")
+    assert sorted(tuple(r) for r in check_store(stored, produced).collect()) == [
+        ("b", "changed"), ("c", "stale"), ("d", "lost"), ("d", "repeated")]
+
+
+def test_staging_needs_a_shared_folder():
+    """Executors in other processes cannot read the driver's temporary folder."""
+    from types import SimpleNamespace
+
+    from citemill.session import checkpoint_folder
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        held = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError):
+            checkpoint_folder(held)
+
+
+def test_headings_with_odd_spaces(spark):
+    from pyspark.sql import functions as F
+
+    from citemill.operators.sections import headed_sections
+
+    text = "Item\u00a01.\u00a0Business body Item 1A.\u2009Risk\u00a0Factors risks"
+    found = spark.createDataFrame([(text,)], "t string").select(headed_sections(F.col("t")).alias("s")).first().s
+    assert [s.section for s in found] == ["Item 1", "Item 1A"]
+
+
+def test_rerank_fails_for_one_question_only(spark):
+    import time
+
+    from citemill.operators.rerank import model_scorer, rerank
+
+    def load():
+        def predict(pairs):
+            if pairs[0][0] == "late":
+                time.sleep(3)
+            return [float(len(t)) for _, t in pairs]
+
+        return predict
+
+    rows = [(i, q, f"{i}{j}", "x" * (j + 1), j + 1) for i, q in enumerate(("late", "one", "two")) for j in range(4)]
+    df = spark.createDataFrame(rows, "question_id int, question string, chunk_id string, text string, rank int").coalesce(1)
+    got = rerank(df, replace(SETTINGS, rerank_score_threshold=2.0), model_scorer(load, 1.0)).collect()
+    assert sorted(r.rerank_score for r in got if r.question_id == 1) == [2.0, 3.0, 4.0]
+    assert sorted(r.rerank_score for r in got if r.question_id == 2) == [2.0, 3.0, 4.0]
+    assert [r.rerank_score for r in got if r.question_id == 0] == [None] * 4
