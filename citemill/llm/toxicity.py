@@ -6,7 +6,7 @@ of these probabilities is the expected severity.
 
 ``labels`` tells toxic from not. The grades between are derived from the
 training sample: features much more frequent in its toxic rows are marks, and a
-toxic row with more marked words than the median toxic row is severe.
+toxic row with more marks than the median toxic row is severe.
 
 The model is fitted on a bounded sample, at most ``sample`` rows of either
 label, taken in the order of a hash of their ids. Every document is scored.
@@ -18,6 +18,8 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ LIMIT = 0.5
 CACHED_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 FEATURES = StructType([
-    StructField("doc_id", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("features", ArrayType(IntegerType()))
+    StructField("doc_id", LongType()), StructField("toxic", IntegerType()), StructField("features", ArrayType(IntegerType()))
 ])
 
 
@@ -86,46 +88,39 @@ def fit(
     """The model of the sample. A feature needs the pull of about ``support`` misjudged rows to get a weight. Without rows of both labels it has no thresholds and finds nothing toxic."""
 
     def run(ids: list, toxic: list, texts: list) -> list:
-        starts, features = [], []
-        for t in texts:
-            each = [sorted(word_features(w)) for w in sorted(distinct_words(t))]
-            starts.append(np.cumsum([0, *map(len, each)], dtype=np.int32)[:-1] if each else [])
-            features.append([f for fs in each for f in fs])
-        return [[int(x) for x in toxic], starts, features]
+        return [ids, [int(x) for x in toxic], [sorted({f for w in distinct_words(t) for f in word_features(w)}) for t in texts]]
 
     table = map_texts(_training_rows(docs, labels, sample), run, FEATURES, ["doc_id", "toxic", "text"]).toArrow()
-    toxic = np.array(table["doc_id"].to_pylist(), dtype=np.int64)
-    rows, starts = ([np.asarray(x, dtype=np.int64) for x in table[c].to_pylist()] for c in ("features", "starts"))
     # The rows come in any order; sums must not depend on it.
-    order = sorted(range(len(rows)), key=lambda i: (toxic[i], rows[i].tobytes()))
-    return fit_rows(toxic[order], [rows[i] for i in order], [starts[i] for i in order], rounds, support / max(1, len(rows)), mark_odds)
+    table = table.sort_by("doc_id").combine_chunks()
+    features = table["features"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    return fit_rows(
+        table["toxic"].to_numpy(), features.flatten().to_numpy(), pc.list_value_length(features).to_numpy(), rounds,
+        support / max(1, table.num_rows), mark_odds,
+    )
 
 
 def fit_rows(
-    toxic: np.ndarray, rows: list[np.ndarray], starts: list[np.ndarray], rounds: int, l1: float, mark_odds: float
+    toxic: np.ndarray, features: np.ndarray, sizes: np.ndarray, rounds: int, l1: float, mark_odds: float
 ) -> Severity:
-    """The model of rows given by their label, the features of all words and where each word's begin.
+    """The model of rows given by their labels, their distinct features end to end and the number of each row's.
 
     Weights are not negative: words are evidence for toxicity or none, so a text without such words stays below the
     first threshold however long it is. They are found by proximal steps on the likelihood with an L1 penalty.
     """
     if not (toxic == 1).any() or not (toxic == 0).any():
         return Severity()
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    # A feature is there or not; those of one row alone are left out.
-    cells = np.unique(owner * len(used) + inverse)
-    row, column = cells // len(used), cells % len(used)
+    used, column = np.unique(features, return_inverse=True)
+    column, row = column.astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     in_toxic = np.bincount(column, weights=toxic[row], minlength=len(used))
     in_all = np.bincount(column, minlength=len(used))
     n_toxic = int(toxic.sum())
-    rate = (in_toxic + 0.5) / (n_toxic + 1), (in_all - in_toxic + 0.5) / (len(rows) - n_toxic + 1)
+    rate = (in_toxic + 0.5) / (n_toxic + 1), (in_all - in_toxic + 0.5) / (len(toxic) - n_toxic + 1)
     marks = (rate[0] >= mark_odds * rate[1]) & (in_toxic >= 3)
-    marked = np.array([
-        np.logical_or.reduceat(marks[np.searchsorted(used, r)], s).sum() if len(r) else 0 for r, s in zip(rows, starts)
-    ])
+    marked = np.bincount(row[marks[column]], minlength=len(toxic))
     grades = np.where(toxic == 0, 0, np.where(marked > np.median(marked[toxic == 1]), 2, 1))
 
+    # A feature is there or not; those of one row alone are left out.
     often = in_all[column] >= 2
     row, column = row[often], column[often]
     top = int(grades.max())
@@ -133,17 +128,17 @@ def fit_rows(
     thresholds = np.arange(top) * 2.0 + 2.0
     slope, bend = np.full(len(used), 1e-8), np.full(top, 1e-8)
     for _ in range(rounds):
-        score = np.bincount(row, weights=weights[column], minlength=len(rows))
+        score = np.bincount(row, weights=weights[column], minlength=len(toxic))
         # Distribution function at the upper and lower border of each row's grade.
         borders = np.concatenate(([-np.inf], thresholds, [np.inf]))
         upper, lower = (1 / (1 + np.exp(np.clip(score - borders[grades + k], -500, 500))) for k in (1, 0))
         mass = np.maximum(upper - lower, 1e-12)
-        pull = (upper + lower - 1) / len(rows)  # of the log-likelihood along the score
+        pull = (upper + lower - 1) / len(toxic)  # of the log-likelihood along the score
         gradient = np.bincount(column, weights=pull[row], minlength=len(used))
         along = np.array([
             (upper * (1 - upper) / mass)[grades == k].sum() - (lower * (1 - lower) / mass)[grades == k + 1].sum()
             for k in range(top)
-        ]) / len(rows)
+        ]) / len(toxic)
         slope += gradient**2
         bend += along**2
         step = 0.5 / np.sqrt(slope)
