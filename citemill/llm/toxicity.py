@@ -30,7 +30,7 @@ from citemill.llm.batches import map_texts, text_column
 SAMPLE = 2000
 BUCKET_BITS = 22
 PREFIXES = (4, 5, 6)
-LIMIT = 0.5
+LIMIT = 0.35
 CACHED_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 FEATURES = StructType([
@@ -83,9 +83,10 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 400, support: float = 2.0, mark_odds: float = 20.0
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 400, support: float = 1.0, mark_odds: float = 20.0
 ) -> Severity:
-    """The model of the sample. A feature needs the pull of about ``support`` misjudged rows to get a weight. Without rows of both labels it has no thresholds and finds nothing toxic."""
+    """The model of the sample. A feature needs the pull of about ``support`` misjudged rows to get a weight. Without
+    rows of both labels it has no thresholds and finds nothing toxic."""
 
     def run(ids: list, toxic: list, texts: list) -> list:
         return [ids, [int(x) for x in toxic], [sorted({f for w in distinct_words(t) for f in word_features(w)}) for t in texts]]
