@@ -55,12 +55,14 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="citemill")
     parser.add_argument("--config")
     parser.add_argument("--store", default="store")
+    parser.add_argument("--shared", help="folder that the driver and all executors share, for staged tables")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("check")
     ingest_args = commands.add_parser("ingest")
     ingest_args.add_argument("raw", help="parquet table of raw filings")
     ingest_args.add_argument("--processed", default="processed")
     ingest_args.add_argument("--cache", default="raw")
+    ingest_args.add_argument("--verify", action="store_true")
     ingest_args.add_argument("--as-of", type=int, help="fiscal year where a period names none")
     index = commands.add_parser("index")
     index.add_argument("filings")
@@ -71,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     ask_args.add_argument("--year", type=int)
     ask_args.add_argument("--local", action="store_true")
     evaluate_args = commands.add_parser("evaluate")
-    evaluate_args.add_argument("golden")
+    evaluate_args.add_argument("golden", nargs="?", help="default: eval.golden_set_path of the settings")
     evaluate_args.add_argument("--reports", default="reports")
     args = parser.parse_args(argv)
     setup_logging()
@@ -88,17 +90,24 @@ def main(argv: list[str] | None = None) -> int:
     from citemill.plans.ingest import ingest
     from citemill.plans.index import build_index, verify_index
     from citemill.session import build_session
-    from citemill.sources.files import read_filings, read_golden, write_scorecard
+    from citemill.operators.checks import check_ingest
+    from citemill.operators.evaluation import judge_for
+    from citemill.sources.files import read_filings, read_golden, read_raw, write_scorecard
     from citemill.sources.store import ChunkStore
 
     settings = load_settings(args.config)
-    spark = build_session()
+    spark = build_session(**{"spark.checkpoint.dir": args.shared} if args.shared else {})
     store = ChunkStore(spark, args.store, settings)
     if args.command == "ingest":
         raw = spark.read.parquet(args.raw)
         results = ingest(raw, args.processed, args.cache, settings, args.as_of)
         counts = ingest_counts(results).first()
         print(f"{counts['ok']} ok, {counts['failed']} failed")
+        if args.verify:
+            expected = spark.createDataFrame([(t,) for t in settings.tickers], "ticker string")
+            bad = check_ingest(read_filings(spark, args.processed), expected, read_raw(spark, args.cache)).collect()
+            print("\n".join(str(r.asDict()) for r in bad) or "verified")
+            return 1 if bad else 0
     elif args.command == "index":
         filings = read_filings(spark, args.filings)
         build_index(filings, store, settings)
@@ -109,14 +118,14 @@ def main(argv: list[str] | None = None) -> int:
             return 0 if report.passed else 1
     elif args.command == "ask":
         if args.local:
-            settings = replace(settings, backend="ollama")
+            settings = replace(settings, backend="ollama", model=settings.local_model or settings.model)
         where = request_filter(args.company, args.year)
-        print(answer_text(ask(store.scan(), args.question, settings, where)))
+        print(answer_text(ask(store.scan(), args.question, settings, where, store.snapshot())))
     else:
-        golden = read_golden(spark, args.golden).withColumn("question_id", F.col("id"))
-        _, card = evaluate(store.scan(), golden, settings)
+        golden = read_golden(spark, args.golden or settings.golden_set_path).withColumn("question_id", F.col("id"))
+        scored, card = evaluate(store.scan(), golden, settings, judge_for(settings), snapshot=store.snapshot())
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-        print(write_scorecard(card.cache(), args.reports, stamp))
+        print(write_scorecard(card.cache(), args.reports, stamp, scored))
     return 0
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from importlib import import_module
 from typing import Any
 
 # The section labels, floors and token limits results depend on.
@@ -19,6 +21,16 @@ GENERATION_ERROR_ANSWER = (
 )
 
 
+# Both names mean the one built-in splitter, a substitute for either library.
+SPLITTERS = ("nltk", "pysbd")
+
+
+def hook(path: str) -> Callable:
+    """The function named "module:function"."""
+    module, _, name = path.partition(":")
+    return getattr(import_module(module), name)
+
+
 @dataclass(frozen=True)
 class Settings:
     # corpus
@@ -31,6 +43,7 @@ class Settings:
     # chunking
     chunk_size_tokens: int = 800
     chunk_overlap_tokens: int = 120
+    sentence_splitter: str = "nltk"
     min_chunk_tokens: int = MIN_CHUNK_TOKENS
     # embedding
     embed_dim: int = 64
@@ -39,6 +52,13 @@ class Settings:
     query_instruction: str = "search_query: "
     document_instruction: str = "search_document: "
     device: str = "auto"
+    batch_size_gpu: int = 64
+    batch_size_cpu: int = 16
+    # "module:function" of model loaders, empty for the offline stand-ins. The
+    # embedder's gets the device and returns texts -> vectors, the reranker's
+    # nothing and returns pairs -> scores.
+    embed_loader: str = ""
+    rerank_loader: str = ""
     # retrieval
     top_k_dense: int = 20
     hybrid_enabled: bool = False
@@ -59,9 +79,13 @@ class Settings:
     top_p: float = 0.95
     max_output_tokens: int = 800
     offline: bool = False
+    local_model: str = ""
     chat_host: str = "http://localhost:11434"
     # evaluation
+    judge_backend: str = "lexical"
     judge_model: str = "lexical"
+    judge_url: str = ""
+    golden_set_path: str = ""
     seed: int = 42
     # physical limits: sides above these sizes are never broadcast
     broadcast_questions: int = 2048
@@ -100,6 +124,15 @@ _YAML_KEYS = {
     "query_instruction": "embeddings.query_instruction",
     "document_instruction": "embeddings.document_instruction",
     "device": "embeddings.device",
+    "batch_size_gpu": "embeddings.batch_size_gpu",
+    "batch_size_cpu": "embeddings.batch_size_cpu",
+    "embed_loader": "embeddings.loader",
+    "rerank_loader": "rerank.loader",
+    "sentence_splitter": "chunking.sentence_splitter",
+    "local_model": "serving.ollama_model_name",
+    "judge_backend": "eval.judge_backend",
+    "judge_url": "eval.judge_url",
+    "golden_set_path": "eval.golden_set_path",
     "top_k_dense": "retrieval.top_k_dense",
     "hybrid_enabled": "retrieval.hybrid_enabled",
     "bm25_top_k": "retrieval.bm25_top_k",
@@ -140,6 +173,8 @@ def from_tree(tree: dict, environ: dict[str, str] | None = None) -> Settings:
     if "tickers" in found:
         found["tickers"] = tuple(found["tickers"])
     settings = Settings(**found)
+    if settings.sentence_splitter not in SPLITTERS:
+        raise ValueError(f"unknown sentence splitter {settings.sentence_splitter}")
     overrides: dict[str, Any] = {}
     if env.get("EMBED_DEVICE"):
         overrides["device"] = env["EMBED_DEVICE"]

@@ -86,3 +86,10 @@ def request_filter(company: str | None = None, year: str | int | None = None) ->
         if number:
             where["fiscal_year"] = {"$eq": number}
     return where or None
+
+
+def among(column: Column, values: list) -> Column:
+    """``column`` is one of ``values``, as tests of ten each: longer lists reach a
+    parquet scan only as a range, which its bloom filters cannot check."""
+    tests = [column.isin(values[i : i + 10]) for i in range(0, len(values), 10)]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)

@@ -103,6 +103,15 @@ def chat_judge(settings: Settings, post: Callable = post_json, url: str = "", he
     return judge
 
 
+def judge_for(settings: Settings) -> Callable:
+    """The judge of the settings: a chat service where its address is named, else shares of keywords."""
+    if settings.judge_backend == "lexical":
+        return lexical_judge
+    if not settings.judge_url:
+        raise ValueError(f"judge backend {settings.judge_backend} needs eval.judge_url")
+    return chat_judge(settings, url=settings.judge_url)
+
+
 def score_responses(golden: DataFrame, responses: DataFrame, judge=lexical_judge) -> DataFrame:
     """One row per golden question with its recall, abstention and judge scores.
 

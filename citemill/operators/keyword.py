@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from citemill.config import Settings
 from citemill.functions.binding import let
+from citemill.functions.filters import among
 from citemill.functions.text import is_keyword, keywords, words
 from citemill.functions.vectors import SCORE_DECIMALS
 from citemill.operators.ranking import rank_per_question
 from citemill.session import fits, stage
 
 SALTS = 32
+# Question terms up to this number are listed in the filter of the scan.
+LISTED_TERMS = 200
 
 
 def document_terms(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -114,16 +117,18 @@ def keyword_search(
 ) -> DataFrame:
     """Best documents per question: question_id, key, rank, score.
 
-    ``allowed`` limits the documents (one column, the key). Question terms are
-    broadcast while few. Otherwise both sides meet on (term, salt), with the
+    ``allowed`` limits the documents (one column, the key); it meets only the
+    postings of the question's terms. Question terms are broadcast while few, and
+    a short list of them goes to the scan, which skips the row groups of others. Otherwise both sides meet on (term, salt), with the
     postings of a term spread over the salts, so that a frequent term is not one
     task's work. Scores are summed map-side before they are shuffled.
     """
     key = index.key
     terms = query_terms(questions)
     postings = index.postings
-    if allowed is not None:
-        postings = postings.join(allowed.select(key), key, "left_semi")
+    few = terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()
+    if len(few) <= LISTED_TERMS:
+        postings = postings.where(among(F.col("term"), [r[0] for r in few]))
     weighted = terms.join(index.terms.select("term", "idf"), "term")
     if fits(terms, settings.broadcast_rows):
         hits = postings.join(F.broadcast(weighted), "term")
@@ -132,6 +137,8 @@ def keyword_search(
         salted = weighted.withColumn("salt", salts)
         own = postings.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
         hits = own.join(salted, ["term", "salt"])
+    if allowed is not None:
+        hits = hits.join(allowed.select(key), key, "left_semi")
     scored = hits.groupBy("question_id", key).agg(
         F.round(F.sum(F.col("uses") * index.weights(settings)), SCORE_DECIMALS).alias("score")
     )

@@ -36,6 +36,4 @@ def retrieve(
     index = index or KeywordIndex.build(store, settings, key)
     allowed = None if where is None or unfiltered_keywords else filtered(store, where)
     keyword = keyword_search(index, questions, settings, allowed)
-    if where is not None:
-        keyword = keyword.join(dense.select("question_id").distinct(), "question_id", "left_semi")
-    return fuse(dense, keyword, settings, key).drop("rrf")
+    return fuse(dense, keyword, settings, key, needs_dense=where is not None).drop("rrf")

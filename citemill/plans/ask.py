@@ -7,18 +7,21 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER, Settings
+from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER, Settings, hook
 from citemill.functions.citations import RANGES
-from citemill.functions.vectors import HashingEmbedder
+from citemill.functions.filters import among
+from citemill.functions.vectors import HashingEmbedder, ModelEmbedder, pick_device
 from citemill.operators.citing import conclude
 from citemill.operators.generation import Generator, choose_generator
 from citemill.operators.keyword import KeywordIndex
 from citemill.operators.prompting import collect_sources, prompt
-from citemill.operators.rerank import Scorer, lexical_scorer, rerank
+from citemill.operators.rerank import Scorer, lexical_scorer, model_scorer, rerank
 from citemill.operators.retrieval import retrieve
-from citemill.session import fits, spread_by_key
+from citemill.session import fits, spread_by_key, stage
 from citemill.sources.store import snapshot_hash
 
+# Keys up to this number are listed in the filter of the scan.
+LISTED_KEYS = 200
 MIN_QUESTION, MAX_QUESTION = 3, 2000
 BAD_QUESTION = f"a question has {MIN_QUESTION} to {MAX_QUESTION} characters"
 _SOURCES = (
@@ -38,39 +41,63 @@ def with_payload(
     partitioned by question.
 
     Ranking reads keys and vectors only; texts are read for the winners. There
-    are at most ``fused_top_k`` winners per question: while the questions are
-    few enough, the winners' keys are broadcast and the store is not shuffled.
+    are at most ``fused_top_k`` winners per question: for very few questions
+    their keys are listed in the filter of the scan, which skips what holds none
+    of them; while the questions are few enough, the keys are broadcast and the
+    store is not shuffled.
     """
+    if fits(questions, LISTED_KEYS // settings.fused_top_k):
+        candidates = stage(candidates, "candidates")
+        keys = [r[0] for r in candidates.select("chunk_id").distinct().collect()]
+        store = store.where(among(F.col("chunk_id"), keys))
     small = fits(questions, settings.broadcast_rows // settings.fused_top_k)
     found = store.drop("embedding").join(F.broadcast(candidates) if small else candidates, "chunk_id")
     return spread_by_key(found, "question_id").join(questions, "question_id")
 
 
-def embedder_for(settings: Settings) -> HashingEmbedder:
+def embedder_for(settings: Settings) -> HashingEmbedder | ModelEmbedder:
+    """The embedder of the settings: a model where a loader is named, else word hashing."""
+    if settings.embed_loader:
+        device = pick_device(settings.device)
+        return ModelEmbedder(
+            lambda: hook(settings.embed_loader)(device), settings.embed_dim,
+            settings.batch_size_cpu if device == "cpu" else settings.batch_size_gpu, settings.normalize,
+            settings.document_instruction, settings.query_instruction,
+        )
     return HashingEmbedder(
         settings.embed_dim, settings.normalize,
         settings.document_instruction, settings.query_instruction,
     )
 
 
+def scorer_for(settings: Settings) -> Scorer:
+    """The scorer of the settings: a pair model where a loader is named, else shared keywords."""
+    if settings.rerank_loader:
+        return model_scorer(hook(settings.rerank_loader), settings.rerank_timeout_sec)
+    return lexical_scorer
+
+
 def ask_many(
     store: DataFrame,
     questions: DataFrame,
     settings: Settings,
     where: dict | None = None,
     embedder=None,
-    scorer: Scorer | None = lexical_scorer,
+    scorer: Scorer | None | str = "settings",
     generator: Generator | None = None,
     index: KeywordIndex | None = None,
     any_length: bool = False,
+    snapshot: str | None = None,
 ) -> DataFrame:
     """One response row per question (question_id, question).
 
     A question without candidates above the threshold is not sent to the
     generator; it abstains. A question of another length than is allowed is not
-    asked, and its response says so, unless it may have ``any_length``.
+    asked, and its response says so, unless it may have ``any_length``. Responses
+    carry ``snapshot``, the hash of the store they are answered from.
     """
     generator = generator or choose_generator(settings)
+    scorer = scorer_for(settings) if scorer == "settings" else scorer
     allowed = F.col("question").isNotNull() if any_length else valid_question(F.col("question"))
     valid = questions.where(allowed)
     found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
@@ -99,6 +126,7 @@ def ask_many(
         F.when(~allowed, BAD_QUESTION).otherwise(F.col("error")).alias("error"),
         F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"),
         F.lit(settings.model_version).alias("model_version"),
+        F.lit(snapshot).cast("string").alias("corpus_snapshot_hash"),
     )
 
 
@@ -115,9 +143,9 @@ def ask(
         raise ValueError(BAD_QUESTION)
     started = time.monotonic()
     asked = store.sparkSession.createDataFrame([(0, question)], "question_id int, question string")
-    response = ask_many(store, asked, settings, where, **parts).drop("question_id").first()
+    snapshot = snapshot or snapshot_hash(store).first()[0]
+    response = ask_many(store, asked, settings, where, snapshot=snapshot, **parts).drop("question_id").first()
     return {
         **response.asDict(recursive=True),
-        "corpus_snapshot_hash": snapshot or snapshot_hash(store).first()[0],
         "total_ms": int((time.monotonic() - started) * 1000),
     }

@@ -11,7 +11,7 @@ from citemill.operators.ingest import (
 )
 from citemill.operators.sections import extract_sections, gate_sections
 from citemill.schemas import FILING
-from citemill.session import path_exists, spread, stage
+from citemill.session import path_exists, stage
 from citemill.sources.files import parsed_html, read_filings, read_raw, write_filings, write_raw
 
 
@@ -38,7 +38,7 @@ def ingest(
         chosen = to_fetch(chosen, read_filings(spark, processed_path), read_raw(spark, raw_path))
     # Pages are turned into text only where the heading search will need it.
     page = F.when(F.col("items").isNull(), F.col("html"))
-    read = spread(chosen).withColumn("page", parsed_html(page)).withColumns({
+    read = chosen.withColumn("page", parsed_html(page)).withColumns({
         "text": F.col("page.text"), "error": F.col("page.error"), "failed": F.col("items").isNull(),
     })
     gated = gate_sections(extract_sections(read.drop("page"), "items", "text", "failed"))

@@ -144,6 +144,12 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
 
+_LISTED = (
+    "question_id", "question", "answer", "abstained", "error", "hit_5", "hit_10", "hit_20", "retrieved_5", "retrieved_10",
+    "retrieved_20", "judge", "refuse", "refused", "source_ids",
+)
+
+
 class _TextNodes(HTMLParser):
     """Text nodes of a page: what a reader could see, in document order."""
 
@@ -213,12 +219,17 @@ def html_text(page: Column) -> Column:
     return parsed_html(page)["text"]
 
 
-def write_scorecard(scorecard: DataFrame, folder: str, stamp: str) -> Path:
-    """One-row scorecard as JSON and Markdown; ``latest.md`` is a copy."""
-    row = scorecard.first().asDict(recursive=True)
+def write_scorecard(scorecard: DataFrame, folder: str, stamp: str, scored: DataFrame | None = None) -> Path:
+    """One-row scorecard as JSON and Markdown; ``latest.md`` is a copy. With
+    ``scored``, the JSON also lists the scores of every question; a golden set
+    is written by hand, so its list is short."""
+    row = {"timestamp": stamp, **scorecard.first().asDict(recursive=True)}
+    if scored is not None:
+        listed = scored.select(*[c for c in _LISTED if c in scored.columns]).orderBy("question_id")
+        row["per_question"] = [r.asDict(recursive=True) for r in listed.toLocalIterator()]
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
-    (out / f"report_{stamp}.json").write_text(json.dumps(row, indent=2), encoding="utf-8")
+    (out / f"report_{stamp}.json").write_text(json.dumps(row, indent=2, default=str), encoding="utf-8")
     verdict = lambda ok: "PASS" if ok else "FAIL"
     lines = [
         f"# Evaluation {stamp}", "",

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citemill.config import Settings
+from citemill.functions.filters import among
 from citemill.schemas import STORED_CHUNK
 from citemill.session import path_exists, stage
 
 NO_INDEX = "no-index"
+# Beside the chunks; readers of the table pass over names that begin with a line.
+_SNAPSHOT = "_snapshot"
 
 
 def merge_upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -90,11 +93,18 @@ class ChunkStore:
 
     def get(self, ids: list[str]) -> DataFrame:
         """Chunks by id. Bloom filters on the id let row groups be skipped."""
-        return self.scan().where(F.col("chunk_id").isin(ids))
+        return self.scan().where(among(F.col("chunk_id"), ids))
 
     def ids(self) -> DataFrame:
         return self.scan().select("chunk_id")
 
+    def snapshot(self) -> str:
+        """The hash of the stored ids, as kept by the last write."""
+        kept = f"{self.path}/{_SNAPSHOT}"
+        if path_exists(self.spark, kept):
+            return self.spark.read.text(kept).first()[0]
+        return snapshot_hash(self.scan()).first()[0]
+
     def count(self) -> int:
         return self.scan().count()
 
@@ -125,3 +135,4 @@ class ChunkStore:
             .option("parquet.bloom.filter.enabled#chunk_id", "true")
             .partitionBy("buckets", "bucket").parquet(self.path)
         )
+        snapshot_hash(self.scan()).coalesce(1).write.mode("overwrite").text(f"{self.path}/{_SNAPSHOT}")

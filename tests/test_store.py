@@ -270,8 +270,6 @@ def test_staging_needs_a_shared_folder():
 
 
 def test_headings_with_odd_spaces(spark):
-    from pyspark.sql import functions as F
-
     from citemill.operators.sections import headed_sections
 
     text = "Item\u00a01.\u00a0Business body Item 1A.\u2009Risk\u00a0Factors risks"
@@ -298,3 +296,52 @@ def test_rerank_fails_for_one_question_only(spark):
     assert sorted(r.rerank_score for r in got if r.question_id == 1) == [2.0, 3.0, 4.0]
     assert sorted(r.rerank_score for r in got if r.question_id == 2) == [2.0, 3.0, 4.0]
     assert [r.rerank_score for r in got if r.question_id == 0] == [None] * 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_are_pruned(spark, tmp_path):
+    """Ids and terms reach the scans, and a filtered hybrid search scores the corpus once."""
+    from citemill.operators.keyword import KeywordIndex, keyword_search
+    from citemill.operators.retrieval import retrieve
+    from citemill.plans.ask import embedder_for, with_payload
+
+    held = ChunkStore(spark, str(tmp_path / "s"), SETTINGS)
+    rows = filings(spark, "aa", "bb")
+    build_index(rows, held, SETTINGS)
+    ids = [r.chunk_id for r in held.ids().limit(2).collect()]
+    assert "PushedFilters: [In(chunk_id" in _plan(held.get(ids))
+    asked = spark.createDataFrame([(1, "alpha beta")], "question_id int, question string")
+    found = spark.createDataFrame([(1, ids[0], 1, 0.5)], "question_id int, chunk_id string, rank int, score double")
+    assert ids[0] in _plan(with_payload(found, held.scan(), asked, SETTINGS)).split("PushedFilters")[1][:200]
+    index = KeywordIndex.write(held.scan(), str(tmp_path / "k"), SETTINGS)
+    assert "PushedFilters: [In(term, [alpha,beta])" in _plan(keyword_search(index, asked, SETTINGS)).replace("beta,alpha", "alpha,beta")
+    hybrid = replace(SETTINGS, hybrid_enabled=True)
+    got = retrieve(held.scan(), asked, hybrid, embedder_for(hybrid), {"ticker": "AA"}, index)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert held.snapshot() == snapshot_hash(held.scan()).first()[0]
+
+
+def test_models_from_settings(spark):
+    import sys
+    import types
+
+    from citemill.config import from_tree
+    from citemill.operators.evaluation import judge_for, lexical_judge
+    from citemill.plans.ask import embedder_for, scorer_for
+
+    module = types.ModuleType("own_models")
+    module.embed = lambda device: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    sys.modules["own_models"] = module
+    settings = from_tree({
+        "embeddings": {"loader": "own_models:embed", "dim": 2, "normalize": False, "query_instruction": ""},
+        "serving": {"ollama_model_name": "small"}, "chunking": {"sentence_splitter": "pysbd"},
+    }, {})
+    assert settings.local_model == "small" and type(embedder_for(settings)).__name__ == "ModelEmbedder"
+    assert scorer_for(settings).__name__ == "lexical_scorer" and judge_for(settings) is lexical_judge
+    with pytest.raises(ValueError):
+        from_tree({"chunking": {"sentence_splitter": "other"}}, {})
+    with pytest.raises(ValueError):
+        judge_for(from_tree({"eval": {"judge_backend": "openai"}}, {}))
