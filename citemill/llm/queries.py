@@ -95,20 +95,25 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-def _windows(k: int) -> str:
+def _windows(k: int, source: str = "split") -> str:
     """Places of the words inside windows of k words that are in their text twice or more."""
     return rf"""
   SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + {k})) AS p FROM (
-      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {k - 1}], ' '))) AS times
-      FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM split WHERE len(w) >= {k}))
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS times
+      FROM (SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM (
+        SELECT doc_id, list_transform(range(1, len(w) - {k - 2}), lambda i: md5(array_to_string(w[i:i + {k - 1}], ' '))) AS hs
+        FROM {source} WHERE len(w) >= {k})))
     WHERE times > 1) GROUP BY 1"""
 
 
+# A repeated window lies in repeated shorter ones, so longer ones are looked for only where enough words do.
 @query(rf"""
 WITH split AS (SELECT doc_id, text, {WORDS.format("coalesce(text, '')")} AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-thirds AS ({_windows(3)}), eights AS ({_windows(8)}), long AS ({_windows(101)}),
+thirds AS ({_windows(3)}), partly AS (SELECT * FROM split WHERE doc_id IN (SELECT doc_id FROM thirds WHERE n >= 8)),
+eights AS ({_windows(8, "partly")}), few AS (SELECT * FROM split WHERE doc_id IN (SELECT doc_id FROM eights WHERE n >= 101)),
+long AS ({_windows(101, "few")}),
 counted AS (
   SELECT s.doc_id, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
