@@ -6,40 +6,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
-SLICE_CHARS = 1_000_000
+SLICE_BYTES = 1_000_000
 
 
-def slices(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``chars`` characters each. A longer text is a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if size and size + n > chars:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text each. A longer text is a range of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield start, end
+        start = end
 
 
 def text_column(fn: Callable[[list], list], kind: DataType, text: Column | str) -> Column:
     """A column computed by ``fn`` from lists of texts, a value for each text.
 
     The other columns stay in the JVM. A batch is bounded by Spark's limit on
-    the bytes of an Arrow batch, what ``fn`` sees at once by ``SLICE_CHARS``.
+    the bytes of an Arrow batch, what ``fn`` sees at once by ``SLICE_BYTES``.
     """
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            done = [pa.array(fn(texts[a:b]), type=arrow) for a, b in slices(texts)]
+            done = [pa.array(fn(batch[a:b].to_pylist()), type=arrow) for a, b in slices(batch)]
             yield pa.concat_arrays(done) if done else pa.array([], type=arrow)
 
     # The hints are read by Spark at run time, so they must be real types here.
@@ -56,9 +54,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [c.to_pylist() for c in batch.columns]
-            for a, b in slices(lists[text]):
-                out = fn(*[x[a:b] for x in lists])
+            for a, b in slices(batch.column(text if text >= 0 else batch.num_columns + text)):
+                out = fn(*[c[a:b].to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)], schema=arrow
                 )

@@ -31,7 +31,7 @@ from citemill.llm.batches import text_column
 
 # White space as Unicode has it; Python's own class also holds U+001C to U+001F.
 SPACES = r"\t-\r\x20\x85\xa0  -     　"
-CACHED_WORDS = 150_000
+CACHED_WORDS, CACHED_PAIRS = 100_000, 150_000
 
 
 NEWER = regex.compile(r"[\p{L}\p{N}]")
@@ -112,7 +112,7 @@ class Vocabulary:
         known = self.fits.get(key)
         if known is None:
             known = self._compatible(left, right)
-            if len(self.fits) >= 4 * CACHED_WORDS:
+            if len(self.fits) >= CACHED_PAIRS:
                 self.fits.clear()
             self.fits[key] = known
         return known

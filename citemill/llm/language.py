@@ -63,10 +63,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for name in sorted(set(langs[a:b])):
-                    own = [t for t, x in zip(texts[a:b], langs[a:b]) if x == name]
+            for a, b in slices(batch.column(1)):
+                langs, texts = (c[a:b].to_pylist() for c in batch.columns)
+                for name in sorted(set(langs)):
+                    own = [t for t, x in zip(texts, langs) if x == name]
                     total = sums.setdefault(name, np.zeros(buckets + 1, np.int64))
                     total[:-1] += np.bincount(grams(own, buckets)[0], minlength=buckets)
                     total[-1] += len(own)
