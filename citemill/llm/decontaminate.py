@@ -12,7 +12,9 @@ passed over, and blocks that cannot are skipped.
 Passages are windows of words that overlap by half, as long as two items of the
 greatest length, so that any item lies whole in one. Retrieved items are then
 verified: the question (the item without its last part) and the answer (its last
-part) must both be in the document, in words that follow each other.
+part) must both be in the document, in words that follow each other. An item too
+short for a run in either part must be there as a whole. In scripts that are
+written without spaces every character is a word.
 
 The index is made of the benchmark alone. Its size is checked against a bound
 before it is sent to the executors; larger sets of items are dealt in parts.
@@ -44,11 +46,22 @@ HITS = StructType([
     StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("score", DoubleType()),
     StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType()),
 ])
+# Letters and vowel signs of scripts without spaces between words: Thai, Lao, Burmese, Khmer, Tai, kana, Bopomofo and Han.
+_UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u109a-\u109d\u1780-\u17b3\u17b6-\u17d3"
+    "\u17d7\u17dc\u17dd\u1950-\u19cf\u1a20-\u1a7c\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf"
+    "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9fe\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003fffd"
+)
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_CHARACTER = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_MAYBE_UNSPACED = re.compile("[\u0e01-\U0010ffff]")
 
 
 def terms(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case; characters where a script has no spaces."""
+    if not text:
+        return []
+    return (_WORD_OR_CHARACTER if not text.isascii() and _MAYBE_UNSPACED.search(text) else _WORD).findall(text.lower())
 
 
 def pairs(words: list[str]) -> list[tuple[str, ...]]:
@@ -98,11 +111,19 @@ class Index:
             ws = [weights[n] / own_score[n] for n in ns]
             self.postings[t] = Postings(ns, ws, [max(ws[i : i + block]) for i in range(0, len(ws), block)], max(ws))
         self.bounds = {t: p.most for t, p in self.postings.items()}
+        # Items of one word: texts of more words have no such term.
+        self.single: dict[str, list[int]] = {}
         self.runs = []
-        for ts in items_words:
+        for n, ts in enumerate(items_words):
+            if len(ts) == 1:
+                self.single.setdefault(ts[0], []).append(n)
+            if len(ts) < 2 * RUN:
+                # Too short for a run of words in either part: the whole item is question and answer.
+                self.runs.append((len(ts), {tuple(ts)}, {tuple(ts)}))
+                continue
             # The answer is the last part of the item, one run of words at least.
-            answer = min(max(RUN, round(len(ts) * ANSWER_SHARE)), max(1, len(ts) - 1))
-            self.runs.append((_runs(ts[:-answer] or ts), _runs(ts[-answer:])))
+            answer = max(RUN, round(len(ts) * ANSWER_SHARE))
+            self.runs.append((RUN, _runs(ts[:-answer]), _runs(ts[-answer:])))
 
     def retrieve(self, query: set[tuple], least: float) -> list[tuple[int, float]]:
         """(number of item, score) of all items with a score of ``least`` or more, by block-max WAND."""
@@ -152,11 +173,12 @@ class Index:
         """(item_id, score, question overlap, answer overlap) of the items that a text of these words gives away."""
         ts = pairs(words)
         width = max(2 * self.longest, 1)
-        best: dict[int, float] = {}
         # The bounds of all words of a window are above those of its distinct words; most windows end here.
         get = self.bounds.get
         if not ts:
             return []
+        # The only word of an item is all of its score.
+        best = {n: 1.0 for w in self.single.keys() & set(words) for n in self.single[w]} if self.single and least <= 1 else {}
         sums = np.zeros(len(ts) + 1)
         np.cumsum(np.array(list(map(get, ts, repeat(0.0)))), out=sums[1:])
         starts = np.arange(0, max(1, len(ts) - width // 2), max(1, width // 2))
@@ -166,17 +188,20 @@ class Index:
                 best[n] = max(score, best.get(n, 0.0))
         out = []
         if best:
-            runs = _runs(words)
+            of_length: dict[int, set[tuple[str, ...]]] = {}
             for n, score in sorted(best.items()):
-                asked, told = (len(r & runs) / len(r) for r in self.runs[n])
+                length, *parts = self.runs[n]
+                if length not in of_length:
+                    of_length[length] = _runs(words, length)
+                asked, told = (len(r & of_length[length]) / len(r) for r in parts)
                 if asked >= question and told >= answer:
                     out.append((self.ids[n], score, asked, told))
         return out
 
 
-def _runs(ts: list[str]) -> set[tuple[str, ...]]:
-    """Runs of ``RUN`` words, or the words as one run if they are fewer."""
-    return {tuple(ts[i : i + RUN]) for i in range(len(ts) - RUN + 1)} or {tuple(ts)}
+def _runs(ts: list[str], length: int = RUN) -> set[tuple[str, ...]]:
+    """Runs of ``length`` words."""
+    return {tuple(ts[i : i + length]) for i in range(len(ts) - length + 1)}
 
 
 def _parts(items: DataFrame, bound: int) -> list[list[tuple[int, str]]]:
@@ -200,7 +225,8 @@ def leaked_items(
 
     ``docs`` (doc_id, text) are read whole, in passages; ``items`` (item_id, text) are the benchmark. An item is
     retrieved by a passage with ``share`` of its BM25 score and leaked if the document has ``question`` of the runs of
-    three words of its question and ``answer`` of those of its answer. Null texts and texts without words give
+    three words of its question and ``answer`` of those of its answer; one of fewer than six words, if the document has
+    it whole, in words that follow each other. Null texts and texts without words give
     nothing, nor do items without words; repeated rows of ``docs`` give repeated rows, those of ``items`` count once.
     """
     results = []

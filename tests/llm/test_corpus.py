@@ -175,6 +175,22 @@ def test_leaks(spark):
     assert decontaminate.leaked_items(docs, items.limit(0)).collect() == [] and decontaminate.leaked_items(odd(spark), items).collect() == []
 
 
+def test_short_items_are_found(spark):
+    noise = [f"n{i % 70}" for i in range(400)]
+    items = ["solo", "two words", "it takes three", "what is two five", "What is 2+2? 4", "a first b second c third"]
+    items += ["日本の首都はどこですか東京", "กรุงเทพ"]
+    texts = [" ".join([*noise[:150], item.upper(), *noise[150:]]) for item in items[:6]]
+    texts += [f"前の文{items[6]}後の文。" * 3, f"มา{items[7]}นี้", items[0], items[1]]
+    # All their words, but not next to each other.
+    texts += ["words and then two", "it all takes and three", "what is it: two or five", "what is 2 and 2, 4", "日本の都は東京です", " ".join(noise)]
+    docs, table = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaked_items(docs, table).collect()}
+    assert sorted(got) == [*((i, i) for i in range(8)), (8, 0), (9, 1)]
+    assert all(r.score > 1 - 1e-9 and r.question_overlap == r.answer_overlap == 1 for r in got.values())
+    clean = docs.where(decontaminate.is_clean(docs, table)).select("doc_id").collect()
+    assert sorted(r[0] for r in clean) == list(range(10, 16))
+
+
 def test_severity_is_ordered(spark):
     draw = random.Random(10)
     common, marks = [f"c{chr(97 + i)}x" for i in range(26)], ["vile", "vileness", "brute", "foul"]
