@@ -3,8 +3,10 @@
 Paragraphs pass points for their length and commas to their ancestors, less to
 those further up; a container's points are discounted by its link density. The
 best container and those siblings that look like more of the same are kept.
-What a page marks as menu, header, footer, notice, advert, form or comments is
-taken out before. Every page is one row, so the work is spread by Spark and
+What a page marks as menu, header, footer, advert or comments by its element,
+its role or a whole name is taken out before. Single words of a class or id, and
+forms, halve the points of their text; such an element is taken out if it has
+little text beside the rest of the page, and never for a word inside an article. Every page is one row, so the work is spread by Spark and
 needs no shuffle; parsing takes one pass over the page.
 """
 
@@ -27,16 +29,19 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset(
-    "head script style textarea title iframe noembed noframes noscript template nav footer aside form button select option "
+    "head script style textarea title iframe noembed noframes noscript template nav footer aside button select option "
     "object svg canvas audio video dialog menu datalist".split()
 )
-# Words of a class, id or role that name what is no article.
+# Words of a class or id that may name what is no article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
     "complementary copyright dialog discussion disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply "
+    "header newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+# Roles that say as much as an element does.
+ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WANTED = frozenset("article body content entry main post story text".split())
 ARTICLES = ("article", "main")
 CLOSED_BY = {
@@ -50,6 +55,7 @@ BASE_POINTS = {
     "article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
     "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5,
 }
+DOUBT, LOW_SHARE = 0.5, 0.5
 LEAST_PARAGRAPH, LEAST_SIBLING, SIBLING_SHARE = 25, 10.0, 0.2
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -58,6 +64,15 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]
 _TOKENS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+# Whole names of comments and adverts; comments-open or has-ads are none.
+_COMMENTS = re.compile(
+    r"(?:(?:user|post|blog|page|article|fb|facebook)-)?comments?(?:-?(?:list|area|section|form|thread|wrap|wrapper|container|box|block))?"
+    r"|disqus(?:-thread)?"
+)
+_ADVERTS = re.compile(
+    r"(?:(?:google|banner|top|side|inline|text)-)?(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsored)"
+    r"(?:-(?:slot|unit|box|banner|container|wrap|wrapper|block|label|content|[0-9]+))?"
+)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -66,6 +81,8 @@ class Node:
     tag: str
     parent: Node | None
     dropped: bool = False
+    doubted: bool = False
+    unsure: bool = False  # doubted, or in an element that is
     wanted: bool = False
     kind: str = ""
     children: list[Node] = field(default_factory=list)
@@ -75,6 +92,7 @@ class Node:
     links: int = 0
     scored: bool = False
     inside: Node | None = None  # the innermost article around, itself included
+    in_article: bool = False  # in an article element, itself included
 
 
 @dataclass(slots=True, eq=False)
@@ -89,6 +107,11 @@ def _names(value: str) -> set[str]:
     return set(_TOKENS.findall(_CAMEL.sub(" ", value).lower()))
 
 
+def _whole_names(given: dict[str, str]) -> list[str]:
+    """The names of a class and the id, in lower case with hyphens between their words."""
+    return [_CAMEL.sub("-", n).lower().replace("_", "-") for n in f"{given.get('class', '')} {given.get('id', '')}".split()]
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {
         name.lower(): entities.unescape(value[1:-1] if value[:1] in "\"'" else value) for name, value in _ATTRIBUTE.findall(rest)
@@ -96,8 +119,10 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 def _describe(node: Node, rest: str) -> None:
-    """Sets whether the element is dropped or wanted by its name and attributes."""
+    """Sets whether the element is dropped, doubted or wanted by its name and attributes."""
     tag = node.tag
+    node.in_article = tag == "article" or node.parent is not None and node.parent.in_article
+    node.doubted = tag == "form"
     node.inside = node if tag in ARTICLES else node.parent.inside if node.parent else None
     node.dropped = tag in DROPPED or tag == "header" and node.inside is None
     if not rest.strip(" \t\r\n/") or tag in ("html", "body"):
@@ -106,8 +131,12 @@ def _describe(node: Node, rest: str) -> None:
     names = _names(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}")
     node.kind = given.get("class", "")
     node.wanted = bool(names & WANTED)
-    if tag != "main" and names & UNWANTED or names & {"header"} and node.inside is None and tag != "article":
-        node.dropped = True
+    if tag not in ARTICLES and tag not in HEADINGS:
+        whole = _whole_names(given)
+        if any(map(_COMMENTS.fullmatch, whole)) or any(map(_ADVERTS.fullmatch, whole)) or _names(given.get("role", "")) & ROLES:
+            node.dropped = True
+        elif names & UNWANTED and not node.in_article and (node.inside is None or tag not in PARAGRAPHS):
+            node.doubted = True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDING.search(given.get("style", "")):
         node.dropped = True
 
@@ -243,32 +272,29 @@ def _inside(nodes: list[Node], chosen: set[int]) -> set[int]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page, a line for each block; empty if it has none."""
-    if not html:
-        return ""
-    page = Page(html)
-    # A wrapper that is unwanted by its class alone but holds the page's title or main part stays.
-    for node in page.nodes:
-        if node.tag in ("h1", "main") and not node.dropped:
-            above = node.parent
-            while above is not None and above.tag not in DROPPED and above.tag != "header":
-                if above.tag in ("div", "section", "table", "td", "tr", "tbody") and not _names(above.kind) & {"comment", "comments"}:
-                    above.dropped = False
-                above = above.parent
-    # Parents come before their children in the list of nodes.
-    for node in page.nodes[1:]:
+def _spread(nodes: list[Node]) -> None:
+    """Passes drops and doubts on to all below; parents come before their children in ``nodes``."""
+    for node in nodes[1:]:
         node.dropped |= node.parent.dropped
-    blocks = [b for b in page.blocks if not b.owner.dropped]
-    if not blocks:
-        return ""
+        node.unsure = node.doubted or node.parent.unsure
+
+
+def _value(node: Node) -> float:
+    return node.points * (1 - min(1.0, node.link_chars / node.chars)) if node.chars else 0.0
 
+
+def _score(page: Page, blocks: list[Block]) -> None:
+    """Sets points and characters of all elements from the blocks."""
+    for node in page.nodes:
+        node.points, node.chars, node.link_chars, node.scored = 0.0, 0, 0, False
     for block in blocks:
         size, owner = len(block.text), block.owner
         owner.chars += size
         owner.link_chars += min(block.link_chars, size)
         if size >= LEAST_PARAGRAPH:
             points = (1 + block.text.count(",") + min(size / 100, 3)) * (1 - min(1.0, block.link_chars / size))
+            if owner.unsure:
+                points *= DOUBT
             to = owner.parent if owner.tag in PARAGRAPHS and owner.parent is not None else owner
             to.points += points
             to.scored = True
@@ -281,21 +307,15 @@ def main_text(html: str | None) -> str:
     for node in page.nodes:
         node.scored &= node.tag not in ("html", "#root")
         if node.scored:
-            node.points += BASE_POINTS.get(node.tag, 0) + (25 if node.wanted else 0)
-    # Menus that nothing marks: several short links and hardly other text.
-    menus = set()
-    for node in page.nodes:
-        if node.tag in ("ul", "ol", "div", "table", "section", "dl") and not node.dropped and node.chars:
-            links = node.links + sum(c.links for c in node.children)
-            if links >= 3 and node.link_chars > 0.6 * node.chars and node.link_chars < 40 * links:
-                menus.add(id(node))
+            base = BASE_POINTS.get(node.tag, 0) + (25 if node.wanted else 0)
+            node.points += base * DOUBT if node.unsure and base > 0 else base
 
-    def value(node: Node) -> float:
-        return node.points * (1 - min(1.0, node.link_chars / node.chars)) if node.chars else 0.0
 
+def _best(page: Page) -> Node:
+    """The container of the main text: the one with the most points, or the article it is in."""
     candidates = [n for n in page.nodes if n.scored and not n.dropped]
-    articles = [n for n in page.nodes if n.tag in ARTICLES and n.chars and not n.dropped]
-    best = max(candidates, key=value, default=None)
+    best = max(candidates, key=_value, default=None)
+    articles = [n for n in page.nodes if n.tag in ARTICLES and n.chars and not n.dropped and (not n.unsure or best is None or best.unsure)]
     if best is not None and best.inside is not None and not best.inside.dropped:
         best = best.inside
     elif articles:
@@ -304,15 +324,69 @@ def main_text(html: str | None) -> str:
             best = max(articles, key=lambda n: n.chars)
     if best is None:
         best = page.root
+    return best
+
+
+def _drop_doubted(page: Page, best: Node) -> bool:
+    """Drops doubted elements with little text, links aside, beside the rest; those around ``best`` are no longer doubted."""
+    above: Node | None = best
+    while above is not None:
+        above.doubted = False
+        above = above.parent
+    _spread(page.nodes)
+    left = [n for n in page.nodes if n.doubted and not n.dropped and n.chars]
+    outer = [n.chars - n.link_chars for n in left if not n.parent.unsure]
+    # Where nearly all is doubted, the largest of it is what the others are held against.
+    rest = max([page.root.chars - page.root.link_chars - sum(outer), *outer])
+    low = [n for n in left if n.chars - n.link_chars < LOW_SHARE * rest]
+    for node in low:
+        node.dropped = True
+    _spread(page.nodes)
+    return bool(low)
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page, a line for each block; empty if it has none."""
+    if not html:
+        return ""
+    page = Page(html)
+    # A wrapper that is unwanted by its class alone but holds the page's title or main part stays.
+    for node in page.nodes:
+        if node.tag in ("h1", "main") and not node.dropped:
+            above = node.parent
+            while above is not None and above.tag not in DROPPED and above.tag != "header":
+                if above.tag in ("div", "section", "table", "td", "tr", "tbody") and not any(
+                    map(_COMMENTS.fullmatch, _whole_names({"class": above.kind}))
+                ):
+                    above.dropped = False
+                above = above.parent
+    _spread(page.nodes)
+    blocks = [b for b in page.blocks if not b.owner.dropped]
+    if not blocks:
+        return ""
+    _score(page, blocks)
+    best = _best(page)
+    if any(n.doubted for n in page.nodes) and _drop_doubted(page, best):
+        blocks = [b for b in blocks if not b.owner.dropped]
+        _score(page, blocks)
+        best = _best(page)
+    # Menus that nothing marks: several short links and hardly other text.
+    menus = set()
+    for node in page.nodes:
+        if node.tag in ("ul", "ol", "div", "table", "section", "dl") and not node.dropped and node.chars:
+            links = node.links + sum(c.links for c in node.children)
+            if links >= 3 and node.link_chars > 0.6 * node.chars and node.link_chars < 40 * links:
+                menus.add(id(node))
+
     chosen = {id(best)}
     if best.parent is not None and best.tag not in ("html", "body", "#root"):
-        limit = max(LEAST_SIBLING, SIBLING_SHARE * value(best))
+        limit = max(LEAST_SIBLING, SIBLING_SHARE * _value(best))
         for node in best.parent.children:
             if node.dropped or not node.chars or id(node) in menus:
                 continue
             density = node.link_chars / node.chars
             alike = node.tag == best.tag and node.kind == best.kind or best.tag not in ARTICLES
-            if alike and node.scored and value(node) + (0.2 * value(best) if node.kind and node.kind == best.kind else 0) >= limit:
+            if alike and node.scored and _value(node) + (0.2 * _value(best) if node.kind and node.kind == best.kind else 0) >= limit:
                 chosen.add(id(node))
             elif best.tag not in ARTICLES and node.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and density < 0.25:
                 chosen.add(id(node))

@@ -111,11 +111,24 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header cla
 <form><label>Subscribe</label><input></form><script>var x="</p>";</script><footer>c 2020</footer></body></html>"""
 
 
+TEXT = "A paragraph of an article, with commas, and with enough words to be taken for one."
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div>x < y &amp; z</div>", "x < y & z"),
     ("<nav>menu</nav><article>short</article><footer>f</footer>", "short"), ("<script>x", ""), ("<!-- a", ""), ('<a "b', ""),
     ("<article><p><b>bold<br><p>next</p></article>", "bold\nnext"), ("<b>1</b>2<i>3</i>", "123"),
     ("<main><table><tr><td>a<td>b<tr><td>c</table></main>", "a\nb\nc"), ("<body><div hidden>no</div><p>yes  it is</p></body>", "yes it is"),
+    *[(f"<nav>menu</nav><article class='{c}'>{h}<p>{TEXT}</p></article>", f"{t}{TEXT}")
+      for c in ("post category-social", "post comments-open", "sidebar widget") for h, t in (("", ""), ("<h1>Head</h1>", "Head\n"))],
+    (f"<div class='entry-content has-sidebar'><p>{TEXT}</p><p>{TEXT}</p></div><div class=sidebar>Some notes</div>", f"{TEXT}\n{TEXT}"),
+    (f"<article><h2 id='market-share'>Share</h2><p>{TEXT}</p><section id='discussion'><p>Short end.</p></section><p class='notice'>Note.</p>"
+     f"<div class='ad-slot'>Buy</div><div id=comments>{TEXT}</div></article>", f"Share\n{TEXT}\nShort end.\nNote."),
+    (f"<body><form id=aspnetForm><div class=page><h2>Head</h2><p>{TEXT}</p></div></form><form>Your name</form></body>", f"Head\n{TEXT}"),
+    (f"<article><form><p>{TEXT}</p></form><form>Mail address</form></article>", TEXT),
+    (f"<main><h2 class='section-header'>Head</h2><p class=notice>{TEXT}</p><div class=share>Tell friends</div></main>", f"Head\n{TEXT}"),
+    (f"<p>{TEXT}</p><div class=cookie-notice>We use cookies</div>", TEXT),
+    (f"<div class=content><p>{TEXT}</p><p>{TEXT}</p></div><div class=related><article>{TEXT}</article></div>", f"{TEXT}\n{TEXT}"),
     (PAGE, "Title here\nFirst paragraph, with several words, and more & more.\nSecond para.\none\ntwo\nThird <b> paragraph, link, text more."),
 ])
 def test_main_text(page, text):
