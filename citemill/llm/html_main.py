@@ -370,7 +370,7 @@ def main_text(html: str | None) -> str:
         blocks = [b for b in blocks if not b.owner.dropped]
         _score(page, blocks)
         best = _best(page)
-    # Menus that nothing marks: several short links and hardly other text.
+    # What may be menus that nothing marks: several short links and hardly other text.
     menus = set()
     for node in page.nodes:
         if node.tag in ("ul", "ol", "div", "table", "section", "dl") and not node.dropped and node.chars:
@@ -390,8 +390,21 @@ def main_text(html: str | None) -> str:
                 chosen.add(id(node))
             elif best.tag not in ARTICLES and node.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and density < 0.25:
                 chosen.add(id(node))
-    kept = _inside(page.nodes, chosen) - _inside(page.nodes, menus)
-    return "\n".join(b.text for b in blocks if id(b.owner) in kept)
+    kept = _inside(page.nodes, chosen)
+    around: Node | None = best
+    while around is not None:
+        menus.discard(id(around))
+        around = around.parent
+    # An article's lists of links are its own, as are those between paragraphs of another container.
+    articles = _inside(page.nodes, {id(n) for n in page.nodes if n.tag in ARTICLES and id(n) in kept})
+    gone = _inside(page.nodes, menus) - articles
+    blocks = [b for b in blocks if id(b.owner) in kept]
+    told = [
+        k for k, b in enumerate(blocks)
+        if id(b.owner) not in gone and b.owner.tag not in HEADINGS and len(b.text) >= LEAST_PARAGRAPH and 2 * b.link_chars < len(b.text)
+    ]
+    first, last = (told[0], told[-1]) if told and best.tag not in ("html", "body", "#root") else (0, 0)
+    return "\n".join(b.text for k, b in enumerate(blocks) if id(b.owner) not in gone or first < k < last)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -113,6 +113,8 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header cla
 
 TEXT = "A paragraph of an article, with commas, and with enough words to be taken for one."
 
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Ref {i}</a></li>" for i in (1, 2, 3)) + "</ul>"
+
 
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div>x < y &amp; z</div>", "x < y & z"),
@@ -129,6 +131,11 @@ TEXT = "A paragraph of an article, with commas, and with enough words to be take
     (f"<main><h2 class='section-header'>Head</h2><p class=notice>{TEXT}</p><div class=share>Tell friends</div></main>", f"Head\n{TEXT}"),
     (f"<p>{TEXT}</p><div class=cookie-notice>We use cookies</div>", TEXT),
     (f"<div class=content><p>{TEXT}</p><p>{TEXT}</p></div><div class=related><article>{TEXT}</article></div>", f"{TEXT}\n{TEXT}"),
+    *[(f"<{tag}><p>{TEXT}</p>{LINKS}<p>{TEXT}</p>{LINKS}</{tag}>{LINKS}", f"{TEXT}\nRef 1\nRef 2\nRef 3\n{TEXT}\nRef 1\nRef 2\nRef 3")
+      for tag in ("article", "main")],
+    (f"<article><section><h2>Sources</h2>{LINKS}</section></article>", "Sources\nRef 1\nRef 2\nRef 3"),
+    (f"<div class=content>{LINKS}<p>{TEXT}</p>{LINKS}<p>{TEXT}</p>{LINKS}</div>", f"{TEXT}\nRef 1\nRef 2\nRef 3\n{TEXT}"),
+    (f"<body>{LINKS}<p>{TEXT}</p>{LINKS}<p>{TEXT}</p></body>", f"{TEXT}\n{TEXT}"),
     (PAGE, "Title here\nFirst paragraph, with several words, and more & more.\nSecond para.\none\ntwo\nThird <b> paragraph, link, text more."),
 ])
 def test_main_text(page, text):
