@@ -17,23 +17,28 @@ short for a run in either part must be there as a whole. In scripts that are
 written without spaces every character is a word.
 
 The index is made of the benchmark alone. Its size is checked against a bound
-before it is sent to the executors; larger sets of items are dealt in parts.
+before it is sent to the executors; larger sets of items are dealt in parts by
+their ids, and the parts are built one after the other. Weights in a part are
+those of the whole benchmark, whose counts Spark takes.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 from math import log
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from citemill.llm.batches import map_texts, text_column
+from citemill.session import stage
 
 K1, B = 1.2, 0.75
 SHARE = 0.5
@@ -79,30 +84,46 @@ class Postings:
     most: float = 0.0
 
 
+@dataclass(slots=True)
+class Counts:
+    """Of all items: their number, mean and greatest length in terms, and the items that have a term, for those of a part."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[tuple, int]
+
+
 class Index:
-    """BM25 index of items given as (item_id, text)."""
+    """BM25 index of items given as (item_id, text). ``counts`` are those of all items if these are a part of them."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = K1, b: float = B, block: int = BLOCK):
+    def __init__(
+        self, items: list[tuple[int, str]], k1: float = K1, b: float = B, block: int = BLOCK, counts: Counts | None = None
+    ):
         # Rows without id or words cannot be found; an id's rows in the order of their texts.
         listed = sorted((i, t) for i, t in items if i is not None and terms(t))
         self.ids = [i for i, _ in listed]
         items_words = [terms(t) for _, t in listed]
         self.terms = [pairs(ws) for ws in items_words]
         self.block = block
-        self.longest = max(map(len, self.terms), default=0)
-        mean = sum(map(len, self.terms)) / len(self.terms) if self.terms else 1.0
         found: dict[tuple, dict[int, int]] = {}
         for n, ts in enumerate(self.terms):
             for t in ts:
                 own = found.setdefault(t, {})
                 own[n] = own.get(n, 0) + 1
+        if counts is None:
+            counts = Counts(
+                len(listed), sum(map(len, self.terms)) / len(listed) if listed else 1.0, max(map(len, self.terms), default=0),
+                {t: len(own) for t, own in found.items()},
+            )
+        self.longest, mean = counts.longest, counts.mean
         self.postings: dict[tuple, Postings] = {}
         own_score = [0.0] * len(listed)
         raw: dict[tuple, dict[int, float]] = {}
-        for t, counts in found.items():
-            idf = log(1 + (len(listed) - len(counts) + 0.5) / (len(counts) + 0.5))
+        for t, own in found.items():
+            idf = log(1 + (counts.items - counts.having[t] + 0.5) / (counts.having[t] + 0.5))
             raw[t] = {
-                n: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(self.terms[n]) / mean)) for n, tf in counts.items()
+                n: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(self.terms[n]) / mean)) for n, tf in own.items()
             }
             for n, w in raw[t].items():
                 own_score[n] += w
@@ -204,17 +225,48 @@ def _runs(ts: list[str], length: int = RUN) -> set[tuple[str, ...]]:
     return {tuple(ts[i : i + length]) for i in range(len(ts) - length + 1)}
 
 
-def _parts(items: DataFrame, bound: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of at most ``bound`` characters (one item at least)."""
-    parts: list[list[tuple[int, str]]] = []
-    size = 0
-    for row in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        if not parts or size + len(row[1]) > bound:
+def _distinct_terms(texts: list) -> list[dict]:
+    """The number of index terms of each text and the distinct ones, written as words with a space between."""
+    found = [pairs(terms(t)) for t in texts]
+    return [{"n": len(ts), "terms": sorted({" ".join(t) for t in ts})} for ts in found]
+
+
+def _indexes(items: DataFrame, bound: int) -> Iterator[Broadcast]:
+    """Indexes of the items in parts of at most ``bound`` characters (the rows of one item_id at least), one at a time.
+    All rows of an item_id are in one part."""
+    items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    context = items.sparkSession.sparkContext
+    size = items.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    if size <= bound:
+        rows = [tuple(r) for r in items.distinct().toLocalIterator()]
+        if rows:
+            yield context.broadcast(Index(rows))
+        return
+    # Several buckets go to a part, so that parts come near the bound though buckets differ in size.
+    part = F.pmod(F.xxhash64("item_id"), F.lit(4 * -(-size // max(1, bound))))
+    kind = StructType([StructField("n", LongType()), StructField("terms", ArrayType(StringType()))])
+    listed = stage(
+        items.distinct().select("item_id", "text", part.alias("part"), text_column(_distinct_terms, kind, "text").alias("t"))
+        .select("item_id", "text", "part", "t.*").where("n > 0"), "items",
+    )
+    total = listed.agg(F.count("*").alias("items"), F.mean("n").alias("mean"), F.max("n").alias("longest")).first()
+    found = listed.select("part", F.explode("terms").alias("term")).groupBy("term", "part").count()
+    having = stage(found.join(found.groupBy("term").agg(F.sum("count").alias("having")), "term").select("term", "part", "having"), "having")
+    parts: list[list[int]] = []
+    filled = 0
+    for row in listed.groupBy("part").agg(F.sum(F.length("text").cast("long")).alias("size")).orderBy("part").collect():
+        if not parts or filled + row["size"] > bound:
             parts.append([])
-            size = 0
-        parts[-1].append((row[0], row[1]))
-        size += len(row[1])
-    return parts
+            filled = 0
+        parts[-1].append(row["part"])
+        filled += row["size"]
+    for chosen in parts:
+        counts = Counts(total["items"], total["mean"], total["longest"], {
+            tuple(r[0].split(" ")): r[1]
+            for r in having.where(F.col("part").isin(chosen)).select("term", "having").distinct().toLocalIterator()
+        })
+        rows = [tuple(r) for r in listed.where(F.col("part").isin(chosen)).select("item_id", "text").toLocalIterator()]
+        yield context.broadcast(Index(rows, counts=counts))
 
 
 def leaked_items(
@@ -230,18 +282,15 @@ def leaked_items(
     nothing, nor do items without words; repeated rows of ``docs`` give repeated rows, those of ``items`` count once.
     """
     results = []
-    for part in _parts(items, index_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Index(list(dict.fromkeys(part))))
+    for index in _indexes(items, index_chars):
 
         def run(ids: list, texts: list, index=index) -> list:
-            rows = [
-                (i, *hit) for i, t in zip(ids, texts) if t for hit in index.value.leaks(terms(t), share, question, answer)
-            ]
             # An item listed with several texts is one: the best of them.
-            best: dict[tuple, tuple] = {}
-            for place, row in enumerate(rows):
-                key = (row[0], row[1]) if row[0] is not None else (None, row[1], place)
-                best[key] = max(row, best.get(key, row), key=lambda r: r[2])
+            best: dict[tuple[int, int], tuple] = {}
+            for place, (i, t) in enumerate(zip(ids, texts)):
+                for hit in index.value.leaks(terms(t), share, question, answer) if t else ():
+                    key, row = (place, hit[0]), (i, *hit)
+                    best[key] = max(best.get(key, row), row, key=lambda r: r[2:])
             return [list(c) for c in zip(*best.values())] if best else [[] for _ in HITS.fields]
 
         results.append(map_texts(docs, run, HITS, ["doc_id", "text"]))
@@ -257,8 +306,7 @@ def is_clean(docs: DataFrame, items: DataFrame, text: str = "text", **limits: fl
     """A condition true for texts that give no item away, in one pass without a shuffle. A null text is clean."""
     limits = {"share": SHARE, "question": QUESTION, "answer": ANSWER} | limits
     condition = F.lit(True)
-    for part in _parts(items, INDEX_CHARS):
-        index = docs.sparkSession.sparkContext.broadcast(Index(list(dict.fromkeys(part))))
+    for index in _indexes(items, INDEX_CHARS):
 
         def run(texts: list, index=index) -> list:
             return [not t or not index.value.leaks(terms(t), limits["share"], limits["question"], limits["answer"]) for t in texts]

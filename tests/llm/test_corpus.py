@@ -175,6 +175,25 @@ def test_leaks(spark):
     assert decontaminate.leaked_items(docs, items.limit(0)).collect() == [] and decontaminate.leaked_items(odd(spark), items).collect() == []
 
 
+def test_parts_of_the_index_change_nothing(spark):
+    draw = random.Random(11)
+    common = [f"w{i}" for i in range(12)]
+    texts = [" ".join(draw.choices(common, k=draw.randrange(1, 25))) for _ in range(40)]
+    # An item with two texts, one of them with more at its end, and one listed twice.
+    items = [*enumerate(texts), (7, f"{texts[7]} and more than that"), (8, texts[8])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [*(f"{a} {b}" for a, b in zip(texts, texts[1:])), " ".join(draw.choices(common, k=900)), f"{texts[7]} and more than that"])
+    docs = docs.unionByName(docs.where("doc_id = 3")).coalesce(1)
+
+    def rows(**bound):
+        found = decontaminate.leaked_items(docs, table, **bound).collect()
+        return sorted((r.doc_id, r.item_id, round(r.score, 7), round(r.question_overlap, 7), round(r.answer_overlap, 7)) for r in found)
+
+    whole = rows()
+    assert rows(index_chars=700) == whole and len(whole) > 40
+    assert sum(r[:2] == (3, 3) for r in whole) == 2 and all(whole.count(r) == (2 if r[0] == 3 else 1) for r in whole)
+
+
 def test_short_items_are_found(spark):
     noise = [f"n{i % 70}" for i in range(400)]
     items = ["solo", "two words", "it takes three", "what is two five", "What is 2+2? 4", "a first b second c third"]
