@@ -9,7 +9,7 @@ training sample: features much more frequent in its toxic rows are marks, and a
 toxic row with more marks than the median toxic row is severe.
 
 The model is fitted on a bounded sample, at most ``sample`` rows of either
-label, taken in the order of a hash of their ids. Every document is scored.
+label that have a document, taken in the order of a hash of their ids. Every document is scored.
 """
 
 from __future__ import annotations
@@ -72,8 +72,11 @@ class Severity:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, toxic, text) of the sample, at most 2 * ``sample`` rows."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
+    """(doc_id, toxic, text) of the sample, at most 2 * ``sample`` rows where ``docs`` does not repeat ids. Labels without
+    a document take no place in it."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").join(
+        docs.select("doc_id"), "doc_id", "left_semi"
+    )
     ids = [
         known.where(F.col("toxic") == x).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         .withColumn("toxic", F.lit(x)) for x in (0, 1)

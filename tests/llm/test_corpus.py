@@ -228,6 +228,15 @@ def test_severity_is_ordered(spark):
     assert all(0 <= r.expected_severity <= 2 for r in rows.values())
 
 
+def test_severity_sample_is_of_labels_with_documents(spark):
+    docs = documents(spark, [f"foul vile words {i}" if i % 2 else f"common plain words {i}" for i in range(40)])
+    near = [(i, i % 2) for i in range(40)]
+    labels = spark.createDataFrame([*near, *((i, i % 2) for i in range(1000, 4000))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample=20)
+    assert model.weights and model == toxicity.fit(docs, spark.createDataFrame(near, "doc_id long, toxic int"), sample=20)
+    assert all(r.kept == (r.doc_id % 2 == 0) for r in toxicity.toxic_documents(docs, labels, sample=20).collect())
+
+
 def test_severity_gradient():
     """The steps follow the gradient of the cumulative-link likelihood."""
     def loss(score, thresholds, grade):
