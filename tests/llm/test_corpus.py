@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -279,6 +280,37 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in rows} == set(after) and all(r.n_tokens == len(r.ids) for r in rows)
 
 
+def plain_leaks(texts, items):
+    """(doc_id, item_id) by a search for every item: 0.7 of the runs of three words of its first part and of its last quarter."""
+    def runs(words):
+        return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+    out = set()
+    split = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in items.items() if t}
+    assert min(map(len, split.values())) >= 12
+    for doc_id, text in texts.items():
+        there = runs(re.findall(r"[^\W_]+", (text or "").lower()))
+        for item_id, words in split.items():
+            cut = len(words) - round(len(words) / 4)
+            if all(10 * len(r & there) >= 7 * len(r) for r in (runs(words[:cut]), runs(words[cut:]))):
+                out.add((doc_id, item_id))
+    return out
+
+
+def test_leaks_and_stages_as_a_plain_search(spark):
+    docs, items = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "benchmark"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    leaks = plain_leaks(texts, {r.item_id: r.text for r in items.collect()})
+    assert leaks and {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, items).collect()} == leaks
+    stages = dict(corpus_pipeline.STAGES)
+    clean = {r.doc_id for r in stages["benchmark_decontamination"](spark, docs, FOLDER).collect()}
+    assert clean == set(texts) - {d for d, _ in leaks}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    kept = {r.doc_id: r.kept for r in toxicity.toxic_documents(docs, labels).collect()}
+    left = {r.doc_id for r in stages["toxicity"](spark, docs, FOLDER).collect()}
+    assert left == {i for i, k in kept.items() if k} and left != set(texts)
+
+
 def test_pipeline_takes_odd_rows(spark):
     df = odd(spark).withColumn("n_chars", __import__("pyspark").sql.functions.length("text").cast("long"))
     for frame in (df, df.limit(0)):
