@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from citemill.llm import (
-    bpe, decontaminate, html_main, language, near_dedup, pii, repetition, substring_dedup, toxicity, weak_quality,
+    bpe, decontaminate, fill_middle, hard_negatives, html_main, language, near_dedup, pii, repetition, simhash,
+    substring_dedup, toxicity, weak_quality,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +155,56 @@ def op5_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality.quality(table(spark, folder, "documents"))
 
 
+@query(r"""
+WITH cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS d
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, list_transform(range(4), lambda i: ('0x' || substr(d, (8 * i + 1)::BIGINT, 8))::BIGINT) AS h FROM cut),
+placed AS (
+  SELECT doc_id, text, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+      WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""")
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-the-middle forms of all documents, as digests."""
+    return fill_middle.fill_in_middle_digests(table(spark, folder, "documents"))
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose fingerprints differ in at most two bits."""
+    return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the vectors whose vec_id is divisible by 100."""
+    return hard_negatives.label_negatives(table(spark, folder, "embeddings"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""

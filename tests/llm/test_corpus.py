@@ -26,7 +26,7 @@ def test_query_has_the_rows_of_its_sql(spark, name):
 
 
 def test_queries_are_all_there():
-    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10 and "pipeline" in queries.QUERIES
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13 and "pipeline" in queries.QUERIES
 
 
 def test_components(spark):
