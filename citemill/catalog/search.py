@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from citemill.operators.dense import filtered
 from citemill.operators.keyword import KeywordIndex, document_terms, keyword_search
 from citemill.operators.retrieval import retrieve
 from citemill.plans.ask import embedder_for
+from citemill.session import checkpoint_folder, delete_at_exit
+from citemill.sources.keyword_store import KeywordStore
 
 SETTINGS = Settings()
 HYBRID = replace(SETTINGS, hybrid_enabled=True)
@@ -36,6 +39,23 @@ def keyword_index(t: Tables) -> KeywordIndex:
     return built_once("document postings", t, lambda: KeywordIndex.build(document_store(t, embed=False), SETTINGS))
 
 
+def new_keyword_store(t: Tables) -> KeywordStore:
+    path = f"{checkpoint_folder(t.spark).rstrip('/')}/keywords-{uuid.uuid4().hex}"
+    delete_at_exit(t.spark, path)
+    return KeywordStore(t.spark, path, SETTINGS)
+
+
+def block_index(t: Tables) -> KeywordIndex:
+    """The index as it is written, with blocks."""
+
+    def build() -> KeywordIndex:
+        held = new_keyword_store(t)
+        held.upsert(document_store(t, embed=False))
+        return held.index()
+
+    return built_once("document blocks", t, build)
+
+
 def one_question(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(0, QUESTION)], "question_id bigint, question string")
 
@@ -85,6 +105,53 @@ def keyword_topk_filtered(t: Tables) -> DataFrame:
     return _ranked(keyword_search(keyword_index(t), t.questions, SETTINGS, allowed))
 
 
+@query(q.with_(q.DOCUMENT_STORE, ONE_QUESTION, q.POSTINGS, q.KEYWORD) + RANKED.format("keyword"))
+def keyword_blocks(t: Tables) -> DataFrame:
+    """The same rows from the written index, of which only blocks in reach are read."""
+    return _ranked(keyword_search(block_index(t), one_question(t), SETTINGS))
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD) + RANKED.format("keyword"))
+def keyword_blocks_batch(t: Tables) -> DataFrame:
+    return _ranked(keyword_search(block_index(t), t.questions, SETTINGS))
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, _ENGLISH_KEYWORD) + RANKED.format("keyword"))
+def keyword_blocks_filtered(t: Tables) -> DataFrame:
+    allowed = filtered(document_store(t, embed=False), ENGLISH)
+    return _ranked(keyword_search(block_index(t), t.questions, SETTINGS, allowed))
+
+
+def _upserted(t: Tables) -> KeywordStore:
+    """Three writes: documents of which some have another text or do not stay, then the rest and the right texts."""
+    held, docs = new_keyword_store(t), document_store(t, embed=False).select("chunk_id", "text")
+    early = docs.where("chunk_id % 4 <> 3").withColumn("text", F.when(F.col("chunk_id") % 4 == 1, F.concat(F.lit("thing whether thing "), "text")).otherwise(F.col("text")))
+    passing = docs.where("chunk_id % 10 = 0").select((-1 - F.col("chunk_id")).alias("chunk_id"), "text")
+    held.upsert(early.unionByName(passing))
+    held.upsert(docs.where("chunk_id % 4 IN (1, 3)"), gone=passing.where("chunk_id % 20 = -1"))
+    held.remove(passing.where("chunk_id % 20 <> -1"))
+    return held
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD) + RANKED.format("keyword"))
+def keyword_after_upsert(t: Tables) -> DataFrame:
+    """An index that followed writes gives what one built anew gives."""
+    return _ranked(keyword_search(_upserted(t).index(), t.questions, SETTINGS))
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.POSTINGS) + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+def keyword_idf_after_upsert(t: Tables) -> DataFrame:
+    return _upserted(t).index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD) + RANKED.format("keyword"))
+def keyword_after_compaction(t: Tables) -> DataFrame:
+    held = _upserted(t)
+    held.compact()
+    held.clean()
+    return _ranked(keyword_search(held.index(), t.questions, SETTINGS))
+
+
 @query(q.with_(q.DOCUMENT_STORE, q.STORE_VECTORS) + "SELECT chunk_id, slot, round(v, 6) AS v FROM sv WHERE v <> 0")
 def embed_documents(t: Tables) -> DataFrame:
     vectors = document_store(t).select("chunk_id", F.posexplode_outer("embedding").alias("slot", "v"))

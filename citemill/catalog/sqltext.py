@@ -140,7 +140,7 @@ store AS (SELECT chunk_id, text, company, section FROM chunks)"""
 QUESTIONS = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
 
 POSTINGS = f"""
-posting AS (
+posting AS MATERIALIZED (
   SELECT chunk_id, term, count(*) AS tf
   FROM (SELECT chunk_id, unnest({keyword_list('text')}) AS term FROM store) GROUP BY ALL),
 length AS (SELECT chunk_id, sum(tf)::BIGINT AS dl FROM posting GROUP BY chunk_id),

@@ -122,6 +122,29 @@ def upsert_rebucketed(t: Tables) -> DataFrame:
     return first.scan().select(*_plain(), "text")
 
 
+_VERSION = """SELECT {n} AS version, count(*) AS n, count(*) FILTER (text_md5 = 'changed') AS n_changed, substr(md5(concat_ws('-', count(*),
+    sum(('0x' || substr(h, 1, 15))::BIGINT), sum(('0x' || substr(h, 16, 15))::BIGINT))), 1, 12) AS corpus_snapshot_hash
+  FROM (SELECT md5(doc_id::VARCHAR) AS h, {text} AS text_md5 FROM documents WHERE {where})"""
+
+
+@query(" UNION ALL ".join((
+    _VERSION.format(n=1, text="md5(text)", where="doc_id % 5 <> 2"),
+    _VERSION.format(n=2, text="CASE WHEN doc_id % 97 = 3 THEN 'changed' ELSE md5(text) END", where="doc_id % 5 <> 2 OR doc_id % 97 = 3"),
+    _VERSION.format(n=3, text="CASE WHEN doc_id % 97 = 3 THEN 'changed' ELSE md5(text) END", where="true"),
+)))
+def store_versions(t: Tables) -> DataFrame:
+    """Three writes, each read as of then: rows, changed rows, and the hash kept by buckets."""
+    rows = _chunks(t).withColumn("text", F.md5(F.encode("text", "UTF-8")))
+    number = F.col("chunk_id").cast("long")
+    held = _store(t, "versions", store_buckets=8)
+    held.upsert(rows.where(number % 5 != 2))
+    held.replace_filings(rows.where(number % 97 == 3).withColumn("text", F.lit("changed")))
+    held.upsert(rows.where((number % 5 == 2) & (number % 97 != 3)))
+    return held.spark.createDataFrame([
+        (v, held.scan(v).count(), held.scan(v).where("text = 'changed'").count(), held.snapshot(v)) for v in held.versions()
+    ], "version int, n long, n_changed long, corpus_snapshot_hash string")
+
+
 @query("""
 SELECT source AS ticker, doc_id::VARCHAR AS accession_number, lang AS section,
   md5(CASE WHEN doc_id % 4 = 1 THEN 'second' ELSE text END) AS text_md5 FROM documents

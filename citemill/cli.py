@@ -12,7 +12,9 @@ from datetime import datetime, timezone
 
 from citemill.config import load_settings
 from citemill.functions.filters import request_filter
-from citemill.logs import setup_logging
+from citemill.logs import get_logger, setup_logging
+
+log = get_logger(__name__)
 
 
 def environment_problems(folder: str = ".", min_disk_gb: int = 50) -> dict[str, str]:
@@ -93,11 +95,23 @@ def main(argv: list[str] | None = None) -> int:
     from citemill.operators.checks import check_ingest
     from citemill.operators.evaluation import judge_for
     from citemill.sources.files import read_filings, read_golden, read_raw, write_scorecard
+    from citemill.sources.keyword_store import KeywordStore
     from citemill.sources.store import ChunkStore
 
     settings = load_settings(args.config)
     spark = build_session(**{"spark.checkpoint.dir": args.shared} if args.shared else {})
     store = ChunkStore(spark, args.store, settings)
+    keywords = KeywordStore(spark, f"{args.store.rstrip('/')}-keywords", settings)
+
+    def index_for_search():
+        """The written keyword index where it is one of the present store."""
+        if not settings.hybrid_enabled:
+            return None
+        if keywords.source == store.version():
+            return keywords.index()
+        log.warning("the keyword index is not of this version of the store; run index again", extra={"store": args.store})
+        return None
+
     if args.command == "ingest":
         raw = spark.read.parquet(args.raw)
         results = ingest(raw, args.processed, args.cache, settings, args.as_of)
@@ -110,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1 if bad else 0
     elif args.command == "index":
         filings = read_filings(spark, args.filings)
-        build_index(filings, store, settings)
+        build_index(filings, store, settings, keywords=keywords)
         print(f"{store.count()} chunks stored")
         if args.verify:
             report = verify_index(filings, store, settings)
@@ -120,10 +134,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.local:
             settings = replace(settings, backend="ollama", model=settings.local_model or settings.model)
         where = request_filter(args.company, args.year)
-        print(answer_text(ask(store.scan(), args.question, settings, where, store.snapshot())))
+        print(answer_text(ask(store.scan(), args.question, settings, where, store.snapshot(), index=index_for_search())))
     else:
         golden = read_golden(spark, args.golden or settings.golden_set_path).withColumn("question_id", F.col("id"))
-        scored, card = evaluate(store.scan(), golden, settings, judge_for(settings), snapshot=store.snapshot())
+        scored, card = evaluate(
+            store.scan(), golden, settings, judge_for(settings), snapshot=store.snapshot(), index=index_for_search()
+        )
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
         print(write_scorecard(card.cache(), args.reports, stamp, scored))
     return 0

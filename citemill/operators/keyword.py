@@ -1,10 +1,16 @@
-"""BM25 keyword search over an inverted index held in plain tables."""
+"""BM25 keyword search over an inverted index held in plain tables.
+
+An index that is written (``sources.keyword_store``) also has its postings in blocks, each with its largest weight, and
+the terms of each document. Then a search reads the best blocks first, completes the documents found there, and so knows
+a score that the k-th document reaches at least. Of the other blocks it reads only those that can lead to more.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
@@ -16,10 +22,43 @@ from citemill.operators.ranking import rank_per_question
 from citemill.session import fits, stage
 
 SALTS = 32
+# Blocks of a term: its postings by weight, in steps of this share of the largest weight there can be.
+LEVELS = 16
+# Postings read first for a question, and documents completed of them, as multiples of k.
+FIRST_POSTINGS, FIRST_DOCS = 10, 3
+# Documents up to this number are listed in the filter of the scan.
+LISTED_KEYS = 200
+# What is planned for a search and found by it is kept on the driver up to this number of rows, and staged beyond.
+HELD_ROWS = 20_000
+# Bounds and scores add up in other orders; what differs by less is taken to be equal.
+SLACK = 1e-6
 # Question terms up to this number are listed in the filter of the scan.
 LISTED_TERMS = 200
 
 
+def saturation(tf: Column, dl: Column, avg_dl: Column, settings: Settings) -> Column:
+    """Weight of a posting without that of its term, below k1 + 1."""
+    k1, b = settings.bm25_k1, settings.bm25_b
+    length = F.lit(1 - b) + F.lit(b) * dl / avg_dl
+    return tf * (k1 + 1) / (tf + F.lit(k1) * length)
+
+
+def term_counts(text: Column) -> Column:
+    """(dl, terms) of a text: its number of keywords, and each different one with its tf, in order. Equal words lie side
+    by side in the sorted list, so no shuffle is needed."""
+    kind = "struct<dl:int,terms:array<struct<term:string,tf:int>>>"
+
+    def counted(a: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        run = lambda s: F.transform(
+            s, lambda i, n: F.struct(F.get(a, i).alias("term"), (F.coalesce(F.get(s, n + 1), F.size(a)) - i).alias("tf"))
+        )
+        terms = F.when(F.size(a) == 0, F.array()).otherwise(let(first, run))
+        return F.struct(F.size(a).alias("dl"), terms.alias("terms")).cast(kind)
+
+    return let(F.sort_array(F.coalesce(keywords(text), F.array().cast("array<string>"))), counted)
+
+
 def document_terms(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Postings: one row per document and term, with ``tf`` and the document
     length ``dl``. The length rides along as a grouping key, so one shuffle on
@@ -53,6 +92,10 @@ class KeywordIndex:
     terms: DataFrame
     stats: DataFrame
     key: str = "chunk_id"
+    # Of a written index: (term, level, n, top), (segment, key, dl, terms) and the (segment, key) no longer in it.
+    blocks: DataFrame | None = None
+    forward: DataFrame | None = None
+    gone: DataFrame | None = None
 
     @classmethod
     def of(cls, postings: DataFrame, docs: DataFrame, settings: Settings, key: str) -> KeywordIndex:
@@ -94,10 +137,13 @@ class KeywordIndex:
 
     def weights(self, settings: Settings) -> Column:
         """Score of one posting joined to its term, for one use of the term."""
-        avg_dl = self.stats.select("avg_dl").scalar()
-        k1, b = settings.bm25_k1, settings.bm25_b
-        length = F.lit(1 - b) + F.lit(b) * F.col("dl") / avg_dl
-        return F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * length))
+        return F.col("idf") * saturation(F.col("tf"), F.col("dl"), self.stats.select("avg_dl").scalar(), settings)
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (segment, key, ...) without those of documents that were replaced or removed."""
+        if self.gone is None:
+            return rows
+        return rows.join(self.gone, ["segment", self.key], "left_anti")
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -123,6 +169,8 @@ def keyword_search(
     postings of a term spread over the salts, so that a frequent term is not one
     task's work. Scores are summed map-side before they are shuffled.
     """
+    if index.blocks is not None:
+        return BlockSearch(index, questions, settings, allowed).best()
     key = index.key
     terms = query_terms(questions)
     postings = index.postings
@@ -144,3 +192,102 @@ def keyword_search(
     )
     positive = scored.where(F.col("score") > 0)
     return rank_per_question(positive, [F.col("score").desc(), F.col(key)], settings.bm25_top_k)
+
+
+def held(df: DataFrame, name: str, limit: int = HELD_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """``df`` computed once: up to ``limit`` rows as a local table, which is given too, more of them staged."""
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return stage(df, name), None
+
+
+class BlockSearch:
+    """Exact BM25 top-k that reads the blocks of a written index it cannot do without.
+
+    ``first`` and ``needed`` are the blocks read to find the threshold and the candidates. A block is needed when its
+    largest weight and the largest ones of the question's other terms together reach the threshold, and its term is
+    essential: terms whose largest weights together stay below the threshold can lead to no candidate alone. Partial
+    sums of the needed blocks, with all that the terms left out could add, bound each candidate; those still in reach
+    get their exact score from the terms of the document. Only partial sums of needed blocks are shuffled.
+    """
+
+    def __init__(self, index: KeywordIndex, questions: DataFrame, settings: Settings, allowed: DataFrame | None = None):
+        self.index, self.settings, self.allowed, self.k = index, settings, allowed, settings.bm25_top_k
+        asked, rows = held(query_terms(questions), "asked")
+        listed = None if rows is None else rows["term"].unique().to_pylist()
+        self._of_terms = (lambda df: df.where(among(F.col("term"), listed))) if listed and len(listed) <= LISTED_TERMS else (lambda df: df)
+        self.few = rows is not None or fits(asked, settings.broadcast_rows // LEVELS)
+        self.weighted, _ = held(
+            self._of_terms(index.terms).select("term", "idf").join(self._small(asked), "term")
+            .select("question_id", "term", (F.col("uses") * F.col("idf")).alias("weight")), "weighted",
+        )
+        self.avg_dl = index.stats.first()["avg_dl"]
+        # A row for each question, term and level: small, whatever the number of postings.
+        bounds = self._small(self.weighted).join(self._of_terms(index.blocks), "term").withColumn(
+            "bound", F.greatest("weight", F.lit(0.0)) * F.col("top")
+        )
+        best = F.max("bound").over(Window.partitionBy("question_id", "term"))
+        self.bounds, _ = held(bounds.withColumn("best", best), "bounds")
+        order = Window.partitionBy("question_id").orderBy(F.col("bound").desc(), "term", F.col("level").desc())
+        before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        self.first = self.bounds.where("bound > 0").withColumn("before", before).where(F.col("before") < FIRST_POSTINGS * self.k)
+        self.thresholds, _ = held(self._thresholds(), "thresholds")
+        self.needed, _ = held(self._needed(), "needed")
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
+    def _sums(self, blocks: DataFrame, *more: str) -> DataFrame:
+        """(question_id, key, partial): what the postings of some blocks add up to, for documents that are allowed."""
+        index, key = self.index, self.index.key
+        hits = self._of_terms(index.postings).join(self._small(blocks.select("question_id", "term", "level", "weight", *more)), ["term", "level"])
+        hits = index.live(hits)
+        if self.allowed is not None:
+            hits = hits.join(self.allowed.select(key), key, "left_semi")
+        part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.lit(self.avg_dl), self.settings)
+        return hits.groupBy("question_id", key, *more).agg(F.sum(part).alias("partial"))
+
+    def _exact(self, found: DataFrame) -> DataFrame:
+        """Scores of (question_id, key) from all terms of the documents; positive ones."""
+        index, key = self.index, self.index.key
+        found, rows = held(found.select("question_id", key), "found")
+        keys = None if rows is None else rows[key].unique().to_pylist()
+        forward = index.forward.where(among(F.col(key), keys)) if keys and len(keys) <= LISTED_KEYS else index.forward
+        few = rows is not None or fits(found, self.settings.broadcast_rows)
+        small = lambda df: F.broadcast(df) if few else df
+        # The terms of a document are taken apart once, however many questions found it.
+        live = index.live(forward.join(small(found.select(key)), key, "left_semi"))
+        each = live.select(key, "dl", F.explode("terms").alias("t")).select(key, "dl", "t.term", "t.tf")
+        part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.lit(self.avg_dl), self.settings)
+        mine = self._of_terms(each).join(self._small(self.weighted), "term").join(small(found), ["question_id", key], "left_semi")
+        scored = mine.groupBy("question_id", key).agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
+        return scored.where(F.col("score") > 0)
+
+    def _thresholds(self) -> DataFrame:
+        """(question_id, threshold): a score that k documents reach, zero where fewer are known."""
+        partial = self._sums(self.first)
+        some = rank_per_question(partial, [F.col("partial").desc(), F.col(self.index.key)], FIRST_DOCS * self.k)
+        ranked = rank_per_question(self._exact(some), [F.col("score").desc(), F.col(self.index.key)], self.k)
+        return ranked.where(F.col("rank") == self.k).select("question_id", F.col("score").alias("threshold"))
+
+    def _needed(self) -> DataFrame:
+        """Blocks that can hold a document of the result, with ``rest``: what the terms left out could add to it."""
+        terms = self.bounds.select("question_id", "term", "best").distinct()
+        up = Window.partitionBy("question_id").orderBy("best", "term").rowsBetween(Window.unboundedPreceding, 0)
+        summed = terms.join(self._small(self.thresholds), "question_id", "left").withColumns({
+            "threshold": F.coalesce("threshold", F.lit(0.0)) - SLACK,
+            "up_to": F.sum("best").over(up), "total": F.sum("best").over(Window.partitionBy("question_id")),
+        })
+        rest = F.coalesce(F.max(F.when(F.col("up_to") < F.col("threshold"), F.col("up_to"))).over(Window.partitionBy("question_id")), F.lit(0.0))
+        essential = summed.withColumn("rest", rest).where(F.col("up_to") >= F.col("threshold")).drop("best")
+        needed = self.bounds.join(self._small(essential), ["question_id", "term"])
+        return needed.where(F.col("bound") + F.col("total") - F.col("best") >= F.col("threshold"))
+
+    def best(self) -> DataFrame:
+        found = self._sums(self.needed, "rest", "threshold").where(F.col("partial") + F.col("rest") >= F.col("threshold"))
+        return rank_per_question(self._exact(found), [F.col("score").desc(), F.col(self.index.key)], self.k)
+
+    def postings_read(self) -> tuple[int, int]:
+        """Postings of the blocks needed, added up over the questions, and of all blocks of their terms."""
+        return tuple(df.agg(F.sum("n")).first()[0] or 0 for df in (self.needed, self.bounds))

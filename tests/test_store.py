@@ -298,6 +298,59 @@ def test_rerank_fails_for_one_question_only(spark):
     assert [r.rerank_score for r in got if r.question_id == 0] == [None] * 4
 
 
+def test_a_failed_write_leaves_rows_and_hash(spark, tmp_path, monkeypatch):
+    import citemill.sources.store as module
+    from citemill.sources.pointer import folders
+
+    held = ChunkStore(spark, str(tmp_path / "s"), replace(SETTINGS, store_buckets=16))
+    build_index(filings(spark, "aa", "bb"), held, SETTINGS)
+    rows, kept = {str(r) for r in held.scan().collect()}, held.snapshot()
+    for broken in ("write_pointer", "_digests"):
+        monkeypatch.setattr(module, broken, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            build_index(filings(spark, "aa", "cc"), held, SETTINGS)
+        monkeypatch.undo()
+        assert {str(r) for r in held.scan().collect()} == rows and held.snapshot() == kept and held.version() == 1
+    build_index(filings(spark, "cc"), held, SETTINGS)
+    assert held.versions() == [1, 2] and {str(r) for r in held.scan(1).collect()} == rows and held.snapshot(1) == kept
+    assert held.snapshot() == snapshot_hash(held.scan()).first()[0] != kept and held.count() == held.scan().count() > len(rows)
+    # Buckets that the write did not touch are where they were; the folders of failed writes go.
+    parts = held._pointer()["parts"]
+    assert 1 in parts.values() and len(set(parts.values())) == 2
+    before = held.snapshot()
+    held.clean()
+    assert held.scan().count() == held.count() and held.snapshot() == before
+    assert {int(n.partition("=")[2]) for n in folders(spark, held.path)} == set(parts.values())
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    from citemill.sources.pointer import read_pointer, write_pointer
+
+    path = str(tmp_path / "p")
+    assert read_pointer(spark, path) is None
+    write_pointer(spark, path, 1, {"a": 1})
+    with pytest.raises(RuntimeError):
+        write_pointer(spark, path, 1, {"a": 2})
+    write_pointer(spark, path, 2, {"a": 3})
+    assert read_pointer(spark, path) == {"a": 3, "version": 2} and read_pointer(spark, path, 1)["a"] == 1
+
+
+def test_keyword_index_follows_the_store(spark, tmp_path):
+    from citemill.plans.index import index_keywords
+    from citemill.sources.keyword_store import KeywordStore
+
+    held = ChunkStore(spark, str(tmp_path / "s"), replace(SETTINGS, store_buckets=4))
+    keywords = KeywordStore(spark, str(tmp_path / "k"), SETTINGS)
+    ids = lambda df: {r.chunk_id for r in df.select("chunk_id").collect()}
+    build_index(filings(spark, "aa", "bb"), held, SETTINGS, keywords=keywords)
+    build_index(filings(spark, "bb"), held, SETTINGS, keywords=keywords)
+    assert ids(keywords.keys()) == ids(held.scan()) and keywords.source == held.version() == 2
+    build_index(filings(spark, "cc"), held, SETTINGS)
+    assert keywords.source != held.version()
+    index_keywords(held, keywords)
+    assert ids(keywords.keys()) == ids(held.scan()) and keywords.source == held.version()
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
