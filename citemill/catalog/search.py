@@ -18,6 +18,7 @@ from citemill.operators.keyword import KeywordIndex, document_terms, keyword_sea
 from citemill.operators.retrieval import retrieve
 from citemill.plans.ask import embedder_for
 from citemill.session import checkpoint_folder, delete_at_exit
+from citemill.sources.cells import CellStore
 from citemill.sources.keyword_store import KeywordStore
 
 SETTINGS = Settings()
@@ -205,17 +206,41 @@ WHERE rank <= 20
 _ALL_VECTORS = "SELECT vec_id, embedding FROM embeddings"
 
 
-def _near_centres(t: Tables, vectors: DataFrame, settings: Settings) -> DataFrame:
-    """Vectors nearest to the mean vector of every label."""
+def _centres(t: Tables) -> DataFrame:
+    """The mean vector of every label."""
     slots = t.embeddings.select("label", F.posexplode("embedding").alias("slot", "v"))
     means = slots.groupBy("label", "slot").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    centres = means.groupBy("label").agg(
+    return means.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s.v).alias("embedding")
     ).withColumnRenamed("label", "question_id")
-    best = topk_many(vectors, centres, settings, key="vec_id")
+
+
+def _near_centres(t: Tables, vectors: DataFrame, settings: Settings) -> DataFrame:
+    """Vectors nearest to the mean vector of every label."""
+    best = topk_many(vectors, _centres(t), settings, key="vec_id")
     return best.select("question_id", "vec_id", "rank", "score")
 
 
+def cell_index(t: Tables) -> CellStore:
+    """All vectors in cells, written once in a session."""
+
+    def build() -> CellStore:
+        path = f"{checkpoint_folder(t.spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+        delete_at_exit(t.spark, path)
+        held = CellStore(t.spark, path, SETTINGS, "vec_id")
+        held.write(t.embeddings)
+        return held
+
+    return built_once("vector cells", t, build)
+
+
+@query(_by_example("true"))
+def dense_topk_cells(t: Tables) -> DataFrame:
+    """The same rows from the index in cells, of which only those in reach are read."""
+    asked = t.embeddings.where("vec_id = 0").select(F.lit(0).alias("question_id"), "embedding")
+    return cell_index(t).search(asked).select("vec_id", "score", "rank")
+
+
 @query(_CENTRES.format(vectors=_ALL_VECTORS))
 def dense_topk_batch(t: Tables) -> DataFrame:
     return _near_centres(t, t.embeddings, SETTINGS)
@@ -227,6 +252,11 @@ def dense_topk_passes(t: Tables) -> DataFrame:
     return _near_centres(t, t.embeddings, replace(SETTINGS, broadcast_questions=0))
 
 
+@query(_CENTRES.format(vectors=_ALL_VECTORS))
+def dense_topk_cells_batch(t: Tables) -> DataFrame:
+    return cell_index(t).search(_centres(t)).select("question_id", "vec_id", "rank", "score")
+
+
 @query(_CENTRES.format(vectors=_ALL_VECTORS + " WHERE vec_id % 5 NOT IN (1, 2, 3)"))
 def dense_topk_broken(t: Tables) -> DataFrame:
     """Embeddings that are null, hold NaN or have another size take no places."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from citemill.config import Settings
 from citemill.functions.filters import compile_filter
 from citemill.functions.vectors import SCORE_DECIMALS, cosine_to, unit_rows, usable_rows
 from citemill.operators.ranking import rank_per_question
-from citemill.session import fits
+from citemill.session import checkpoint_folder, delete_at_exit, fits, stage
 
 # Questions of one pass over the corpus, about.
 QUESTION_BLOCK = 2048
@@ -46,7 +46,7 @@ def dense_topk(
     ).drop("question_id")
 
 
-class _Best:
+class BestRows:
     """The k best rows per question seen so far, ties by smallest key."""
 
     def __init__(self, question_ids: np.ndarray, questions: np.ndarray, k: int):
@@ -83,7 +83,7 @@ class _Best:
         return self.question_ids[question], ids, scores
 
 
-def _keys(values: np.ndarray) -> np.ndarray:
+def sortable(values: np.ndarray) -> np.ndarray:
     """Keys in a sortable numpy type."""
     return values.astype(str) if values.dtype == object else values
 
@@ -115,32 +115,38 @@ def dense_topk_batch(
     return rank_per_question(best, [F.col("score").desc(), F.col(key)], k)
 
 
-def _against_matrix(
-    corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str
-) -> DataFrame:
+def question_matrix(questions: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and unit vectors of questions (question_id, embedding), of those with the most usual size; None without any."""
     rows = questions.select("question_id", "embedding").toArrow()
-    spark = corpus.sparkSession
     vectors = rows["embedding"].combine_chunks()
     sizes = [n for n in pc.list_value_length(vectors).to_pylist() if n]
     if not sizes:
-        return spark.createDataFrame([], schema)
-    dim = max(set(sizes), key=sizes.count)
-    usable, matrix = usable_rows(vectors, dim)
+        return None
+    usable, matrix = usable_rows(vectors, max(set(sizes), key=sizes.count))
     ids = rows["question_id"].to_numpy()[usable]
-    if not len(ids):
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((ids, unit_rows(matrix)))
+    return (ids, unit_rows(matrix)) if len(ids) else None
+
 
+def _against_matrix(
+    corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str
+) -> DataFrame:
+    asked = question_matrix(questions)
+    if asked is None:
+        return corpus.sparkSession.createDataFrame([], schema)
+    return _scored(corpus, corpus.sparkSession.sparkContext.broadcast(asked), k, key, schema)
+
+
+def _scored(corpus: DataFrame, shared, k: int, key: str, schema: str) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best = _Best(ids, matrix, k)
+        best = BestRows(ids, matrix, k)
         rows = max(SCORE_CELLS // len(ids), 1)
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 usable, vectors = usable_rows(part.column(1), matrix.shape[1])
                 if usable.any():
-                    stored = _keys(part.column(0).to_numpy(zero_copy_only=False)[usable])
+                    stored = sortable(part.column(0).to_numpy(zero_copy_only=False)[usable])
                     best.add(stored, unit_rows(vectors))
         if best.parts:
             names = ["question_id", key, "score"]
@@ -151,8 +157,21 @@ def _against_matrix(
 
 def _in_passes(corpus: DataFrame, questions: DataFrame, k: int, key: str, schema: str) -> DataFrame:
     """The corpus stays where it is; blocks of questions travel to it one after
-    another, and only the best rows of each pass are kept."""
+    another. The questions are embedded once, and each pass leaves only its best
+    rows, in the shared folder, before the next one begins."""
+    spark = corpus.sparkSession
+    questions = stage(questions.select("question_id", "embedding"), "questions")
     blocks = -(-questions.count() // (QUESTION_BLOCK // 2))
     block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    passes = [_against_matrix(corpus, questions.where(block == i), k, key, schema) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, passes) if passes else corpus.sparkSession.createDataFrame([], schema)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/passes-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    written = 0
+    for i in range(blocks):
+        asked = question_matrix(questions.where(block == i))
+        if asked is not None:
+            shared = spark.sparkContext.broadcast(asked)
+            found = _scored(corpus, shared, k, key, schema)
+            rank_per_question(found, [F.col("score").desc(), F.col(key)], k).drop("rank").write.parquet(f"{path}/pass={i}")
+            shared.destroy()
+            written += 1
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
