@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from citemill.config import Settings
 from citemill.functions.hashing import chunk_id, text_sha256
 from citemill.functions.text import keywords, normalize_text, sentences, token_count
 from citemill.operators import ingest, sections
+from citemill.operators.boundaries import abbreviations as find_abbreviations
+from citemill.operators.boundaries import learned_sentences, learned_types
 from citemill.operators.chunking import chunk_sections, tail_slice, window_texts
 from citemill.sources.files import html_text
 
@@ -174,6 +178,55 @@ def sentence_split(t: Tables) -> DataFrame:
     )
 
 
+# No text has abbreviations, so some are put in by the same expression here and in the SQL: behind every whole word
+# "of", "de", "la" or "der" inside a line stands one. Words that end sentences have other words' share of stops.
+ABBREVIATED = r"regexp_replace(text, ' (of|de|la|der) ', ' $1 z.B. approx. '{flag})"
+_EDGES = """'()[]{}"''“”‘’«»,;:'"""
+_LEARNED = q.with_("told AS (SELECT doc_id, " + ABBREVIATED.format(flag=", 'g'").replace("$1", r"\1") + " AS text FROM documents)", rf"""
+word AS (SELECT trim(w, {_EDGES}) AS w FROM (SELECT unnest(regexp_split_to_array(text, '{q.S}+')) AS w FROM told) WHERE w <> ''),
+typed AS (SELECT regexp_replace(lower(w), '\.$', '') AS type, w LIKE '%.' AS stop FROM word),
+types AS MATERIALIZED (
+  SELECT type, count(*) FILTER (stop) AS with_stop, count(*) FILTER (NOT stop) AS without_stop FROM typed
+  WHERE regexp_matches(type, '\p{{L}}') GROUP BY 1),
+share AS (SELECT least(greatest(sum(with_stop) / sum(with_stop + without_stop), 1e-9), 1 - 1e-9)::DOUBLE AS p FROM types),
+scored AS (
+  SELECT type, with_stop, without_stop, 2 * (with_stop * ln(0.99::DOUBLE / p) + without_stop * (ln(0.01::DOUBLE) - ln(1 - p)))
+    * exp(-l) * (length(type) - l + 1) * pow(l::DOUBLE, -without_stop) AS score
+  FROM (SELECT *, length(replace(type, '.', '')) AS l FROM types WHERE with_stop > 0), share),
+abbreviation AS (SELECT * FROM scored WHERE score >= 0.3)""")
+
+
+def _told(t: Tables) -> DataFrame:
+    return t.texts.select("doc_id", F.expr(ABBREVIATED.format(flag="")).alias("text"))
+
+
+@query(_LEARNED + "SELECT type, with_stop, without_stop, round(score, 4) AS score FROM abbreviation")
+def abbreviations(t: Tables) -> DataFrame:
+    """Word types that the corpus itself shows to be abbreviations."""
+    return find_abbreviations(_told(t)).withColumn("score", F.round("score", 4))
+
+
+@query(_LEARNED.rstrip() + rf""",
+stretch AS (
+  SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(trim(text, '{q.SPACES}'), '(?s)(.*?[.!?]{q.S}+|.+$)') AS parts FROM told)),
+ended AS (
+  SELECT doc_id, i, part, NOT (trim(last, {_EDGES}) LIKE '%.' AND regexp_replace(lower(trim(last, {_EDGES})), '\.$', '') IN (SELECT type FROM abbreviation)) AS ends
+  FROM (SELECT *, regexp_extract({q.strip('part')}, '[^{q.SPACES}]+$') AS last FROM stretch)),
+numbered AS (
+  SELECT doc_id, i, part, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ended),
+sentence AS (SELECT doc_id, s, {q.strip("string_agg(part, '' ORDER BY i)")} AS text FROM numbered GROUP BY ALL)
+SELECT doc_id, count(*) AS n_sentences, md5(string_agg(text, '~' ORDER BY s)) AS sentences_md5 FROM sentence WHERE text <> '' GROUP BY 1
+""")
+def sentence_split_learned(t: Tables) -> DataFrame:
+    """Sentences that do not end after a learned abbreviation."""
+    told = _told(t)
+    split = told.select("doc_id", learned_sentences(F.btrim("text", F.lit(q.SPACES)), learned_types(told)).alias("s"))
+    return split.where(F.size("s") > 0).select(
+        "doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.encode(F.array_join("s", "~"), "UTF-8")).alias("sentences_md5")
+    )
+
+
 @query(f"SELECT doc_id, {q.n_tokens('text')} AS n_tokens FROM documents")
 def token_counts(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", token_count(F.col("text")).alias("n_tokens"))
@@ -219,6 +272,19 @@ def chunk_pack(t: Tables) -> DataFrame:
     )
 
 
+@query(q.with_(q.CHUNKS) + """
+SELECT acc AS accession_number, section, idx AS chunk_index_in_section, chunk_id, length(text) AS n_chars,
+       md5(text) AS text_md5 FROM chunks
+""")
+def chunk_pack_offsets(t: Tables) -> DataFrame:
+    """The same chunks from token offsets of a loaded tokenizer, here the pattern's."""
+    loaded = replace(SETTINGS, tokenizer_loader="citemill.functions.tokens:pattern_tokenizer")
+    return chunk_sections(t.sections, loaded).select(
+        "accession_number", "section", "chunk_index_in_section", "chunk_id",
+        F.length("text").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
+    )
+
+
 @query("""
 SELECT conv_id, turn, substr(sha1(concat(conv_id, '|', role, '|', turn, '|', substr(text, 1, 200))), 1, 16) AS chunk_id
 FROM conversations

@@ -21,8 +21,9 @@ GENERATION_ERROR_ANSWER = (
 )
 
 
-# Both names mean the one built-in splitter, a substitute for either library.
-SPLITTERS = ("nltk", "pysbd")
+# The first two mean the one built-in pattern, a substitute for either library;
+# the last learns the abbreviations of the corpus.
+SPLITTERS = ("nltk", "pysbd", "learned")
 
 
 def hook(path: str) -> Callable:
@@ -58,6 +59,10 @@ class Settings:
     # embedder's gets the device and returns texts -> vectors, the reranker's
     # nothing and returns pairs -> scores.
     embed_loader: str = ""
+    # The tokenizer's gets the path and returns texts -> lists of (start, end) of
+    # tokens in characters; empty for the pattern that needs no Python.
+    tokenizer_loader: str = ""
+    tokenizer_path: str = ""
     rerank_loader: str = ""
     # retrieval
     top_k_dense: int = 20
@@ -129,6 +134,8 @@ _YAML_KEYS = {
     "embed_loader": "embeddings.loader",
     "rerank_loader": "rerank.loader",
     "sentence_splitter": "chunking.sentence_splitter",
+    "tokenizer_loader": "chunking.tokenizer_loader",
+    "tokenizer_path": "chunking.tokenizer_path",
     "local_model": "serving.ollama_model_name",
     "judge_backend": "eval.judge_backend",
     "judge_url": "eval.judge_url",

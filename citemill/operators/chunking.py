@@ -9,6 +9,8 @@ the ceiling are cut into windows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from citemill.config import Settings
 from citemill.functions.binding import let
 from citemill.functions.hashing import chunk_id
 from citemill.functions.text import sentences, strip, token_count, token_pieces
+from citemill.functions.tokens import tokenizer_for
+from citemill.operators.boundaries import learned_sentences, learned_types
 
 _SPANS = "array<struct<lo:int,hi:int,kind:string>>"
 _STATE = f"struct<lo:int,total:int,seeded:boolean,spans:{_SPANS}>"
@@ -121,13 +125,17 @@ def span_texts(spans: Column, sents: Column, settings: Settings) -> Column:
 def merge_small(texts: Column, min_tokens: int) -> Column:
     """Join chunks of fewer than ``min_tokens`` tokens to the chunk before; a
     small first group goes to the one after."""
+    return F.when(F.size(texts) < 2, texts).otherwise(
+        let(F.transform(texts, token_count), lambda counts: merge_counted(texts, counts, min_tokens))
+    )
+
 
-    def merged(counts: Column) -> Column:
-        positions = F.sequence(F.lit(0), F.size(texts) - 1)
-        starts = F.filter(positions, lambda i: (i == 0) | (F.get(counts, i) >= min_tokens))
-        return let(starts, lambda g: let(without_small_head(g, counts), joined))
+def merge_counted(texts: Column, counts: Column, min_tokens: int) -> Column:
+    """``merge_small`` with given token counts, for two chunks or more."""
+    positions = F.sequence(F.lit(0), F.size(texts) - 1)
+    starts = F.filter(positions, lambda i: (i == 0) | (F.get(counts, i) >= min_tokens))
 
-    def without_small_head(g: Column, counts: Column) -> Column:
+    def without_small_head(g: Column) -> Column:
         head = F.aggregate(F.slice(counts, F.lit(1), F.get(g, F.lit(1))), F.lit(0), lambda a, c: a + c)
         return F.when(
             (F.size(g) > 1) & (head < min_tokens), F.array_remove(g, F.get(g, F.lit(1)))
@@ -138,9 +146,7 @@ def merge_small(texts: Column, min_tokens: int) -> Column:
         part = lambda lo, k: F.array_join(F.slice(texts, lo + 1, end(k) - lo), " ")
         return F.transform(g, lambda lo, k: strip(part(lo, k)))
 
-    return F.when(F.size(texts) < 2, texts).otherwise(
-        let(F.transform(texts, token_count), merged)
-    )
+    return let(starts, lambda g: let(without_small_head(g), joined))
 
 
 def enforce_cap(texts: Column, settings: Settings) -> Column:
@@ -154,7 +160,7 @@ def enforce_cap(texts: Column, settings: Settings) -> Column:
     ))
 
 
-def chunk_texts(text: Column, settings: Settings) -> Column:
+def chunk_texts(text: Column, settings: Settings, split: Callable[[Column], Column] = sentences) -> Column:
     """Ordered chunk texts of a section, as an array; empty for a blank text.
     A text within the limit is one verbatim chunk."""
     size, overlap = settings.chunk_size_tokens, settings.chunk_overlap_tokens
@@ -176,21 +182,28 @@ def chunk_texts(text: Column, settings: Settings) -> Column:
     return let(
         strip(text),
         lambda body: F.when(body == "", F.array().cast("array<string>")).otherwise(
-            let(sentences(body), lambda s: sized(body, s))
+            let(split(body), lambda s: sized(body, s))
         ),
     )
 
 
-def chunk_sections(sections: DataFrame, settings: Settings) -> DataFrame:
+def chunk_sections(
+    sections: DataFrame, settings: Settings, split: Callable[[Column], Column] = sentences
+) -> DataFrame:
     """One row per chunk of a table of sections.
 
     ``sections`` has ``accession_number``, ``section`` and ``text``; its other
     columns are repeated on every chunk. The index restarts in each section.
+    ``split`` cuts a text into sentences.
     """
+    if settings.tokenizer_loader:
+        from citemill.operators.token_chunking import chunk_sections_by_tokens
+
+        return chunk_sections_by_tokens(sections, settings, tokenizer_for(settings), split)
     keep = [c for c in sections.columns if c != "text"]
     exploded = sections.select(
         *keep,
-        F.posexplode(chunk_texts(F.col("text"), settings)).alias("chunk_index_in_section", "text"),
+        F.posexplode(chunk_texts(F.col("text"), settings, split)).alias("chunk_index_in_section", "text"),
     )
     key = chunk_id(
         F.col("accession_number"), F.col("section"), F.col("chunk_index_in_section"), F.col("text")
@@ -199,13 +212,18 @@ def chunk_sections(sections: DataFrame, settings: Settings) -> DataFrame:
 
 
 def chunk_filings(filings: DataFrame, settings: Settings) -> DataFrame:
-    """Chunks of filings in the stored chunk layout."""
+    """Chunks of filings in the stored chunk layout. With the learned splitter the
+    texts are read once more before, for the abbreviations in them."""
     sections = filings.select(
         F.col("company_name").alias("company"), "ticker", "cik", "fiscal_year",
         "fiscal_year_end_date", "form_type", "accession_number", "source_url",
         F.explode("parsed_sections").alias("part"),
     ).select("*", F.col("part.section").alias("section"), F.col("part.text").alias("text"))
-    return chunk_sections(sections.drop("part"), settings).select(
+    split = sentences
+    if settings.sentence_splitter == "learned":
+        types = learned_types(sections)
+        split = lambda text: learned_sentences(text, types)
+    return chunk_sections(sections.drop("part"), settings, split).select(
         "chunk_id", "text", "company", "ticker", "cik", "fiscal_year", "fiscal_year_end_date",
         "form_type", "section", "accession_number", "source_url", "chunk_index_in_section",
     )
