@@ -85,6 +85,8 @@ class Settings:
     max_output_tokens: int = 800
     offline: bool = False
     local_model: str = ""
+    # Where answers of chat services are kept, so that none is asked for twice; empty: nowhere.
+    ledger_path: str = ""
     chat_host: str = "http://localhost:11434"
     # evaluation
     judge_backend: str = "lexical"
@@ -136,6 +138,7 @@ _YAML_KEYS = {
     "sentence_splitter": "chunking.sentence_splitter",
     "tokenizer_loader": "chunking.tokenizer_loader",
     "tokenizer_path": "chunking.tokenizer_path",
+    "ledger_path": "generation.ledger_path",
     "local_model": "serving.ollama_model_name",
     "judge_backend": "eval.judge_backend",
     "judge_url": "eval.judge_url",

@@ -3,6 +3,7 @@ into one struct column of the ``GENERATION`` schema."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -18,6 +19,7 @@ from citemill.config import ABSTENTION, Settings
 from citemill.functions.binding import let
 from citemill.functions.text import keywords, sentences
 from citemill.operators.prompting import SYSTEM_PROMPT
+from citemill.operators.ledger import Ledger
 from citemill.schemas import GENERATION
 
 # US dollars per million input and output tokens.
@@ -195,13 +197,31 @@ def chat_answer(prompt: str, settings: Settings, post: Callable = post_json) ->
     return with_retry(call)
 
 
+def prompt_key(prompt: str, settings: Settings) -> str:
+    """Names the answer to a prompt: whatever changes the request changes the key."""
+    asked = [
+        settings.backend, settings.model, settings.temperature, settings.top_p, settings.max_output_tokens, SYSTEM_PROMPT, STOP, prompt,
+    ]
+    return hashlib.sha256(json.dumps(asked).encode()).hexdigest()
+
+
 def chat_generator(settings: Settings, post: Callable = post_json) -> Generator:
-    """Generator that sends each prompt to a chat service from the executors."""
+    """Generator that sends each prompt to a chat service from the executors.
+
+    With ``ledger_path`` each answer is kept as soon as it is there, and a prompt
+    with a kept answer is not sent: a task that is tried again, or a second run
+    after a failed one, asks and pays only for what is missing.
+    """
 
     @F.pandas_udf(GENERATION)
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ledger = Ledger(settings.ledger_path) if settings.ledger_path else None
         for prompts in batches:
-            rows = [chat_answer(text, settings, post) for text in prompts]
+            rows = [
+                ledger.once(prompt_key(text, settings), lambda: chat_answer(text, settings, post))
+                if ledger else chat_answer(text, settings, post)
+                for text in prompts
+            ]
             yield pd.DataFrame(rows, columns=GENERATION.names)
 
     return lambda question, sources, prompt: answer(prompt)
