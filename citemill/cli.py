@@ -7,6 +7,7 @@ import importlib.util
 import os
 import shutil
 import sys
+import time
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -138,7 +139,8 @@ def main(argv: list[str] | None = None) -> int:
     else:
         golden = read_golden(spark, args.golden or settings.golden_set_path).withColumn("question_id", F.col("id"))
         scored, card = evaluate(
-            store.scan(), golden, settings, judge_for(settings), snapshot=store.snapshot(), index=index_for_search()
+            store.scan(), golden, settings, judge_for(settings), snapshot=store.snapshot(), index=index_for_search(),
+            clock=time.monotonic,
         )
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
         print(write_scorecard(card.cache(), args.reports, stamp, scored))

@@ -146,8 +146,10 @@ def scorecard(scored: DataFrame, settings: Settings) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     recalls = [mean(f"hit_{k}").alias(f"recall_{k}") for k in RECALL_AT]
     retrieved = [mean(f"retrieved_{k}").alias(f"retrieved_recall_{k}") for k in RECALL_AT]
+    shares = (0.5, 0.95) if "timing" in scored.columns else ()
+    times = [F.percentile_approx("timing.total_ms", p, 10_000).alias(f"p{int(100 * p)}_ms") for p in shares]
     totals = scored.agg(
-        F.count("*").alias("n_questions"), *recalls, *retrieved,
+        *times, F.count("*").alias("n_questions"), *recalls, *retrieved,
         mean("judge.groundedness").alias("groundedness"), mean("judge.relevance").alias("relevance"),
         F.count_if("refused").alias("abstain_correct"), F.count_if("refuse").alias("abstain_total"),
     )
@@ -159,7 +161,7 @@ def scorecard(scored: DataFrame, settings: Settings) -> DataFrame:
         *[rounded(f"retrieved_recall_{k}") for k in RECALL_AT],
         rounded("groundedness"), rounded("relevance"), "abstain_correct", "abstain_total",
         F.round(F.try_divide(F.col("abstain_correct"), F.col("abstain_total")), 4).alias("abstain_accuracy"),
-        passed.alias("phase1_pass"),
+        passed.alias("phase1_pass"), *[f"p{int(100 * p)}_ms" for p in shares],
     )
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from citemill.functions.filters import among
 from citemill.functions.text import is_keyword, keywords, words
 from citemill.functions.vectors import SCORE_DECIMALS
 from citemill.operators.ranking import rank_per_question
-from citemill.session import fits, stage
+from citemill.session import fits, held, stage
 
 SALTS = 32
 # Blocks of a term: its postings by weight, in steps of this share of the largest weight there can be.
@@ -28,8 +27,6 @@ LEVELS = 16
 FIRST_POSTINGS, FIRST_DOCS = 10, 3
 # Documents up to this number are listed in the filter of the scan.
 LISTED_KEYS = 200
-# What is planned for a search and found by it is kept on the driver up to this number of rows, and staged beyond.
-HELD_ROWS = 20_000
 # Bounds and scores add up in other orders; what differs by less is taken to be equal.
 SLACK = 1e-6
 # Question terms up to this number are listed in the filter of the scan.
@@ -194,14 +191,6 @@ def keyword_search(
     return rank_per_question(positive, [F.col("score").desc(), F.col(key)], settings.bm25_top_k)
 
 
-def held(df: DataFrame, name: str, limit: int = HELD_ROWS) -> tuple[DataFrame, pa.Table | None]:
-    """``df`` computed once: up to ``limit`` rows as a local table, which is given too, more of them staged."""
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), rows
-    return stage(df, name), None
-
-
 class BlockSearch:
     """Exact BM25 top-k that reads the blocks of a written index it cannot do without.
 

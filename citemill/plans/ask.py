@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from citemill.operators.rerank import Scorer, lexical_scorer, model_scorer, rera
 from citemill.operators.retrieval import retrieve
 from citemill.session import fits, spread_by_key, stage
 from citemill.sources.store import snapshot_hash
+from citemill.timing import TIMING, StageClock
 
 # Keys up to this number are listed in the filter of the scan.
 LISTED_KEYS = 200
@@ -88,26 +90,32 @@ def ask_many(
     index: KeywordIndex | None = None,
     any_length: bool = False,
     snapshot: str | None = None,
+    clock: Callable[[], float] | None = None,
 ) -> DataFrame:
     """One response row per question (question_id, question).
 
     A question without candidates above the threshold is not sent to the
     generator; it abstains. A question of another length than is allowed is not
     asked, and its response says so, unless it may have ``any_length``. Responses
-    carry ``snapshot``, the hash of the store they are answered from.
+    carry ``snapshot``, the hash of the store they are answered from. With a
+    ``clock`` (seconds) the stages are run one after another and ``timing`` says
+    how long each took; otherwise it is null and all runs as one job.
     """
+    timer = StageClock(clock) if clock else None
+    timed = timer.mark if timer else (lambda name, df: df)
     generator = generator or choose_generator(settings)
     scorer = scorer_for(settings) if scorer == "settings" else scorer
     allowed = F.col("question").isNotNull() if any_length else valid_question(F.col("question"))
     valid = questions.where(allowed)
-    found = retrieve(store, valid, settings, embedder or embedder_for(settings), where, index)
+    found = timed("retrieval", retrieve(store, valid, settings, embedder or embedder_for(settings), where, index))
     candidates = with_payload(found, store, valid, settings)
-    sourced = collect_sources(rerank(candidates, settings, scorer)).withColumn(
+    sourced = timed("rerank", collect_sources(rerank(candidates, settings, scorer)).withColumn(
         "sources", F.col("sources").cast(_SOURCES)
-    ).join(valid, "question_id")
+    ).join(valid, "question_id"))
     generated = sourced.withColumn("prompt", prompt(F.col("question"), F.col("sources"))).withColumn(
         "generation", generator(F.col("question"), F.col("sources"), F.col("prompt"))
     )
+    generated = timed("generation", generated)
     answered = conclude(generated).select(
         "question_id", "answer", "citations", "out_of_range", "abstained", "truncated", "error",
         F.transform("sources", lambda s: s.chunk_id).alias("source_ids"),
@@ -127,6 +135,7 @@ def ask_many(
         F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"),
         F.lit(settings.model_version).alias("model_version"),
         F.lit(snapshot).cast("string").alias("corpus_snapshot_hash"),
+        (timer.column(F.col("answer").isNotNull()) if timer else F.lit(None).cast(TIMING)).alias("timing"),
     )
 
 
@@ -134,7 +143,7 @@ def ask(
     store: DataFrame, question: str, settings: Settings, where: dict | None = None,
     snapshot: str | None = None, **parts
 ) -> dict:
-    """Answer one question now, as a plain dict with a wall-clock ``total_ms``.
+    """Answer one question now, as a plain dict with the ``timing`` of its stages and a wall-clock ``total_ms``.
 
     ``snapshot`` is the store's hash where the caller keeps it between questions;
     otherwise all stored keys are read for it.
@@ -144,6 +153,7 @@ def ask(
     started = time.monotonic()
     asked = store.sparkSession.createDataFrame([(0, question)], "question_id int, question string")
     snapshot = snapshot or snapshot_hash(store).first()[0]
+    parts = {"clock": time.monotonic, **parts}
     response = ask_many(store, asked, settings, where, snapshot=snapshot, **parts).drop("question_id").first()
     return {
         **response.asDict(recursive=True),

@@ -7,9 +7,13 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Up to this number of rows a small result is kept on the driver, and staged beyond.
+HELD_ROWS = 20_000
+
 
 def build_session(app: str = "citemill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect. A cluster's own
@@ -82,6 +86,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str, limit: int = HELD_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """``df`` computed once: up to ``limit`` rows as a local table, which is given too, more of them staged."""
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return stage(df, name), None
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a path when the application ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

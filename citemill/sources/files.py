@@ -238,6 +238,7 @@ def write_scorecard(scorecard: DataFrame, folder: str, stamp: str, scored: DataF
         f"- groundedness: {row['groundedness']}",
         f"- relevance: {row['relevance']}",
         f"- abstention: {row['abstain_accuracy']} ({row['abstain_correct']}/{row['abstain_total']})",
+        *([f"- latency: p50 {row['p50_ms']} ms, p95 {row['p95_ms']} ms"] if row.get("p95_ms") is not None else []),
         "", f"Acceptance: {verdict(row['phase1_pass'])}", "",
     ]
     report = "\n".join(lines)

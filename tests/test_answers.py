@@ -159,8 +159,36 @@ def store(spark):
     return df.withColumn("embedding", embedder_for(SETTINGS).documents(F.col("text"))).cache()
 
 
+def test_stage_times(spark, store, tmp_path):
+    """With a clock that a stage moves on by a second, then two, then three."""
+    from citemill.plans.evaluate import evaluate
+    from citemill.sources.files import write_scorecard
+    from citemill.timing import latency
+
+    ticks = iter([0.0, 1.0, 3.0, 6.0])
+    asked = spark.createDataFrame([(1, "What pricing risk exists?"), (2, "Quantum zebra?"), (3, "x")], "question_id int, question string")
+    got = ask_many(store, asked, SETTINGS, clock=lambda: next(ticks))
+    times = {r.question_id: tuple(r.timing) for r in got.collect()}
+    assert times == {1: (1000, 2000, 3000, 6000), 2: (1000, 2000, 0, 3000), 3: (1000, 2000, 0, 3000)}
+    assert [r.timing for r in ask_many(store, asked, SETTINGS).collect()] == [None] * 3
+    of = {r.stage: (r.n, r.p50_ms, r.p95_ms) for r in latency(got).collect()}
+    assert of == {"retrieval": (3, 1000, 1000), "rerank": (3, 2000, 2000), "generation": (3, 0, 3000), "total": (3, 3000, 6000)}
+    plain = {r.question_id: r.asDict() for r in ask_many(store, asked, SETTINGS).drop("timing").collect()}
+    assert {r.question_id: r.asDict() for r in got.drop("timing").collect()} == plain
+    golden = asked.where("question_id < 3").withColumns({
+        "id": F.col("question_id").cast("string"), "reference_answer": F.lit(""), "question_type": F.lit("x"), "should_abstain": F.lit(False),
+        "expected_sources": F.array().cast("array<struct<company:string,year:int,section:string,chunk_id:string>>"),
+    })
+    again = iter([0.0, 0.5, 0.5, 0.75])
+    scored, card = evaluate(store, golden, SETTINGS, clock=lambda: next(again))
+    assert (card.first().p50_ms, card.first().p95_ms) == (500, 750)
+    write_scorecard(card, str(tmp_path), "t", scored)
+    assert "latency: p50 500 ms, p95 750 ms" in (tmp_path / "latest.md").read_text()
+
+
 def test_ask(spark, store):
     got = ask(store, "What pricing risk exists?", SETTINGS)
+    assert set(got["timing"]) == {"retrieval_ms", "rerank_ms", "generation_ms", "total_ms"} and got["total_ms"] >= got["timing"]["total_ms"] > 0
     assert got["answer"] == "Pricing risk is high. [1] Supply chain risk grows. [2]"
     assert [c["chunk_id"] for c in got["citations"]] == ["a", "b"] and not got["abstained"] and got["error"] is None
     assert len(got["corpus_snapshot_hash"]) == 12

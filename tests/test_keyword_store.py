@@ -41,9 +41,9 @@ def test_term_counts(spark):
 
 @pytest.mark.parametrize("rows", [20_000, 0], ids=["local", "staged"])
 def test_blocks_find_what_all_postings_find(spark, tmp_path, monkeypatch, rows):
-    import citemill.operators.keyword as keyword
+    import citemill.session as session
 
-    monkeypatch.setattr(keyword.held, "__defaults__", (rows,))
+    monkeypatch.setattr(session.held, "__defaults__", (rows,))
     docs, questions = frame(spark, corpus(900, 1) + [("none", None), ("blank", "")]), asked(spark)
     held = KeywordStore(spark, str(tmp_path / "k"), SETTINGS)
     held.upsert(docs)
