@@ -50,14 +50,17 @@ def _anchor_places(length: int, cover: tuple[int, ...], period: int) -> np.ndarr
 
 
 FIRST = StructType([
-    StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("text1", LongType()),
+    StructField("doc_id", LongType()), StructField("part", LongType()), StructField("n_words", LongType()), StructField("text1", LongType()),
     StructField("text2", LongType()), StructField("whole", StringType()), StructField("anchors", ArrayType(LongType())),
 ])
 WINDOWS = StructType([
-    StructField("doc_id", LongType()), StructField("window1", LongType()), StructField("window2", LongType()),
+    StructField("doc_id", LongType()), StructField("part", LongType()), StructField("window1", LongType()), StructField("window2", LongType()),
     StructField("starts", ArrayType(IntegerType())),
 ])
-KEPT = StructType([StructField("doc_id", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+KEPT = StructType([
+    StructField("doc_id", LongType()), StructField("part", LongType()), StructField("n_removed", LongType()),
+    StructField("kept_sha256", StringType()),
+])
 
 
 def _signed(x: int) -> int:
@@ -67,7 +70,7 @@ def _signed(x: int) -> int:
 def _first(window: int, period: int):
     cover, width = difference_cover(period), window - period + 1
 
-    def run(ids: list, texts: list) -> list:
+    def run(ids: list, parts: list, texts: list) -> list:
         split = [words(t) for t in texts]
         tokens, ends = flat(split)
         (hashes,) = word_hashes(tokens, (1,))
@@ -82,7 +85,7 @@ def _first(window: int, period: int):
             # A text below the window holds no match.
             n = len(ws) - width + 1 if len(ws) >= window else 0
             out.append(anchors[start + _anchor_places(n, cover, period)])
-        return [ids, [len(w) for w in split], one, two, whole, out]
+        return [ids, parts, [len(w) for w in split], one, two, whole, out]
 
     return run
 
@@ -90,13 +93,13 @@ def _first(window: int, period: int):
 def _windows(window: int, period: int):
     cover, width = difference_cover(period), window - period + 1
 
-    def run(ids: list, places: list, texts: list) -> list:
+    def run(ids: list, parts: list, places: list, texts: list) -> list:
         tokens, ends = flat([words(t) for t in texts])
         first, second = word_hashes(tokens, (2, 3))
         one = window_hashes(first, window)
         two = window_hashes(second, window, 0xD6E8FEB86659FD93)
-        doc, h1, h2, starts = [], [], [], []
-        for i, found, a, b in zip(ids, places, ends[:-1].tolist(), ends[1:].tolist()):
+        doc, of, h1, h2, starts = [], [], [], [], []
+        for i, part, found, a, b in zip(ids, parts, places, ends[:-1].tolist(), ends[1:].tolist()):
             at = _anchor_places(b - a - width + 1, cover, period)
             found = np.array(found)
             at = at[found[found < len(at)]]
@@ -110,17 +113,18 @@ def _windows(window: int, period: int):
             x, y = one[a + at], two[a + at]
             new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(at) else at
             doc += [i] * len(new)
+            of += [part] * len(new)
             h1.append(x[new])
             h2.append(y[new])
             starts += np.split(at.astype(np.int32), new[1:]) if len(at) else []
-        join = lambda parts: (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)
-        return [doc, join(h1), join(h2), starts]
+        join = lambda found: (np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64)
+        return [doc, of, join(h1), join(h2), starts]
 
     return run
 
 
 def _cut(window: int):
-    def run(ids: list, starts: list, texts: list) -> list:
+    def run(ids: list, parts: list, starts: list, texts: list) -> list:
         removed, digests = [], []
         for at, text in zip(starts, texts):
             ws = words(text)
@@ -132,53 +136,66 @@ def _cut(window: int):
             left = np.flatnonzero(np.cumsum(change[:-1]) == 0)
             removed.append(len(ws) - len(left))
             digests.append(hashlib.sha256(b" ".join([ws[k] for k in left.tolist()])).hexdigest())
-        return [ids, removed, digests]
+        return [ids, parts, removed, digests]
 
     return run
 
 
+def _parted(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text): ``part`` tells the texts of one doc_id apart, and is zero where there is one text alone."""
+    rows, code = docs.select("doc_id", "text"), F.coalesce(F.xxhash64("text"), F.lit(0))
+    many = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low < high")
+    many = stage(many.select("doc_id", F.lit(True).alias("many")), "many")
+    if many.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("part"), "text")
+    told = rows.join(many, "doc_id", "left")
+    return told.select("doc_id", F.when(F.col("many"), code).otherwise(0).cast("long").alias("part"), "text")
+
+
 def shared_passages(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     A word is removed when a window of ``window`` words that covers it also starts in a document with a smaller doc_id.
     Windows are judged on the input. ``kept_sha256`` is of the kept words joined by one space. A null text has no
     words; a text of fewer words than the window keeps all. A row without doc_id is no source and loses nothing. Rows
-    that repeat a doc_id are one document for the comparison; they should have one text, as windows are listed by doc_id.
+    that repeat a doc_id are one document for the comparison: none is a source for another, and each loses what is in a
+    document with a smaller doc_id.
     """
     if not 1 <= period <= window:
         raise ValueError("the period must be between 1 and the window")
-    first = stage(map_texts(docs, _first(window, period), FIRST, ["doc_id", "text"]), "anchors")
+    docs, row = _parted(docs), ["doc_id", "part"]
+    first = stage(map_texts(docs, _first(window, period), FIRST, [*row, "text"]), "anchors")
     long = first.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     # Later copies of a whole text lose every word; the first stands for them as a source too.
     texts = long.groupBy("text1", "text2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     copies = stage(
-        long.select("doc_id", "text1", "text2").join(texts.where("source < last"), ["text1", "text2"])
-        .where("doc_id > source").select("doc_id").distinct(), "copies",
+        long.select(*row, "text1", "text2").join(texts.where("source < last"), ["text1", "text2"])
+        .where("doc_id > source").select(*row).distinct(), "copies",
     )
 
-    each = long.select("doc_id", F.posexplode("anchors").alias("place", "anchor"))
+    each = long.select(*row, F.posexplode("anchors").alias("place", "anchor"))
     apart = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
     common = each.groupBy("anchor").agg(*apart).where("low < high").select("anchor")
-    found = stage(each.join(common, "anchor").join(copies, "doc_id", "left_anti"), "found")
+    found = stage(each.join(common, "anchor").join(copies, row, "left_anti"), "found")
     # Without the copies, fewer anchors are in two documents.
     common = found.groupBy("anchor").agg(*apart).where("low < high").select("anchor")
-    places = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    places = found.join(common, "anchor").groupBy(*row).agg(F.collect_list("place").alias("places"))
     near = stage(
-        docs.select("doc_id", "text").where("text IS NOT NULL").join(places, "doc_id").select("doc_id", "places", "text"), "near"
+        docs.where("text IS NOT NULL").join(places, row).select(*row, "places", "text"), "near"
     )
 
-    windows = stage(map_texts(near, _windows(window, period), WINDOWS, ["doc_id", "places", "text"]), "windows")
+    windows = stage(map_texts(near, _windows(window, period), WINDOWS, [*row, "places", "text"]), "windows")
     repeated = windows.groupBy("window1", "window2").agg(*apart).where("low < high").drop("high")
     starts = (
         windows.join(repeated, ["window1", "window2"]).where("doc_id > low")
-        .groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        .groupBy(*row).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
-    cut = map_texts(near.select("doc_id", "text").join(starts, "doc_id"), _cut(window), KEPT, ["doc_id", "starts", "text"])
-    cut = cut.groupBy("doc_id").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
+    cut = map_texts(near.select(*row, "text").join(starts, row), _cut(window), KEPT, [*row, "starts", "text"])
+    cut = cut.groupBy(*row).agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
     gone = F.col("copy") & (F.col("n_words") >= window)
     return (
-        first.select("doc_id", "n_words", "whole").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-        .join(cut, "doc_id", "left")
+        first.select(*row, "n_words", "whole").join(copies.withColumn("copy", F.lit(True)), row, "left")
+        .join(cut, row, "left")
         .select(
             "doc_id", "n_words",
             F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

@@ -29,6 +29,16 @@ def test_queries_are_all_there():
     assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13 and "pipeline" in queries.QUERIES
 
 
+def test_shared_passages_of_a_repeated_id(spark):
+    """Each text of a doc_id loses its own words: none is a source for the others, and copies are told apart."""
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q, r = text("p", 60), text("q", 70), text("r", 130)
+    rows = [(1, p), (2, f"{q} {p}"), (2, r), (2, p), (2, f"{q} {r}"), (3, f"{r} x"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.shared_passages(df).collect()}
+    assert got == {(1, 60, 0), (2, 130, 60), (2, 130, 0), (2, 60, 60), (2, 200, 0), (3, 131, 130), (2, 0, 0)}
+
+
 def test_components(spark):
     draw = random.Random(4)
     links = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 420)] + [(None, 1), (7, 7)]
