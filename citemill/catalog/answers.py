@@ -17,7 +17,7 @@ from citemill.operators.evaluation import exact_overlap
 from citemill.operators.generation import extractive_answer, generation_cost
 from citemill.operators.keyword import KeywordIndex, keyword_search
 from citemill.operators.prompting import collect_sources, prompt
-from citemill.operators.rerank import lexical_scorer, model_scorer, rerank
+from citemill.operators.rerank import lexical_scorer, model_scorer, proximity_scorer, rerank
 from citemill.plans.ask import ask_many, valid_question, with_payload
 from citemill.plans.evaluate import evaluate
 from citemill.plans.index import embed_chunks
@@ -58,6 +58,38 @@ def rerank_nan(t: Tables) -> DataFrame:
     )
 
 
+_ASKED = q.keyword_list("q.question")
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD, _CANDIDATES) + f""",
+pair AS MATERIALIZED (
+  SELECT question_id, chunk_id, rank, list_filter(every, lambda x, i: list_position(every, x) = i) AS asked, words
+  FROM (SELECT c.question_id, c.chunk_id, c.rank, {_ASKED} AS every, {q.keyword_list('s.text')} AS words
+        FROM candidates c JOIN questions q USING (question_id) JOIN store s USING (chunk_id))),
+hit AS MATERIALIZED (
+  SELECT question_id, chunk_id, w, i FROM (SELECT question_id, chunk_id, asked, unnest(words) AS w, unnest(range(len(words))) AS i FROM pair)
+  WHERE list_contains(asked, w)),
+asked_pair AS (
+  SELECT question_id, chunk_id, asked[k] AS a, asked[k + 1] AS b FROM (SELECT *, unnest(range(1, len(asked))) AS k FROM pair)),
+close AS (
+  SELECT DISTINCT x.question_id, x.chunk_id, x.w AS a, y.w AS b, y.i = x.i + 1 AS beside
+  FROM (SELECT *, unnest(range(i - 7, i + 8)) AS j FROM hit) x JOIN hit y ON y.question_id = x.question_id AND y.chunk_id = x.chunk_id AND y.i = x.j),
+pair_met AS (
+  SELECT question_id, chunk_id, count(DISTINCT (a, b)) FILTER (beside) AS n_beside, count(DISTINCT (a, b)) AS n_near
+  FROM asked_pair JOIN close USING (question_id, chunk_id, a, b) GROUP BY 1, 2),
+scored AS (
+  SELECT question_id, chunk_id, rank AS candidate_rank, (0.85 * coalesce(len(list_intersect(asked, words)) / nullif(len(asked), 0)::DOUBLE, 0)
+    + 0.10 * coalesce(n_beside / nullif(len(asked) - 1, 0)::DOUBLE, 0) + 0.05 * coalesce(n_near / nullif(len(asked) - 1, 0)::DOUBLE, 0)) * 8 - 4 AS s
+  FROM pair LEFT JOIN pair_met USING (question_id, chunk_id))
+SELECT question_id, chunk_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, candidate_rank) AS rank
+FROM scored WHERE round(s, 9) >= -2.0 QUALIFY rank <= 5
+""")
+def rerank_proximity(t: Tables) -> DataFrame:
+    """Candidates by words, pairs of words and their nearness."""
+    scorer = lambda question, text: F.round(proximity_scorer(question, text), 9)
+    return rerank(candidates(t), SETTINGS, scorer).select("question_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 def _pair_model():
     """Scores a pair by the length of its text; fails for questions of even length."""
 

@@ -77,6 +77,8 @@ class Settings:
     rerank_top_n: int = 5
     rerank_timeout_sec: float = 30.0
     rerank_score_threshold: float = -2.0
+    # Scorer without a loader: "lexical" or "proximity".
+    rerank_scorer: str = "lexical"
     # generation
     backend: str = "extractive"
     model: str = "lexical"
@@ -148,6 +150,7 @@ _YAML_KEYS = {
     "bm25_top_k": "retrieval.bm25_top_k",
     "rrf_k": "retrieval.rrf_k",
     "rerank_enabled": "rerank.enabled",
+    "rerank_scorer": "rerank.scorer",
     "rerank_top_n": "rerank.top_n",
     "rerank_timeout_sec": "rerank.timeout_sec",
     "rerank_score_threshold": "rerank.score_threshold",

@@ -18,6 +18,10 @@ from citemill.operators.ranking import rank_per_question
 Scorer = Callable[[Column, Column], Column]
 
 
+# Keywords to either side of a word that are near it.
+NEAR = 7
+
+
 def lexical_scorer(question: Column, text: Column) -> Column:
     """Share of the question's distinct keywords that the text has, scaled to
     -4 (none) .. 4 (all). Needs no model."""
@@ -28,6 +32,43 @@ def lexical_scorer(question: Column, text: Column) -> Column:
     return let(F.array_distinct(keywords(question)), share) * 8.0 - 4.0
 
 
+def proximity_scorer(question: Column, text: Column) -> Column:
+    """Words, word pairs and nearness of a question in a text, from -4 to 4.
+
+    Weighs the share of the question's keywords that the text has (0.85), of pairs of neighbouring keywords that stand
+    side by side in it (0.10), and of pairs within ``NEAR`` keywords of each other in either order (0.05), after the
+    sequential dependence model of Metzler and Croft (2005). A question of one keyword has no pairs.
+    """
+
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+
+    def met(asked: Column, hits: Column) -> Column:
+        """Shares met, from the places of the question's words in the text."""
+        at = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
+        pairs = F.filter(F.transform(asked, lambda w, i: joined(w, F.get(asked, i + 1))), lambda p: p.isNotNull())
+        beside = F.transform(at, lambda k: let(F.get(hits, k), lambda x: let(
+            F.get(hits, k + 1), lambda y: F.when(y.i == x.i + 1, joined(x.w, y.w))
+        )))
+        # At most NEAR words of the question stand within NEAR places to either side.
+        around = lambda k: F.slice(hits, F.greatest(k - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1))
+        near = F.flatten(F.transform(at, lambda k: let(F.get(hits, k), lambda x: F.transform(
+            F.filter(around(k), lambda y: F.abs(y.i - x.i) <= NEAR), lambda y: joined(x.w, y.w)
+        ))))
+        share = lambda met, of: F.coalesce(F.try_divide(F.size(F.array_intersect(of, met)).cast("double"), F.size(of)), F.lit(0.0))
+        words_met = share(F.transform(hits, lambda h: h.w), asked)
+        return let(pairs, lambda ps: words_met * 0.85 + share(beside, ps) * 0.10 + share(near, ps) * 0.05)
+
+    def scored(asked: Column, words: Column) -> Column:
+        placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        return let(F.filter(placed, lambda h: F.array_contains(asked, h.w)), lambda hits: met(asked, hits)) * 8.0 - 4.0
+
+    # Null texts and questions have no words.
+    none = F.array().cast("array<string>")
+    return let(F.coalesce(F.array_distinct(keywords(question)), none), lambda asked: let(
+        F.coalesce(keywords(text), none), lambda words: scored(asked, words)
+    ))
+
+
 def model_scorer(
     load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], timeout_sec: float
 ) -> Scorer:

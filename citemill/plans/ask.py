@@ -16,7 +16,7 @@ from citemill.operators.citing import conclude
 from citemill.operators.generation import Generator, choose_generator
 from citemill.operators.keyword import KeywordIndex
 from citemill.operators.prompting import collect_sources, prompt
-from citemill.operators.rerank import Scorer, lexical_scorer, model_scorer, rerank
+from citemill.operators.rerank import Scorer, lexical_scorer, model_scorer, proximity_scorer, rerank
 from citemill.operators.retrieval import retrieve
 from citemill.session import fits, spread_by_key, stage
 from citemill.sources.store import snapshot_hash
@@ -73,10 +73,13 @@ def embedder_for(settings: Settings) -> HashingEmbedder | ModelEmbedder:
 
 
 def scorer_for(settings: Settings) -> Scorer:
-    """The scorer of the settings: a pair model where a loader is named, else shared keywords."""
+    """The scorer of the settings: a pair model where a loader is named, else shared keywords, or their nearness too."""
     if settings.rerank_loader:
         return model_scorer(hook(settings.rerank_loader), settings.rerank_timeout_sec)
-    return lexical_scorer
+    scorers = {"lexical": lexical_scorer, "proximity": proximity_scorer}
+    if settings.rerank_scorer not in scorers:
+        raise ValueError(f"unknown scorer {settings.rerank_scorer}")
+    return scorers[settings.rerank_scorer]
 
 
 def ask_many(

@@ -159,6 +159,27 @@ def store(spark):
     return df.withColumn("embedding", embedder_for(SETTINGS).documents(F.col("text"))).cache()
 
 
+def test_proximity_scorer(spark):
+    from citemill.operators.rerank import proximity_scorer
+    from citemill.plans.ask import scorer_for
+
+    far = "alpha " + "filler " * 20 + "beta"
+    rows = [
+        ("alpha beta", "alpha beta"), ("alpha beta", "beta one two alpha"), ("alpha beta", far), ("alpha beta", "gamma"), ("alpha", "alpha"),
+        ("the", "alpha"), ("alpha beta gamma", "alpha beta one gamma"), (None, "x"), ("alpha", None),
+    ]
+    df = spark.createDataFrame(rows, "q string, t string")
+    got = [round(r.s, 6) for r in df.select(proximity_scorer(F.col("q"), F.col("t")).alias("s")).collect()]
+    scaled = lambda u, o, w: round((0.85 * u + 0.10 * o + 0.05 * w) * 8 - 4, 6)
+    assert got == [
+        scaled(1, 1, 1), scaled(1, 0, 1), scaled(1, 0, 0), scaled(0, 0, 0), scaled(1, 0, 0), scaled(0, 0, 0), scaled(1, 0.5, 1),
+        scaled(0, 0, 0), scaled(0, 0, 0),
+    ]
+    assert scorer_for(replace(SETTINGS, rerank_scorer="proximity")) is proximity_scorer
+    with pytest.raises(ValueError):
+        scorer_for(replace(SETTINGS, rerank_scorer="other"))
+
+
 def test_stage_times(spark, store, tmp_path):
     """With a clock that a stage moves on by a second, then two, then three."""
     from citemill.plans.evaluate import evaluate
