@@ -11,7 +11,7 @@ import time
 from dataclasses import replace
 from datetime import datetime, timezone
 
-from citemill.config import load_settings
+from citemill.config import load_env, load_settings
 from citemill.functions.filters import request_filter
 from citemill.logs import get_logger, setup_logging
 
@@ -80,6 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     evaluate_args.add_argument("--reports", default="reports")
     args = parser.parse_args(argv)
     setup_logging()
+    load_env()
     if args.command == "check":
         problems = environment_problems()
         print("\n".join(f"{name}: {detail}" for name, detail in problems.items()) or "ready")

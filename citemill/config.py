@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, MutableMapping
 from dataclasses import dataclass, fields, replace
 from importlib import import_module
 from typing import Any
@@ -198,6 +198,30 @@ def from_tree(tree: dict, environ: dict[str, str] | None = None) -> Settings:
     return replace(settings, **overrides)
 
 
+def load_env(path: str = ".env", environ: MutableMapping[str, str] | None = None) -> list[str]:
+    """Puts the variables of a ``.env`` file into the environment of this process, those that are not set there yet, and
+    names them. Lines are ``NAME=value``, also after ``export``; quotes around a value and what follows `` #`` go. A
+    missing file has no variables."""
+    env, added = os.environ if environ is None else environ, []
+    if not os.path.isfile(path):
+        return added
+    with open(path, encoding="utf-8") as handle:
+        lines = [line.strip().removeprefix("export ").strip() for line in handle]
+    for line in lines:
+        name, found, value = line.partition("=")
+        name, value = name.strip(), value.strip()
+        if not found or not name.isidentifier():
+            continue
+        if value[:1] in ("'", '"') and value.find(value[0], 1) > 0:
+            value = value[1:value.find(value[0], 1)]
+        else:
+            value = f" {value}".partition(" #")[0].strip()
+        if name not in env:
+            env[name] = value
+            added.append(name)
+    return added
+
+
 def load_settings(path: str | None = None, environ: dict[str, str] | None = None) -> Settings:
     """Read a YAML file (or only the environment when ``path`` is None)."""
     if path is None:

@@ -323,6 +323,18 @@ def test_a_failed_write_leaves_rows_and_hash(spark, tmp_path, monkeypatch):
     assert {int(n.partition("=")[2]) for n in folders(spark, held.path)} == set(parts.values())
 
 
+def test_env_file(tmp_path):
+    from citemill.config import load_env
+
+    path = tmp_path / ".env"
+    path.write_text("# keys\nA=1\nexport B = 'two # 2' # note\nC=three # note\nD=\n\nbad line\n1X=no\nE=\"x=y\"\nF=#none\n")
+    env = {"A": "kept"}
+    assert load_env(str(path), env) == ["B", "C", "D", "E", "F"]
+    assert env == {"A": "kept", "B": "two # 2", "C": "three", "D": "", "E": "x=y", "F": ""}
+    assert from_tree({}, {**env, "EMBED_DEVICE": "cuda"}).device == "cuda"
+    assert load_env(str(tmp_path / "none"), env) == []
+
+
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     from citemill.sources.pointer import read_pointer, write_pointer
 
