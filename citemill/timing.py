@@ -13,6 +13,9 @@ from citemill.session import held
 STAGES = ("retrieval", "rerank", "generation")
 TIMING = "struct<" + ",".join(f"{s}_ms:int" for s in (*STAGES, "total")) + ">"
 
+# Rows with texts that are kept on the driver between stages; more are staged.
+HELD_ROWS = 200
+
 log = get_logger(__name__)
 
 
@@ -24,7 +27,7 @@ class StageClock:
         self.started = self.last = clock()
 
     def mark(self, stage: str, df: DataFrame) -> DataFrame:
-        done, rows = held(df, stage)
+        done, rows = held(df, stage, HELD_ROWS)
         now = self.clock()
         self.ms[stage] = int(round((now - self.last) * 1000))
         self.last = now
