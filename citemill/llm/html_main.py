@@ -6,8 +6,11 @@ best container and those siblings that look like more of the same are kept.
 What a page marks as menu, header, footer, advert or comments by its element,
 its role or a whole name is taken out before. Single words of a class or id, and
 forms, halve the points of their text; such an element is taken out if it has
-little text beside the rest of the page, and never for a word inside an article. Every page is one row, so the work is spread by Spark and
-needs no shuffle; parsing takes one pass over the page.
+little text beside the rest of the page. Inside an article only whole names of
+blocks that are added to articles (share buttons, newsletter forms, lists of
+related posts, notices, promotions) raise that doubt, and never on headings or
+paragraphs. Every page is one row, so the work is spread by Spark and needs no
+shuffle; parsing takes one pass over the page.
 """
 
 from __future__ import annotations
@@ -66,9 +69,27 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 # Whole names of comments and adverts; comments-open or has-ads are none.
 _COMMENTS = re.compile(
-    r"(?:(?:user|post|blog|page|article|fb|facebook)-)?comments?(?:-?(?:list|area|section|form|thread|wrap|wrapper|container|box|block))?"
+    r"(?:(?:user|post|blog|page|article|fb|facebook|readers?|visitors?|guests?|members?|viewers?|customers?|community|public|latest|recent|all)-)?"
+    r"comments?(?:-?(?:list|area|section|form|thread|feed|wrap|wrapper|container|inner|panel|box|block))?"
     r"|disqus(?:-thread)?"
 )
+# Whole names of blocks that are put into articles; of an id only those of two words or more, as an id may name a chapter.
+_ADDED = re.compile(
+    r"(?:(?:social|post|article|entry|page|story)-)?(?:share|sharing)(?:-(?:this|buttons?|bar|links?|icons?|tools?|widget|list|box|block|container))?"
+    r"|social-(?:media|links?|buttons?|icons?|bar|list|follow)(?:-[a-z]+)?|sharedaddy"
+    r"|(?:email-|inline-|article-|post-)?(?:newsletter|sign-?up|subscribe|subscription)"
+    r"(?:-(?:sign-?up|form|box|bar|block|banner|cta|widget|promo|prompt|container|subscribe|section))*"
+    r"|(?:post-|article-)?(?:related|recommended|recommendations|suggested|further|trending|popular|more)"
+    r"-(?:posts?|articles?|content|links?|stories|news|items|topics|entries|reading|videos?|products?|pages?)(?:-[a-z]+)?"
+    r"|related|recommended|recommendations|(?:you-(?:may|might)-(?:also-)?like|read-(?:more|next|also)|see-also|also-read|up-next)(?:-[a-z]+)?"
+    r"|(?:cookies?|consent|gdpr|privacy|site|legal)-(?:notices?|banner|consent|bar|popup|message|law|info|box|overlay|dialog)(?:-[a-z]+)?|gdpr"
+    r"|(?:in-?line-|article-|post-)?(?:promo|promotion)s?(?:-(?:box|banner|block|bar|unit|content|text|card|container|widget))?"
+    r"|(?:[a-z]+-)?banner(?:-(?:box|block|bar|unit|content|container|wrap|wrapper))?"
+    r"|(?:notices?|notifications?|pop-?up|modal|overlay|paywall|toolbar|pagination|pager|breadcrumbs?|side-?bar|widget)"
+    r"(?:-(?:box|banner|bar|block|area|content|container|wrap|wrapper|links?))?"
+    r"|respond|(?:leave-a?-?|comment-|post-)?(?:reply|respond)(?:-(?:form|box|area|title))?"
+)
+_ALONE = frozenset(("respond",))
 _ADVERTS = re.compile(
     r"(?:(?:google|banner|top|side|inline|text)-)?(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsored)"
     r"(?:-(?:slot|unit|box|banner|container|wrap|wrapper|block|label|content|[0-9]+))?"
@@ -112,6 +133,11 @@ def _whole_names(given: dict[str, str]) -> list[str]:
     return [_CAMEL.sub("-", n).lower().replace("_", "-") for n in f"{given.get('class', '')} {given.get('id', '')}".split()]
 
 
+def _is_added(given: dict[str, str]) -> bool:
+    by_class, by_id = (_whole_names({name: given.get(name, "")}) for name in ("class", "id"))
+    return any(map(_ADDED.fullmatch, [*by_class, *(n for n in by_id if "-" in n or n in _ALONE)]))
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {
         name.lower(): entities.unescape(value[1:-1] if value[:1] in "\"'" else value) for name, value in _ATTRIBUTE.findall(rest)
@@ -135,7 +161,11 @@ def _describe(node: Node, rest: str) -> None:
         whole = _whole_names(given)
         if any(map(_COMMENTS.fullmatch, whole)) or any(map(_ADVERTS.fullmatch, whole)) or _names(given.get("role", "")) & ROLES:
             node.dropped = True
-        elif names & UNWANTED and not node.in_article and (node.inside is None or tag not in PARAGRAPHS):
+        elif tag in PARAGRAPHS and node.inside is not None:
+            pass
+        elif node.in_article:
+            node.doubted |= _is_added(given)
+        elif names & UNWANTED or _is_added(given):
             node.doubted = True
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDING.search(given.get("style", "")):
         node.dropped = True
@@ -149,7 +179,8 @@ class Page:
         self.nodes: list[Node] = [self.root]
         self.blocks: list[Block] = []
         self.stack: list[Node] = [self.root]
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+        self.owners: list[Node] = [self.root]  # the open blocks
         self.current: Block | None = None
         self.link = 0
         self._read(html)
@@ -161,8 +192,7 @@ class Page:
         if not text:
             return
         if self.current is None:
-            owner = next(n for n in reversed(self.stack) if n.tag in BLOCKS or n is self.root)
-            self.current = Block(owner)
+            self.current = Block(self.owners[-1])
             self.blocks.append(self.current)
         text = entities.unescape(text)
         self.current.parts.append(text)
@@ -171,23 +201,23 @@ class Page:
 
     def _pop(self) -> None:
         node = self.stack.pop()
-        self.open[node.tag] -= 1
+        self.open[node.tag].pop()
         if node.tag in BLOCKS:
+            self.owners.pop()
             self.current = None
         if node.tag == "a":
             self.link -= 1
 
     def _close(self, tags: set[str], scopes: tuple[str, ...] = ()) -> None:
         """Closes the innermost open element of ``tags`` and all inside it, if it is not outside of ``scopes``."""
-        if not any(self.open.get(t) for t in tags):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in scopes:
-                return
-            if self.stack[i].tag in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        place = self._place(tags)
+        if place and place > self._place(scopes):
+            while len(self.stack) > place:
+                self._pop()
+
+    def _place(self, tags) -> int:
+        """Place in the stack of the innermost open element of ``tags``, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
 
     def _start(self, tag: str, rest: str) -> None:
         if tag in BLOCKS:
@@ -207,8 +237,10 @@ class Page:
         _describe(node, rest)
         node.parent.children.append(node)
         self.nodes.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
-        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCKS:
+            self.owners.append(node)
         if tag == "a":
             self.link += 1
             node.parent.links += 1
@@ -351,10 +383,12 @@ def main_text(html: str | None) -> str:
         return ""
     page = Page(html)
     # A wrapper that is unwanted by its class alone but holds the page's title or main part stays.
+    seen: set[int] = set()
     for node in page.nodes:
         if node.tag in ("h1", "main") and not node.dropped:
             above = node.parent
-            while above is not None and above.tag not in DROPPED and above.tag != "header":
+            while above is not None and id(above) not in seen and above.tag not in DROPPED and above.tag != "header":
+                seen.add(id(above))
                 if above.tag in ("div", "section", "table", "td", "tr", "tbody") and not any(
                     map(_COMMENTS.fullmatch, _whole_names({"class": above.kind}))
                 ):

@@ -1,5 +1,6 @@
 """Operators on single documents and pages against plain versions of the same rules."""
 
+import time
 import random
 import re
 
@@ -115,6 +116,12 @@ TEXT = "A paragraph of an article, with commas, and with enough words to be take
 
 LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Ref {i}</a></li>" for i in (1, 2, 3)) + "</ul>"
 
+# Blocks that are put into articles.
+ADDED = (
+    "div class='share-buttons'", "div class=newsletter-signup", "div class=related-posts", "div class=cookie-notice", "div class='promo-box'",
+    "div class=banner", "div id=respond", "div class=reader-comments", "ul class=social-links", "aside", "section class='RelatedArticles'",
+)
+
 
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div>x < y &amp; z</div>", "x < y & z"),
@@ -136,6 +143,14 @@ LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Ref {i}</a></li>" for i in (1, 2, 3)
     (f"<article><section><h2>Sources</h2>{LINKS}</section></article>", "Sources\nRef 1\nRef 2\nRef 3"),
     (f"<div class=content>{LINKS}<p>{TEXT}</p>{LINKS}<p>{TEXT}</p>{LINKS}</div>", f"{TEXT}\nRef 1\nRef 2\nRef 3\n{TEXT}"),
     (f"<body>{LINKS}<p>{TEXT}</p>{LINKS}<p>{TEXT}</p></body>", f"{TEXT}\n{TEXT}"),
+    *[(f"<{tag}><h1>Head</h1><p>{TEXT}</p><{added}>Some words to drop.</{added.split()[0]}><p>{TEXT}</p></{tag.split()[0]}>", f"Head\n{TEXT}\n{TEXT}")
+      for tag in ("article", "main", "div class='post'") for added in ADDED],
+    (f"<article><p>{TEXT}</p><div class=newsletter-signup><h3>News</h3><p>{TEXT}</p><form>Mail</form></div><p>{TEXT}</p><p>{TEXT}</p></article>",
+     f"{TEXT}\n{TEXT}\n{TEXT}"),
+    (f"<article><div class='banner promo-box'><p>{TEXT}</p><p>{TEXT}</p></div><p>{TEXT}</p></article>", f"{TEXT}\n{TEXT}\n{TEXT}"),
+    (f"<article><section id=banner><p>{TEXT}</p></section><h2 class=related-posts>On it</h2><p class=promo>{TEXT}</p></article>",
+     f"{TEXT}\nOn it\n{TEXT}"),
+    (f"<div class=post><p>{TEXT}</p><div class='reader-comments'><p>{TEXT} {TEXT}</p></div></div>", TEXT),
     (PAGE, "Title here\nFirst paragraph, with several words, and more & more.\nSecond para.\none\ntwo\nThird <b> paragraph, link, text more."),
 ])
 def test_main_text(page, text):
@@ -147,6 +162,21 @@ def test_main_text_of_hostile_pages():
         assert isinstance(html_main.main_text(page), str)
 
 
+@pytest.mark.parametrize("unit, n", [
+    ("<div>", 20_000), ("<b>", 20_000), ("<div><h1></h1>", 10_000), ("<li>", 20_000), ("<td><p>", 12_000), ("</b>", 20_000),
+])
+def test_main_text_in_linear_time(unit, n):
+    """Twice the page takes about twice the time, whatever stays open."""
+    def seconds(page):
+        start = time.process_time()
+        html_main.main_text(page)
+        return time.process_time() - start
+
+    for head, tail in (("<p><button>", ""), ("", "<hr>x" * n)):
+        half, whole = (seconds(head + unit * k + tail[: 5 * k]) for k in (n // 2, n))
+        assert whole < 3 * half + 0.5
+
+
 def test_main_texts_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     rows = html_main.main_texts(pages).collect()
