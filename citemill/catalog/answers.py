@@ -11,6 +11,7 @@ from citemill.catalog.search import HYBRID, SETTINGS, document_store, keyword_in
 from citemill.config import ABSTENTION, GENERATION_ERROR_ANSWER
 from citemill.functions.citations import is_abstention, marker_ranges
 from citemill.functions.text import sentences
+from citemill.operators.alignment import aligned_judge, sentence_support
 from citemill.operators.chunking import chunk_sections
 from citemill.operators.citing import conclude, out_of_range, resolve_citations
 from citemill.operators.evaluation import exact_overlap
@@ -390,3 +391,70 @@ def leakage_exact(t: Tables) -> DataFrame:
     test = t.benchmark.select("item_id", F.explode(sentences(F.col("text"))).alias("question"))
     train = t.texts.select(F.explode(sentences(F.col("text"))).alias("question"))
     return exact_overlap(test, train).select("item_id", "question")
+
+
+def _aligned(sides: str, where: str = "true") -> str:
+    """support(key, part, i, sentence, support, place) of the sentences of ``own`` in the rows (key, part, own, other) of ``sides``."""
+    return f"""
+sides AS ({sides}),
+own AS (
+  SELECT key, part, unnest(range(len(s))) AS i, unnest(s) AS sentence
+  FROM (SELECT key, part, {q.sentence_list('own')} AS s FROM sides)),
+mine AS (SELECT key, part, i, sentence, {q.keyword_list('sentence')} AS a FROM own),
+other AS (
+  SELECT key, part, unnest(range(len(s))) + 1 AS place, unnest(s) AS sentence
+  FROM (SELECT key, part, {q.sentence_list('other')} AS s FROM sides)),
+theirs AS (SELECT key, part, place, {q.keyword_list('sentence')} AS b FROM other),
+both_sides AS (
+  SELECT key, part, i, place, list_filter(a, lambda x: list_contains(b, x)) AS a, list_filter(b, lambda x: list_contains(a, x)) AS b
+  FROM mine JOIN theirs USING (key, part)),
+aligned_pair AS (
+  SELECT row_number() OVER () AS pid, a, b FROM (SELECT DISTINCT a, b FROM both_sides WHERE len(a) > 0 AND a <> b)),
+aligned_lengths AS (
+  SELECT pid, 0 AS j, list_transform(range(len(a) + 1), lambda x: 0) AS line FROM aligned_pair
+  UNION ALL
+  SELECT pid, j + 1, [0] || list_transform(range(2, len(a) + 2), lambda i: list_max(list_transform(
+    range(2, i + 1), lambda k: greatest(line[k], line[k - 1] + CASE WHEN a[k - 1] = b[j + 1] THEN 1 ELSE 0 END))))
+  FROM aligned_lengths JOIN aligned_pair USING (pid) WHERE j < len(b)),
+aligned_common AS (
+  SELECT key, part, i, place, CASE WHEN a = b THEN len(a) ELSE line[-1] END AS n
+  FROM both_sides LEFT JOIN aligned_pair USING (a, b) LEFT JOIN aligned_lengths USING (pid)
+  WHERE len(a) > 0 AND (a = b OR j = len(aligned_pair.b))),
+support AS (
+  SELECT key, part, i, coalesce(max(n), 0)::DOUBLE / len(any_value(a)) AS support,
+         coalesce(arg_max(place, (n, -place)), 0)::INT AS place
+  FROM mine LEFT JOIN aligned_common USING (key, part, i) WHERE len(a) > 0 GROUP BY key, part, i)"""
+
+
+_JUDGED = f"""
+judged AS (
+  SELECT g.question_id AS key, g.text, f.question, f.context, {_SAID} AS said FROM golden g JOIN final f USING (question_id)
+  WHERE NOT refuse AND NOT f.abstained)"""
+
+
+@query(q.with_(*_ASK, _GOLDEN, _JUDGED, _aligned("""
+  SELECT key, 'g' AS part, said AS own, context AS other FROM judged
+  UNION ALL SELECT key, 'r', question, said FROM judged UNION ALL SELECT key, 'c', text, said FROM judged""")) + """
+SELECT key AS question_id, coalesce(round(avg(support) FILTER (part = 'g'), 6), 0) AS groundedness,
+  coalesce(round(avg(support) FILTER (part = 'r'), 6), 0) AS relevance,
+  coalesce(round(avg(support) FILTER (part = 'c'), 6), 0) AS correctness FROM judged LEFT JOIN support USING (key) GROUP BY key
+""")
+def groundedness_aligned(t: Tables) -> DataFrame:
+    """Scores of the answered golden questions by the judge that aligns sentences."""
+    scored, _ = evaluate(chunk_store(t), golden(t), HYBRID, judge=aligned_judge, index=chunk_index(t))
+    names = ("groundedness", "relevance", "correctness")
+    return scored.where("judged").select("question_id", *[F.round(f"judge.{n}", 6).alias(n) for n in names])
+
+
+@query(q.with_(q.DOCUMENT_STORE, q.QUESTIONS, q.POSTINGS, q.KEYWORD, _CANDIDATES, q.RERANKED, _aligned(
+    "SELECT (question_id, chunk_id) AS key, 't' AS part, question AS own, text AS other FROM top")) + """
+SELECT key[1] AS question_id, key[2] AS chunk_id, row_number() OVER (PARTITION BY key ORDER BY i) AS number,
+  round(support, 6) AS support, place FROM support
+""")
+def sentence_alignment(t: Tables) -> DataFrame:
+    """Each sentence of a question aligned to the sentences of its reranked documents."""
+    top = rerank(candidates(t), SETTINGS)
+    found = top.select("question_id", "chunk_id", F.posexplode(sentence_support(F.col("question"), F.col("text"))).alias("at", "s"))
+    return found.select(
+        "question_id", "chunk_id", (F.col("at") + 1).alias("number"), F.round("s.support", 6).alias("support"), F.col("s.place").alias("place")
+    )

@@ -13,6 +13,7 @@ from citemill.config import Settings
 from citemill.functions.binding import let
 from citemill.functions.citations import MARKER
 from citemill.functions.text import keywords
+from citemill.operators.alignment import aligned_judge
 from citemill.operators.generation import post_json
 from citemill.session import fits
 
@@ -104,9 +105,11 @@ def chat_judge(settings: Settings, post: Callable = post_json, url: str = "", he
 
 
 def judge_for(settings: Settings) -> Callable:
-    """The judge of the settings: a chat service where its address is named, else shares of keywords."""
+    """The judge of the settings: shares of keywords, aligned sentences, or a chat service at the address named."""
     if settings.judge_backend == "lexical":
         return lexical_judge
+    if settings.judge_backend == "aligned":
+        return aligned_judge
     if not settings.judge_url:
         raise ValueError(f"judge backend {settings.judge_backend} needs eval.judge_url")
     return chat_judge(settings, url=settings.judge_url)
