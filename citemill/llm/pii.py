@@ -1,19 +1,25 @@
 """Personal data: four kinds by their form, and unseen identifiers by the contexts they share with them.
 
-What the forms find are seed entities. The words around each seed and around
-every other identifier-like token are lexical patterns. Over the graph of
-patterns and instances Spark scores in turn patterns (the share of their
-instances that is trusted, with enough of them) and instances (the chance that
-one of their patterns is right). Instances above a threshold are trusted in the
-next round, and their spans are reported as ``context``.
+What the forms find are seed entities, and the words around each seed are lexical
+patterns. A second reading of the texts takes up whatever fills the slot of such a
+pattern, of any length. Over the graph of patterns and instances Spark scores in
+turn patterns (the share of their instances that is trusted, with enough of them)
+and instances (the chance that one of their patterns is right). Instances above a
+threshold are trusted in the next round, and their spans are reported as
+``context``. What looks like a plain word counts fully against a pattern and is
+never reported; anything else counts half until it is trusted.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -25,7 +31,11 @@ from citemill.session import stage
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 5.0, 0.8, 0.95
-MIN_DIGITS, MIN_LENGTH, MAX_LENGTH = 4, 8, 64
+# What an untrusted filler that is no plain word counts against its patterns.
+UNKNOWN = 0.5
+# The patterns of seeds go to the tasks as a table of bits, as large for every corpus; what shares a bit is only work in vain.
+TABLE_BITS = 22
+CACHED_PATTERNS = 100_000
 
 # The lookbehinds only skip starts that cannot match, inside a run of digits.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -34,14 +44,18 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGITS = re.compile(r"[0-9]+")
-_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/-")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CONTEXT_CHARS = 80
+_OPENING, _TRAILING = "=:\"'([{<", ".,;:!?)]}>\"'"
+_GLUE = re.compile(r"""[=:"'(\[{<]""")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9().-]*")
+_PLAIN_NUMBERS = re.compile(r"[0-9]+")
+# Longer words around a slot are known by their first and last characters.
+LONG_WORD = 80
 
 _SPAN = StructType([StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 _MENTION = StructType([
     StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("instance", StringType()),
-    StructField("seed", BooleanType()), StructField("patterns", ArrayType(StringType())),
+    StructField("odd", BooleanType()), StructField("patterns", ArrayType(StringType())),
 ])
 FOUND = StructType([StructField("spans", ArrayType(_SPAN)), StructField("mentions", ArrayType(_MENTION))])
 
@@ -90,80 +104,181 @@ def formed(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def identifiers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Tokens of letters, digits and joints with enough digits to be an identifier, beside the spans ``taken``."""
-    out, end, k = [], 0, 0
-    taken = sorted(taken)
-    for m in _DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        a, b = m.span()
-        while a > end and text[a - 1] in _TOKEN:
-            a -= 1
-        while b < len(text) and text[b] in _TOKEN:
-            b += 1
-        end = b
-        while b > a and text[b - 1] in "._/-":
-            b -= 1
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if k < len(taken) and taken[k][0] < b:
-            continue
-        if MIN_LENGTH <= b - a <= MAX_LENGTH and sum(map(str.isdigit, text[a:b])) >= MIN_DIGITS:
-            out.append((a, b))
-    return out
+def is_odd(filler: str) -> bool:
+    """Whether a filler does not look like a plain word: digits, capitals inside or throughout, underscores, at signs, or great length."""
+    if len(filler) > 32 or any(c.isdigit() or c in "_@" for c in filler):
+        return True
+    capitals = sum(map(str.isupper, filler))
+    return capitals > 1 and (len(filler) > 3 or not filler.isalpha()) and (filler.isupper() or any(map(str.isupper, filler[1:])) and "-" not in filler)
 
 
-def _plain(word: str) -> str:
-    return re.sub(r"[0-9]+", "#", word.lower())
+class Slots:
+    """The words of a text and the lexical patterns of its spans."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.words]
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.forms: dict[int, str] = {}
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the word before, the two before, the words on either side, what is glued to it.
-    Words are looked for within ``CONTEXT_CHARS`` characters of the span, on its line."""
-    before = text[max(0, start - CONTEXT_CHARS) : start].rpartition("\n")[2]
-    after = text[end : end + CONTEXT_CHARS].partition("\n")[0]
-    left = [_plain(w) for w in _WORD.findall(before)[-2:]]
-    right = [_plain(w) for w in _WORD.findall(after)[:1]]
-    out = []
-    if left:
-        out.append(f"1 {left[-1]}")
-        if len(left) == 2:
-            out.append(f"2 {left[0]} {left[1]}")
+    def form(self, k: int) -> str:
+        """Word ``k`` as patterns know it: lower case, numbers as a sign."""
+        out = self.forms.get(k)
+        if out is None:
+            out = self.forms[k] = _form(self.text, *self.words[k])
+        return out
+
+    def lines(self, a: int, b: int) -> int:
+        return bisect_left(self.breaks, b) - bisect_left(self.breaks, a)
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The word before, the two before, the words on either side, the word after, and what is glued to the span. The words
+        before may stand on the line above, the word after is on the same line."""
+        k = bisect_right(self.starts, start) - 1
+        first, left = self.words[k][0], []
+        if first < start:
+            left.append(_form(self.text, first, start))
+        j = k - 1
+        while len(left) < 2 and j >= 0 and self.lines(self.words[j][1], start) <= 1:
+            left.append(self.form(j))
+            j -= 1
+        last = bisect_right(self.starts, end - 1) - 1
+        right = ""
+        if end < self.words[last][1]:
+            right = _form(self.text, end, self.words[last][1])
+        elif last + 1 < len(self.words) and not self.lines(end, self.words[last + 1][0]):
+            right = self.form(last + 1)
+        out = []
+        if left:
+            out.append(f"1 {left[0]}")
+            if len(left) == 2:
+                out.append(f"2 {left[1]} {left[0]}")
+            if right:
+                out.append(f"3 {left[0]} _ {right}")
         if right:
-            out.append(f"3 {left[-1]} _ {right[0]}")
-    if right:
-        out.append(f"4 _ {right[0]}")
-    glued = before[len(before.rstrip("=:\"'([{<")) :]
-    if glued and left:
-        out.append(f"5 {left[-1]}")
-    return out
+            out.append(f"4 _ {right}")
+        if first < start and self.text[start - 1] in _OPENING:
+            out.append(f"5 {left[0]}")
+        return out
+
+    def filler(self, k: int) -> tuple[int, int]:
+        """What fills the slot at word ``k``: the word without opening and trailing signs, and the numbers after a number."""
+        a, b = self.words[k]
+        word = self.text[a:b]
+        cut, core = _cut(word)
+        start, end = a + cut, a + core
+        if end == b and _NUMBER.fullmatch(word, cut):
+            while k + 1 < len(self.words):
+                c, d = self.words[k + 1]
+                more = self.text[c:d].rstrip(_TRAILING)
+                if c - end > 1 or self.text[end] == "\n" or not _NUMBER.fullmatch(more):
+                    break
+                k, end = k + 1, c + len(more)
+                if end < d:
+                    break
+        return start, end
+
+
+def _form(text: str, a: int, b: int) -> str:
+    word = text[a:b] if b - a <= LONG_WORD else f"{text[a : a + LONG_WORD // 2]}\x00{text[b - LONG_WORD // 2 : b]}"
+    return _PLAIN_NUMBERS.sub("#", word.lower())
+
+
+def _mention(slots: Slots, a: int, b: int, odd: bool, patterns: list[str]) -> dict:
+    instance = hashlib.md5(slots.text[a:b].encode()).hexdigest()
+    return {"start": a, "end": b, "instance": instance, "odd": odd, "patterns": patterns}
 
 
 def find(text: str | None) -> dict:
-    text = text or ""
-    spans = formed(text)
-    taken = [(a, b) for _, a, b in spans]
-    mentions = [(a, b, True) for a, b in taken]
-    mentions += [(a, b, False) for a, b in identifiers(text, taken)] if _DIGITS.search(text) else []
+    """The spans of the four forms, and those spans with their patterns as seeds."""
+    spans = formed(text or "")
+    slots = Slots(text) if spans else None
     return {
         "spans": [{"kind": k, "start": a, "end": b} for k, a, b in spans],
-        "mentions": [
-            {"start": a, "end": b, "instance": hashlib.md5(text[a:b].encode()).hexdigest(), "seed": seed, "patterns": contexts(text, a, b)}
-            for a, b, seed in mentions
-        ],
+        "mentions": [_mention(slots, a, b, True, slots.patterns(a, b)) for _, a, b in spans],
     }
 
 
+class Known:
+    """Which patterns are known, by a test that is asked once for each, and what that says of words."""
+
+    def __init__(self, test: Callable[[str], bool]):
+        self.test = test
+        self.seen: dict[str, bool] = {}
+        self.words: dict[str, tuple[bool, bool]] = {}
+
+    def __call__(self, pattern: str) -> bool:
+        out = self.seen.get(pattern)
+        if out is None:
+            if len(self.seen) >= CACHED_PATTERNS:
+                self.seen.clear()
+            out = self.seen[pattern] = self.test(pattern)
+        return out
+
+    def marks(self, word: str) -> tuple[bool, bool]:
+        """Whether a word is known before a slot, and whether it can fill one: None if it depends on the word before,
+        else what its own opening says."""
+        out = self.words.get(word)
+        if out is None:
+            cut = _cut(word)[0]
+            out = self(f"1 {_form(word, 0, len(word))}"), self(f"1 {_form(word, 0, cut)}") if cut else None
+            if len(word) <= LONG_WORD:
+                if len(self.words) >= CACHED_PATTERNS:
+                    self.words.clear()
+                self.words[word] = out
+        return out
+
+
+def _cut(word: str) -> tuple[int, int]:
+    """Where the filler in a word begins, after what opens it, and where it ends, before trailing signs."""
+    core = len(word.rstrip(_TRAILING))
+    glue = _GLUE.search(word, 0, core)
+    return (max(word.rfind(c, 0, core) for c in _OPENING) + 1 if glue else 0), core
+
+
+def fillers(text: str | None, known: Known) -> list[dict]:
+    """Fillers of the slots of ``known`` patterns beside the spans of the forms. An instance is trusted by two patterns or more, of
+    which one at least begins with the word before, so a slot needs that word and a second pattern."""
+    if not text:
+        return []
+    at, before = [], False
+    for i, word in enumerate(_WORD.findall(text)):
+        last, own = known.marks(word)
+        if before if own is None else own:
+            at.append(i)
+        before = last
+    if not at:
+        return []
+    slots, out = Slots(text), []
+    taken, k, end = sorted((a, b) for _, a, b in formed(text)), 0, 0
+    for i in at:
+        if slots.starts[i] < end:
+            continue
+        a, b = slots.filler(i)
+        if a >= b:
+            continue
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < b:
+            continue
+        met = [p for p in slots.patterns(a, b) if known(p)]
+        if len(met) > 1:
+            end = b
+            out.append(_mention(slots, a, b, is_odd(text[a:b]), met))
+    return out
+
+
 def trusted_instances(
     edges: DataFrame, rounds: int = ROUNDS, min_seeds: float = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE,
     min_score: float = MIN_SCORE,
 ) -> DataFrame:
     """(instance, score) of instances that are no seeds and are trusted after ``rounds`` rounds.
 
-    ``edges`` (pattern, instance, seed) has a row for each pattern an instance was seen with. A pattern counts with
-    at least ``min_seeds`` trusted instances that make up ``min_confidence`` of all; its confidence is that share,
-    with one failure added. An instance is trusted if two patterns or more give it ``min_score`` together.
+    ``edges`` (pattern, instance, seed, odd) has a row for each pattern an instance was seen with. A pattern counts with
+    at least ``min_seeds`` trusted instances that make up ``min_confidence`` of all, where odd ones that are not trusted count
+    ``UNKNOWN``; its confidence is that share, with one failure added. An odd instance is trusted if two patterns or more give
+    it ``min_score`` together. Equal scores need no order: nothing is ranked.
     """
     trusted = None
     for _ in range(rounds):
@@ -172,17 +287,22 @@ def trusted_instances(
             known = edges.join(trusted, "instance", "left").withColumn(
                 "good", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
             )
-        patterns = known.groupBy("pattern").agg(F.sum("good").alias("good"), F.count("*").alias("n")).where(
+        weight = F.when(F.col("odd"), F.greatest("good", F.lit(UNKNOWN))).otherwise(1.0)
+        patterns = known.groupBy("pattern").agg(F.sum("good").alias("good"), F.sum(weight).alias("n")).where(
             (F.col("good") >= min_seeds) & (F.col("good") >= min_confidence * F.col("n"))
         ).select("pattern", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
         trusted = stage(
-            edges.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg(
+            edges.where("odd AND NOT seed").join(patterns, "pattern").groupBy("instance").agg(
                 F.round(1 - F.exp(F.sum(F.log(1 - F.col("confidence")))), 9).alias("score"), F.count("*").alias("n"),
             ).where((F.col("score") >= min_score) & (F.col("n") >= 2)).select("instance", "score"), "trusted",
         )
     return trusted
 
 
+def _fillers_of(texts: list, known: Known) -> list:
+    return [fillers(t, known) for t in texts]
+
+
 def detect(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, text_key, spans) for each row of ``docs`` (doc_id, text; other columns are not read): all spans as
     structs of kind (a number of ``KINDS``), start and end in code points, by kind and start.
@@ -190,25 +310,59 @@ def detect(docs: DataFrame, **limits) -> DataFrame:
     ``text_key`` is a hash of doc_id and text that tells rows apart. A null text has no spans. ``limits`` go to
     :func:`trusted_instances`.
     """
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text")
     found = stage(
-        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), text_column(lambda ts: [find(t) for t in ts], FOUND, "text").alias("f"))
+        keyed.select("doc_id", "text_key", text_column(lambda ts: [find(t) for t in ts], FOUND, "text").alias("f"))
         .select("doc_id", "text_key", "f.*"), "found",
     )
-    mentions = found.where("size(mentions) > 0").select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
-    edges = mentions.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(
-        F.max("seed").alias("seed")
+
+    def edges_of(mentions: DataFrame, seed: bool) -> DataFrame:
+        rows = mentions.select("m.instance", F.lit(seed).alias("seed"), "m.odd", F.explode("m.patterns").alias("pattern"))
+        return rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("odd").alias("odd"))
+
+    seeds = stage(edges_of(found.select(F.explode("mentions").alias("m")), True), "seeds")
+    known = known_patterns(seeds, limits.get("min_seeds", MIN_SEEDS))
+    mentions = stage(
+        keyed.select("doc_id", "text_key", text_column(lambda ts: _fillers_of(ts, known()), ArrayType(_MENTION), "text").alias("m"))
+        .where("size(m) > 0").select("doc_id", "text_key", F.explode("m").alias("m")), "mentions",
     )
+    # A seed of one text may fill a slot of another without its form's context; it stays a seed.
+    edges = seeds.unionByName(edges_of(mentions, False)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("odd").alias("odd"))
     trusted = trusted_instances(stage(edges, "edges"), **limits)
     more = (
-        mentions.where("NOT seed").join(trusted, "instance")
-        .select("text_key", F.struct(F.lit(KINDS.index("context")).alias("kind"), "start", "end").alias("span"))
-        .distinct().groupBy("text_key").agg(F.array_sort(F.collect_list("span")).alias("more"))
+        mentions.where("m.odd").select("doc_id", "text_key", "m.*").join(trusted, "instance")
+        .select("doc_id", "text_key", F.struct(F.lit(KINDS.index("context")).alias("kind"), "start", "end").alias("span"))
+        .distinct().groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("span")).alias("more"))
+        .select(F.col("doc_id").alias("more_id"), F.col("text_key").alias("more_key"), "more")
     )
-    return found.join(more, "text_key", "left").select(
+    # A row without doc_id is met by its text alone.
+    same = (F.col("text_key") == F.col("more_key")) & F.col("doc_id").eqNullSafe(F.col("more_id"))
+    return found.join(more, same, "left").select(
         "doc_id", "text_key", F.concat("spans", F.coalesce("more", F.array().cast(ArrayType(_SPAN)))).alias("spans")
     )
 
 
+def known_patterns(seeds: DataFrame, min_seeds: float) -> Callable[[], Known]:
+    """A maker, for the tasks, of the test for patterns that ``min_seeds`` seeds have; others pass if they share a bit with one."""
+    size = 1 << TABLE_BITS
+    often = seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+    slots = often.select(F.xxhash64("pattern").bitwiseAND(size - 1).cast("int").alias("slot")).distinct().toArrow()
+    bits = np.zeros(size, bool)
+    bits[slots["slot"].to_numpy()] = True
+    shared = seeds.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def tested() -> Known:
+        table = shared.value.tobytes()
+
+        def test(pattern: str) -> bool:
+            slot = xxhash.xxh64_intdigest(pattern.encode(), 42) & (size - 1)
+            return bool(table[slot >> 3] & (128 >> (slot & 7)))
+
+        return Known(test)
+
+    return tested
+
+
 def personal_data(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans) for each row of ``docs``; spans are
     written kind:start:end and joined by commas, base_sha256 is of those of the four forms."""
