@@ -94,55 +94,6 @@ def test_contexts_discover_identifiers(spark):
     assert masked[3].text == "noise 3 my staff contact line reaches <EMAIL> during office hours"
 
 
-@pytest.mark.parametrize("value", ["QWERTZUIOP", "AB-4471", "0151 234 567", "k7" * 40, "\nZX81-44512-Q"])
-def test_slots_take_fillers_of_any_form(spark, value):
-    texts = [f"noise {i} my staff contact line reaches {'user%d@mail.example.com' % i} during office hours" for i in range(12)]
-    texts += [f"the staff contact line reaches {value} during office hours", "the staff contact line reaches nobody during office hours",
-              "they sold 20000123 bricks in the YEAR 2001 for AB-4471 and QWERTZ"]
-    rows = by_id(pii.personal_data(documents(spark, texts)))
-    start = texts[12].index(value.strip())
-    assert rows[12].spans == f"context:{start}:{start + len(value.strip())}"
-    assert rows[13].spans == rows[14].spans == ""
-
-
-def test_slots_of_hostile_texts():
-    """Many spans in one word, long gaps and signs without words take no more than a pass or so."""
-    start = time.process_time()
-    for text in ("a@b.cc," * 40_000, "(" * 200_000 + ".", '"' * 200_000 + "a" + '"' * 200_000, " \n" * 200_000 + "x:a@b.cc", "x" * 300_000 + " a@b.cc" * 20_000):
-        assert isinstance(pii.find(text)["mentions"], list) and isinstance(pii.fillers(text, pii.Known(lambda p: True)), list)
-    assert time.process_time() - start < 20
-
-
-def plain_trusted(edges, rounds=pii.ROUNDS):
-    trusted = {}
-    for _ in range(rounds):
-        good, n, score, times = {}, {}, {}, {}
-        for pattern, instance, seed, odd in edges:
-            g = 1.0 if seed else trusted.get(instance, 0.0)
-            good[pattern] = good.get(pattern, 0.0) + g
-            n[pattern] = n.get(pattern, 0.0) + (max(g, pii.UNKNOWN) if odd else 1.0)
-        for pattern, instance, seed, odd in edges:
-            if odd and not seed and good[pattern] >= max(pii.MIN_SEEDS, pii.MIN_CONFIDENCE * n[pattern]):
-                score[instance] = score.get(instance, 1.0) * (1 - good[pattern] / (n[pattern] + 1))
-                times[instance] = times.get(instance, 0) + 1
-        trusted = {i: 1 - x for i, x in score.items() if times[i] >= 2 and round(1 - x, 9) >= pii.MIN_SCORE}
-    return trusted
-
-
-def test_graph_scores_against_plain_ones(spark):
-    draw = random.Random(4)
-    edges = {}
-    for p in range(30):
-        share = draw.random()
-        for _ in range(draw.randrange(3, 60)):
-            i = draw.randrange(300)
-            edges[f"p{p}", f"i{i}"] = (i % 100 < 100 * share ** 0.3 and i % 7 > 0, i % 5 > 0)
-    rows = [(p, i, seed, odd or seed) for (p, i), (seed, odd) in edges.items()]
-    got = {r.instance: r.score for r in pii.trusted_instances(spark.createDataFrame(rows, "pattern string, instance string, seed boolean, odd boolean")).collect()}
-    want = plain_trusted(rows)
-    assert want and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
-
-
 def test_personal_data_odd(spark):
     df = odd(spark)
     assert len(pii.personal_data(df).collect()) == 10
