@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citemill.catalog import sqltext as q
 from citemill.catalog.registry import Tables, query
 from citemill.config import Settings
+from citemill.functions.binding import let
 from citemill.functions.hashing import chunk_id, text_sha256
 from citemill.functions.text import keywords, normalize_text, sentences, token_count
 from citemill.operators import ingest, sections
@@ -221,10 +222,13 @@ SELECT doc_id, count(*) AS n_sentences, md5(string_agg(text, '~' ORDER BY s)) AS
 def sentence_split_learned(t: Tables) -> DataFrame:
     """Sentences that do not end after a learned abbreviation."""
     told = _told(t)
-    split = told.select("doc_id", learned_sentences(F.btrim("text", F.lit(q.SPACES)), learned_types(told)).alias("s"))
-    return split.where(F.size("s") > 0).select(
-        "doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.encode(F.array_join("s", "~"), "UTF-8")).alias("sentences_md5")
-    )
+    row = lambda s: F.when(F.size(s) > 0, F.array(F.struct(
+        F.size(s).cast("long").alias("n_sentences"), F.md5(F.encode(F.array_join(s, "~"), "UTF-8")).alias("sentences_md5")
+    )))
+    split = learned_sentences(F.btrim("text", F.lit(q.SPACES)), learned_types(told))
+    found = told.select("doc_id", F.explode_outer(let(split, row)).alias("s"))
+    # A filter on the array would be moved below and split the text twice.
+    return found.where("s IS NOT NULL").select("doc_id", "s.n_sentences", "s.sentences_md5")
 
 
 @query(f"SELECT doc_id, {q.n_tokens('text')} AS n_tokens FROM documents")

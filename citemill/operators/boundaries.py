@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.binding import let
-from citemill.functions.text import SPACES, strip
+from citemill.functions.text import GAPS, strip
 
 # Least score of an abbreviation.
 THRESHOLD = 0.3
@@ -24,7 +24,9 @@ MAX_TYPES = 100_000
 # Words as they stand between white space, without brackets and quotes around them.
 _WORD_EDGES = "()[]{}\"'“”‘’«»,;:"
 # A stretch of text up to a possible boundary, with the white space behind it.
-_STRETCH = rf"(?s).*?[.!?][{SPACES}]+|.+\z"
+_STRETCH = rf"(?s).*?[.!?][{GAPS}]+|.+\z"
+# The last word of each such stretch but one at the end of the text: tried where a word begins only, and never given back.
+_LAST_WORD = rf"(?<![^{GAPS}])([^{GAPS}]++)(?<=[.!?])[{GAPS}]"
 
 
 def _type(word: Column) -> Column:
@@ -34,11 +36,13 @@ def _type(word: Column) -> Column:
 
 def word_types(texts: DataFrame, text: str = "text") -> DataFrame:
     """(type, with_stop, without_stop): how often each word type stands with a full stop behind it and without."""
-    words = texts.select(F.explode(F.split(text, f"[{SPACES}]+")).alias("w")).where("w <> ''")
+    # Each spelling is counted first, and its type taken once.
+    words = texts.select(F.explode(F.split(text, f"[{GAPS}]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("w <> ''")
     bare = F.btrim("w", F.lit(_WORD_EDGES))
-    counted = words.select(_type(F.col("w")).alias("type"), F.endswith(bare, F.lit(".")).cast("long").alias("stop"))
-    return counted.where(F.rlike("type", F.lit(r"\p{L}"))).groupBy("type").agg(
-        F.sum("stop").alias("with_stop"), F.sum(1 - F.col("stop")).alias("without_stop")
+    counted = words.select(_type(F.col("w")).alias("type"), F.when(F.endswith(bare, F.lit(".")), F.col("n")).otherwise(0).alias("stop"), "n")
+    # With the count in it, the filter stays above the counting and sees each spelling once.
+    return counted.where(F.when(F.col("n") > 0, F.rlike("type", F.lit(r"\p{L}")))).groupBy("type").agg(
+        F.sum("stop").alias("with_stop"), F.sum(F.col("n") - F.col("stop")).alias("without_stop")
     )
 
 
@@ -77,9 +81,7 @@ def learned_sentences(text: Column, types: list[str]) -> Column:
     The white space inside a sentence stays as it is."""
     kinds = set(types)
 
-    def ends(stretch: Column) -> Column:
-        bare = strip(stretch)
-        last = F.regexp_extract(bare, rf"[^{SPACES}]+\z", 0)
+    def ends(last: Column) -> Column:
         known = _type(last).isin(sorted(kinds)) if kinds else F.lit(False)
         return ~(F.endswith(F.btrim(last, F.lit(_WORD_EDGES)), F.lit(".")) & known)
 
@@ -91,8 +93,11 @@ def learned_sentences(text: Column, types: list[str]) -> Column:
         )
         return let(starts, cut)
 
-    stretches = F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(0))
-    pieces = let(stretches, lambda parts: F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(
-        let(F.transform(parts, ends), lambda last: joined(parts, last))
-    ))
-    return F.filter(F.transform(pieces, strip), lambda s: s != "")
+    def pieces(body: Column) -> Column:
+        stretches = F.regexp_extract_all(body, F.lit(_STRETCH), F.lit(0))
+        last_words = F.regexp_extract_all(body, F.lit(_LAST_WORD), F.lit(1))
+        return let(stretches, lambda parts: F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(
+            let(F.transform(last_words, ends), lambda last: joined(parts, last))
+        ))
+
+    return F.filter(F.transform(let(text, pieces), strip), lambda s: s != "")

@@ -1,12 +1,16 @@
 import random
+import re
+import time
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_chunking import LAYOUTS, model_chunks, sentence
 
 from citemill.config import Settings, from_tree
 from citemill.functions import tokens
+from citemill.functions.text import GAPS, SPACES
 from citemill.operators.boundaries import abbreviations, learned_sentences, learned_types
 from citemill.operators.chunking import chunk_sections
 
@@ -102,3 +106,58 @@ def test_no_words_have_no_abbreviations(spark):
             learned_types(told(spark, ["see z.B. one e.g. two i.e. three " * 30 + "and so on. The end."]), threshold=0.0)
         finally:
             boundaries.MAX_TYPES = kept
+
+
+def test_offsets_are_taken_in_slices(spark):
+    seen = []
+
+    def load():
+        def tokenize(texts):
+            seen.append(sum(map(len, texts)))
+            return [[(i, i + 1) for i in range(len(t))] for t in texts]
+
+        return tokenize
+
+    run = tokens.offsets_of(load).func
+    texts = [["a" * 200_000, "", "b" * 200_000], None, ["c" * 200_000] * 3, [], ["d" * 900_000], ["e"]]
+    got = list(run(iter([pa.array(texts, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))])))
+    # Of a batch of rows, only a slice of its texts is tokenized at a time; a longer text goes alone.
+    assert max(seen) == 900_000 and len(seen) >= 4 and sorted(seen)[-2] <= tokens.SLICE_CHARS
+    assert [[len(t) for t in row] for row in got[0].to_pylist()] == [[200_000, 0, 200_000], [], [200_000] * 3, [], [900_000], [1]]
+    assert len(got[1]) == 0
+
+
+def test_learned_sentences_of_long_words_take_linear_time(spark):
+    # Words without white space, as in texts that are written without it; the last word of each sentence was sought from every place.
+    text = " ".join("\u5b57" * 60_000 + "z.B. x." for _ in range(3))
+    one = spark.range(1).select(F.lit(text).alias("text"))
+    start = time.monotonic()
+    got = one.select(learned_sentences(F.col("text"), ["z.b"]).alias("s")).first().s
+    assert [len(s) for s in got] == [60_004, 2] * 3
+    assert time.monotonic() - start < 20
+
+
+def test_learned_sentences_match_every_boundary(spark):
+    draw = random.Random(5)
+    pieces = ["z.B.", "(z.B.)", "end.", "why?!", "a.b", "...", ".", "!", "\u300cz.B.\u300d", "word", " ", "\u3000", "\n", "\u2003", "\x85", "\xa0"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 30))) for _ in range(300)] + ["", " ", None]
+    space = "[" + re.escape(SPACES) + "]"
+    edges = "()[]{}\"'\u201c\u201d\u2018\u2019\u00ab\u00bb,;:"
+
+    def plain(text):
+        out, held = [], ""
+        for part in re.findall(f"(?s).*?[.!?]{space}+|.+$", text):
+            held += part
+            last = re.search(f"[^{re.escape(SPACES)}]+$", part.strip(SPACES))
+            word = last.group().strip(edges) if last else ""
+            if not (word.endswith(".") and word.lower()[:-1] == "z.b"):
+                out, held = [*out, held], ""
+        return [s for s in (x.strip(SPACES) for x in [*out, held]) if s]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.s for r in df.select("i", learned_sentences(F.col("text"), ["z.b"]).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else plain(t) for t in texts]
+
+
+def test_gaps_are_the_spaces():
+    assert {chr(i) for i in range(0x10000) if re.match(f"[{GAPS}]", chr(i))} == set(SPACES)
