@@ -36,8 +36,9 @@ def _type(word: Column) -> Column:
 
 def word_types(texts: DataFrame, text: str = "text") -> DataFrame:
     """(type, with_stop, without_stop): how often each word type stands with a full stop behind it and without."""
-    # Each spelling is counted first, and its type taken once.
-    words = texts.select(F.explode(F.split(text, f"[{GAPS}]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("w <> ''")
+    # Each spelling is counted first, and its type taken once. The outer form keeps Spark from splitting twice, once to test
+    # for an empty array.
+    words = texts.select(F.explode_outer(F.split(text, f"[{GAPS}]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("w <> ''")
     bare = F.btrim("w", F.lit(_WORD_EDGES))
     counted = words.select(_type(F.col("w")).alias("type"), F.when(F.endswith(bare, F.lit(".")), F.col("n")).otherwise(0).alias("stop"), "n")
     # With the count in it, the filter stays above the counting and sees each spelling once.
