@@ -71,9 +71,10 @@ class KeywordStore:
         """
         pointer = self._pointer()
         number = self._next(pointer)
-        counted = docs.select(self.key, term_counts(F.col(text)).alias("c")).select(self.key, "c.dl", "c.terms")
+        # Texts are dealt out, as they are smaller than their terms, and ranges of keys are sampled before terms are counted.
+        texts = docs.select(self.key, F.col(text).alias("text")).repartitionByRange(self.key).sortWithinPartitions(self.key)
         forward = f"{self.path}/forward/segment={number}"
-        counted.repartitionByRange(self.key).sortWithinPartitions(self.key).write.option(
+        texts.select(self.key, term_counts(F.col("text")).alias("c")).select(self.key, "c.dl", "c.terms").write.option(
             f"parquet.bloom.filter.enabled#{self.key}", "true"
         ).parquet(forward)
         rows = self.spark.read.parquet(forward)

@@ -123,3 +123,21 @@ def test_negative_weights(spark, tmp_path):
     questions = spark.createDataFrame([(1, "x y z"), (2, "y"), (3, "z z x")], "question_id int, question string")
     settings = replace(SETTINGS, bm25_top_k=1)
     assert found(held.index(), questions, settings=settings) == found(KeywordIndex.build(docs, settings), questions, settings=settings)
+
+
+def test_terms_are_counted_once_in_a_write(spark, tmp_path, monkeypatch):
+    import citemill.sources.keyword_store as module
+
+    counted = spark.sparkContext.accumulator(0)
+
+    def spy(text):
+        @F.arrow_udf("string")
+        def seen(texts):
+            counted.add(len(texts))
+            return texts
+
+        return term_counts(seen(text))
+
+    monkeypatch.setattr(module, "term_counts", spy)
+    KeywordStore(spark, str(tmp_path / "k"), SETTINGS).upsert(frame(spark, corpus(200, 6)))
+    assert counted.value == 200
