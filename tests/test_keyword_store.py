@@ -1,11 +1,14 @@
 import random
+import re
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from citemill.config import Settings
-from citemill.operators.keyword import BlockSearch, KeywordIndex, keyword_search, term_counts
+from citemill.operators.keyword import _inverted, _parts, BlockSearch, KeywordIndex, keyword_search, term_counts
 from citemill.sources import pointer
 from citemill.sources.keyword_store import KeywordStore
 
@@ -141,3 +144,70 @@ def test_terms_are_counted_once_in_a_write(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module, "term_counts", spy)
     KeywordStore(spark, str(tmp_path / "k"), SETTINGS).upsert(frame(spark, corpus(200, 6)))
     assert counted.value == 200
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """(path, plan) of all that is written."""
+    kept, write = [], DataFrameWriter.parquet
+
+    def spy(self, path, *args, **options):
+        kept.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    return kept
+
+
+def shuffled(plans, *tables):
+    """Tables of a written index with a shuffle before them."""
+    return {t for t in tables for path, plan in plans if f"/{t}/" in path and re.search("(?<!Broadcast)Exchange", plan)}
+
+
+def changed(spark, path):
+    """A store that follows three writes, and the documents in it."""
+    held, state = KeywordStore(spark, path, SETTINGS), dict(corpus(500, 7))
+    held.upsert(frame(spark, list(state.items())))
+    second = corpus(400, 8, start=200)
+    held.upsert(frame(spark, second), gone=frame(spark, [(f"d{i:05d}", "") for i in range(50)]))
+    held.remove(frame(spark, [(f"d{i:05d}", "") for i in range(400, 450)]))
+    state.update(second)
+    return held, frame(spark, [(k, v) for k, v in state.items() if not ("d00000" <= k < "d00050" or "d00400" <= k < "d00450")])
+
+
+def test_compaction_shuffles_no_terms_or_postings(spark, tmp_path, plans):
+    held, docs = changed(spark, str(tmp_path / "k"))
+    plans.clear()
+    held.compact()
+    assert [path for path, _ in plans if "/forward/" in path] and shuffled(plans, "forward", "postings", "blocks") == set()
+    held.clean()
+    index, plain = held.index(), KeywordIndex.build(docs, SETTINGS)
+    terms = lambda i: sorted((r.term, r.df, round(r.idf, 9)) for r in i.terms.collect())
+    assert terms(index) == terms(plain)
+
+
+def test_runs_of_parts():
+    texts = [["a"], [], ["b", "a", "c", "d", "e"], ["a", "b"], [], ["c"]]
+    rows = pa.RecordBatch.from_pylist(
+        [{"doc": i, "dl": len(t), "terms": [{"term": w, "tf": 1 + i} for w in t]} for i, t in enumerate(texts)],
+        pa.schema([("doc", pa.int64()), ("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))]),
+    )
+    parts = list(_parts(iter([rows.slice(0, 2), rows.slice(2), rows.slice(0, 0)]), 3))
+    assert [p["doc"].to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([rows])
+    runs = [r for p in parts for b in _inverted(p, 2.0, SETTINGS) for r in b.to_pylist()]
+    got = sorted((r["term"], d, tf, dl) for r in runs for d, tf, dl in zip(r["docs"], r["tfs"], r["dls"], strict=True))
+    assert got == sorted((w, i, 1 + i, len(t)) for i, t in enumerate(texts) for w in t)
+    assert all(r["n"] == len(r["docs"]) and r["top"] * 16 / 2.5 >= r["level"] for r in runs)
+    last = [(r["term"], -r["level"]) for b in _inverted(rows, 2.0, SETTINGS) for r in b.to_pylist()]
+    assert last == sorted(last)
+    assert list(_inverted(rows.slice(1, 1), 2.0, SETTINGS)) == []
+
+
+def test_an_index_of_another_layout_counts_as_none(spark, tmp_path):
+    path = str(tmp_path / "k")
+    pointer.write_pointer(spark, path, 1, {"segments": [{"id": 1, "n": 1, "dl": 1, "average": 1.0}], "gone": [], "terms": 1, "source": "a"})
+    held = KeywordStore(spark, path, SETTINGS)
+    assert not held.exists() and held.source is None
+    held.upsert(frame(spark, [("x", "w1 w2")]), source="b")
+    assert held.exists() and held.source == "b" and [r[0] for r in held.keys().collect()] == ["x"]
