@@ -175,6 +175,13 @@ def changed(spark, path):
     return held, frame(spark, [(k, v) for k, v in state.items() if not ("d00000" <= k < "d00050" or "d00400" <= k < "d00450")])
 
 
+def test_writes_shuffle_no_texts_terms_or_postings(spark, tmp_path, plans):
+    held, docs = changed(spark, str(tmp_path / "k"))
+    assert len([path for path, _ in plans if "/forward/" in path]) == 2
+    assert shuffled(plans, "forward", "postings", "blocks") == set()
+    assert {r[0] for r in held.keys().collect()} == {r[0] for r in docs.collect()}
+
+
 def test_compaction_shuffles_no_terms_or_postings(spark, tmp_path, plans):
     held, docs = changed(spark, str(tmp_path / "k"))
     plans.clear()
@@ -186,6 +193,24 @@ def test_compaction_shuffles_no_terms_or_postings(spark, tmp_path, plans):
     assert terms(index) == terms(plain)
 
 
+@pytest.mark.parametrize("rows", [20_000, 0], ids=["few terms", "many terms"])
+def test_many_documents_in_reach(spark, tmp_path, monkeypatch, rows):
+    """Documents are dealt out by their number, and none that is gone or not allowed comes back."""
+    import citemill.operators.keyword as keyword
+    import citemill.session as session
+
+    held, docs = changed(spark, str(tmp_path / "k"))
+    monkeypatch.setattr(keyword, "HELD_ROWS", 0)
+    monkeypatch.setattr(session.held, "__defaults__", (rows,))
+    few, questions = replace(SETTINGS, broadcast_rows=0), asked(spark)
+    index, plain = held.index(), KeywordIndex.build(docs, SETTINGS)
+    expected = found(plain, questions)
+    assert found(index, questions, settings=few) == expected and len(expected) > 100
+    some = docs.where("chunk_id < 'd00300'")
+    assert found(index, questions, some, few) == found(plain, questions, some)
+    assert keyword_search(index, questions, few).columns == keyword_search(plain, questions, few).columns
+
+
 def test_runs_of_parts():
     texts = [["a"], [], ["b", "a", "c", "d", "e"], ["a", "b"], [], ["c"]]
     rows = pa.RecordBatch.from_pylist(
