@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from citemill.config import Settings
 from citemill.functions.filters import among
-from citemill.operators.keyword import LISTED_KEYS, KeywordIndex, doc_bits, marked, posting_runs, term_counts
+from citemill.operators.keyword import DOC, LISTED_KEYS, KeywordIndex, doc_bits, marked, posting_runs, run_postings, term_counts
 from citemill.session import fits, held
 from citemill.sources.pointer import delete_folder, folders, read_pointer, write_pointer
 
@@ -200,9 +200,10 @@ class KeywordStore:
         grown = F.lit(1.0)
         for s in pointer["segments"]:
             grown = F.when(F.col("segment") == s["id"], max(1.0, average / s["average"])).otherwise(grown)
-        postings = self._segments("postings", pointer)
-        blocks = postings.select("term", "level", "n", (F.col("top") * grown).alias("top"))
+        runs, forward = self._segments("postings", pointer), self._segments("forward", pointer)
+        postings = run_postings(runs, "term", "level").join(forward.select(*DOC, self.key), [*DOC])
+        blocks = runs.select("term", "level", "n", (F.col("top") * grown).alias("top"))
         idf = F.when(self._raw_idf(pointer) < 0, F.lit(pointer["floor"])).otherwise(self._raw_idf(pointer)).cast("double")
         terms = self._versions("terms", [pointer["terms"]]).select("term", "df", idf.alias("idf"))
         stats = self.spark.createDataFrame([(n, average)], "n_docs long, avg_dl double")
-        return KeywordIndex(postings, terms, stats, self.key, blocks, self._segments("forward", pointer), self._gone(pointer))
+        return KeywordIndex(postings, terms, stats, self.key, blocks, forward, self._gone(pointer), runs)
